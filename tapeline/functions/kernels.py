@@ -6,7 +6,9 @@ this package.
 
 from __future__ import annotations
 
+import heapq
 import sys
+from bisect import bisect_right, insort
 
 from pyspark import cloudpickle
 
@@ -62,6 +64,75 @@ def structure_breaks(close, atr, kind, price, known_from):
     return events
 
 
+def expanding_share(values) -> list[float]:
+    """At each place the share of the values so far that are not above the current one."""
+    seen, out = [], []
+    for v in values:
+        if v == v:
+            insort(seen, v)
+            out.append(bisect_right(seen, v) / len(seen))
+        else:
+            out.append(float("nan"))
+    return out
+
+
+def expanding_regularity(gaps, factor: float = 3.0) -> list[float]:
+    """At each place the share of the gaps so far within ``factor`` times their median; 0 before the first."""
+    seen, out = [], []
+    for g in gaps:
+        if g == g:
+            insort(seen, g)
+        if not seen:
+            out.append(0.0)
+            continue
+        half = len(seen) // 2
+        median = seen[half] if len(seen) % 2 else (seen[half - 1] + seen[half]) / 2
+        out.append(bisect_right(seen, median * factor) / len(seen))
+    return out
+
+
+def open_gaps(high, low, band_price, band_half, band_side):
+    """Follow price gaps that later bars have not filled.
+
+    Yields per bar the newest open gap (+1/-1/0, bottom, top) and whether one of
+    the twelve newest on ``band_side`` overlaps ``band_price`` +- ``band_half``.
+    Fill levels sit in two heaps, so a gap is opened and closed once.
+    """
+    live, rising, falling, serial = {}, [], [], 0
+    sides, bottoms, tops, meets = [], [], [], []
+    nan = float("nan")
+    for i in range(len(high)):
+        while rising and -rising[0][0] >= low[i]:
+            live.pop(heapq.heappop(rising)[1], None)
+        while falling and falling[0][0] <= high[i]:
+            live.pop(heapq.heappop(falling)[1], None)
+        if i >= 2:
+            side = 1 if high[i - 2] < low[i] else -1 if low[i - 2] > high[i] else 0
+            if side:
+                bottom, top = (high[i - 2], low[i]) if side > 0 else (high[i], low[i - 2])
+                bottom, top = round(bottom, 6), round(top, 6)
+                size = max(top - bottom, 1e-12)
+                live[serial] = (side, bottom, top)
+                if side > 0:
+                    heapq.heappush(rising, (-(top - 0.999 * size), serial))
+                else:
+                    heapq.heappush(falling, (bottom + 0.999 * size, serial))
+                serial += 1
+        newest = next(reversed(live.values())) if live else None
+        sides.append(newest[0] if newest else 0)
+        bottoms.append(newest[1] if newest else nan)
+        tops.append(newest[2] if newest else nan)
+        meet = 0
+        if band_price[i] == band_price[i]:
+            for count, (side, bottom, top) in enumerate(reversed(live.values())):
+                if count == 12 or meet:
+                    break
+                if side == band_side[i] and min(top, band_price[i] + band_half[i]) > max(bottom, band_price[i] - band_half[i]):
+                    meet = 1
+        meets.append(meet)
+    return sides, bottoms, tops, meets
+
+
 def spaced(positions, gap: int) -> list[bool]:
     """Keep a position, then skip those less than ``gap`` after it."""
     keep, free = [], None

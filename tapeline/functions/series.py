@@ -94,7 +94,8 @@ def crossed_down(a: Column, b: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Clamp; NULL stays NULL (GREATEST and LEAST alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def finite(value: Column) -> Column:

@@ -113,46 +113,68 @@ def span_alpha(span: int) -> float:
     return 2.0 / (span + 1.0)
 
 
-def ewm(bars: DataFrame, outputs: dict[str, tuple[str, float]]) -> DataFrame:
+class Ewm(dict):
+    """A step of exponential means: output -> (input, alpha) or (input, alpha, place of the first value).
+
+    The place defaults to 0; None finds it per series.
+    """
+
+
+def compose(bars: DataFrame, *specs: list[dict]) -> DataFrame:
+    """Apply several step lists together, step by step.
+
+    Steps at the same position share one projection (or one pass of exponential
+    means), so many indicators cost few plan layers.  Columns that start with an
+    underscore are scratch and dropped at the end.
+    """
+    for depth in range(max(len(s) for s in specs)):
+        plain, means = {}, Ewm()
+        for spec in specs:
+            step = spec[depth] if depth < len(spec) else {}
+            (means if isinstance(step, Ewm) else plain).update(step)
+        if plain:
+            bars = bars.withColumns(plain)
+        if means:
+            bars = ewm(bars, means)
+    return bars.drop(*[c for c in bars.columns if c.startswith("_")])
+
+
+def ewm(bars: DataFrame, outputs: dict[str, tuple]) -> DataFrame:
     """Recursive exponential means ``y = (1-a)*y_prev + a*x``, first value as start.
 
     No fold and no UDF: inside blocks of 512 bars the recursion is a running sum
     of ``x * d^-p`` (d = 1-a, p = place in block), which cannot overflow at that
     length.  The value at a block end is the block's own sum plus the ends of the
     preceding blocks scaled by ``d^512`` each; as many blocks are added as count
-    at double precision.  All windows share the series' partitioning.  NULLs are
-    allowed before the first value only.
+    at double precision.  All windows share the series' partitioning and one
+    sort.  NULLs are allowed before the first value only.
     """
     bars = numbered(bars)
+    kept = bars.columns
     n, p = F.col("n"), F.col("_p")
-    bars = bars.withColumns({"_b": F.floor(n / BLOCK), "_p": n % BLOCK})
-    bars = bars.withColumns({
-        f"_s_{out}": F.min(F.when(F.col(col).isNotNull(), n)).over(whole()) for out, (col, _) in outputs.items()
-    })
-    within = Window.partitionBy(*KEYS, "_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    local = {}
-    for out, (col, alpha) in outputs.items():
+    start = {out: F.col(f"_s_{out}") if len(spec) > 2 and spec[2] is None else F.lit(spec[2] if len(spec) > 2 else 0)
+             for out, spec in outputs.items()}
+    bars = bars.withColumns({"_b": F.floor(n / BLOCK), "_p": n % BLOCK, **{
+        f"_s_{out}": F.min(F.when(F.col(spec[0]).isNotNull(), n)).over(whole())
+        for out, spec in outputs.items() if len(spec) > 2 and spec[2] is None}})
+    within = Window.partitionBy(*KEYS, "_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    series = Window.partitionBy(*KEYS).orderBy("_b", "ts")  # time order, spelled so that the sort is shared
+    local, ends, result = {}, {}, {}
+    for out, (col, alpha, *_) in outputs.items():
         decay = 1.0 - alpha
-        weight = F.when(n == F.col(f"_s_{out}"), 1.0).otherwise(alpha)
+        weight = F.when(n == start[out], 1.0).otherwise(alpha)
         term = F.coalesce(F.col(col) * weight, F.lit(0.0)) * F.pow(F.lit(decay), -p)
         local[f"_l_{out}"] = F.sum(term).over(within) * F.pow(F.lit(decay), p)
-    bars = bars.withColumns(local)
-    ends = {}
-    for out, (_, alpha) in outputs.items():
-        per_block = math.log(1.0 - alpha) * BLOCK
-        depth = max(1, math.ceil(math.log(1e-20) / per_block))
+        per_block = math.log(decay) * BLOCK
         total = F.col(f"_l_{out}")
-        for k in range(1, depth + 1):
-            total = total + F.coalesce(back(f"_l_{out}", BLOCK * k), F.lit(0.0)) * math.exp(per_block * k)
+        for k in range(1, max(1, math.ceil(math.log(1e-20) / per_block)) + 1):
+            total = total + F.coalesce(F.lag(f"_l_{out}", BLOCK * k).over(series), F.lit(0.0)) * math.exp(per_block * k)
         ends[f"_e_{out}"] = F.when(p == BLOCK - 1, total)
-    bars = bars.withColumns(ends)
-    result = {}
-    for out, (_, alpha) in outputs.items():
-        carry = F.coalesce(F.last(f"_e_{out}", ignorenulls=True).over(before_now()), F.lit(0.0))
-        value = F.col(f"_l_{out}") + carry * F.pow(F.lit(1.0 - alpha), p + 1)
-        result[out] = F.when(n >= F.col(f"_s_{out}"), value)
-    bars = bars.withColumns(result)
-    return bars.drop("_b", "_p", *[f"{mark}{out}" for out in outputs for mark in ("_s_", "_l_", "_e_")])
+        carry = F.last(f"_e_{out}", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
+        value = F.col(f"_l_{out}") + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(decay), p + 1)
+        result[out] = F.when(n >= start[out], value)
+    bars = bars.withColumns(local).withColumns(ends)
+    return bars.select(*[c for c in kept if c not in result], *[v.alias(k) for k, v in result.items()])
 
 
 def latest(bars: DataFrame) -> DataFrame:

@@ -363,15 +363,17 @@ def all_strategies(ctx: DataFrame) -> DataFrame:
 
 
 def final_action(joined: DataFrame) -> DataFrame:
-    """Fuse model direction, strategy confluence, expected value and timeframe conflict.
+    """Fuse a model's direction with the strategies'.
 
-    Reads model_direction, direction, expected_value, conflict and quality.
+    Reads signal (confluence), model_direction, actionable, expected_value and conflict.
     """
     c = F.col
-    agree = c("model_direction") == c("direction")
-    return joined.withColumn("action", F.when(c("quality") < 60, "NO_TRADE").when(F.coalesce("expected_value", F.lit(0.0)) <= 0, "NO_TRADE")
-                             .when(c("conflict"), "WAIT").when(c("direction") == "RANGE", "HOLD").when(~agree, "WAIT")
-                             .when(c("direction") == "UP", "BUY").otherwise("SELL"))
+    aligned = ((c("signal") == "BUY") & (c("model_direction") == "UP")) | ((c("signal") == "SELL") & (c("model_direction") == "DOWN"))
+    go = aligned & (F.coalesce("expected_value", F.lit(0.0)) > 0) & ~c("conflict") & c("actionable")
+    return joined.withColumns({
+        "action": F.when(go, c("signal")).when(c("conflict"), "WATCH").otherwise("HOLD"),
+        "reason": F.when(go, "MODEL_AND_STRATEGIES_ALIGNED").when(c("conflict"), "HIGHER_TIMEFRAME_CONFLICT")
+        .when(~c("actionable"), "MODEL_NOT_VALIDATED").otherwise("MISMATCH_OR_NON_POSITIVE_EV")})
 
 
 def correlation_matrix(bars: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +38,11 @@ def local_session(name: str = "tapeline", cores: str = "8", **conf: str) -> Spar
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for cut lineage; None where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and read it from there, for inputs used more than once."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()

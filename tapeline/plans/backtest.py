@@ -111,7 +111,7 @@ TRADES_SQL = """e AS (SELECT symbol, strategy, ts, i, k, trade, bought, sold, qt
  tr2 AS (SELECT symbol, strategy, trade, min(CASE WHEN bought THEN ts END) AS entry_ts, min(CASE WHEN sold OR (i = k AND qty > 0) THEN ts END) AS exit_ts,
    max(CASE WHEN sold OR (i = k AND qty > 0) THEN closing END) - max(CASE WHEN bought THEN before END) AS pnl FROM e WHERE trade > 0 GROUP BY 1, 2, 3)"""
 METRICS_SQL = f"""{EQ_HEAD}, {TRADES_SQL},
- r AS (SELECT *, round(closing, 2) AS pub, round(closing, 2) / nullif(lag(round(closing, 2)) OVER w, 0) - 1 AS ret FROM e WINDOW w AS (PARTITION BY symbol, strategy ORDER BY ts)),
+ r AS (SELECT *, round(closing, 2) AS pub, CASE WHEN lag(closing) OVER w IS NOT NULL THEN (round(closing, 2) - lag(round(closing, 2)) OVER w) / greatest(lag(round(closing, 2)) OVER w, 1e-12) END AS ret FROM e WINDOW w AS (PARTITION BY symbol, strategy ORDER BY ts)),
  a AS (SELECT symbol, strategy, arg_max(closing, i) AS fin, avg(ret) AS m, stddev_samp(ret) AS sd, stddev_samp(ret) FILTER (ret < 0) AS dn FROM r GROUP BY 1, 2),
  b AS (SELECT symbol, strategy, max((peak - equity) / peak) AS dd, arg_max(close / c0, i) AS bench FROM s GROUP BY 1, 2),
  t2 AS (SELECT symbol, strategy, count(*) AS n, count(*) FILTER (pnl > 0) AS wins, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS g, coalesce(-sum(pnl) FILTER (pnl <= 0), 0) AS l FROM tr2 GROUP BY 1, 2)

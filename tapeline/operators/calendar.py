@@ -85,7 +85,7 @@ def future_stamp(df: DataFrame) -> DataFrame:
     """Add target_ts; needs ts, market, interval, horizon, bars and minutes."""
     c = F.col
     daily = c("interval") == "1d"
-    plus = F.timestamp_micros(F.unix_micros("ts") + c("minutes") * 60000000)
+    plus = F.timestamp_micros(F.unix_micros("ts") + c("minutes").cast("long") * 60000000)
     stock = None
     for market in ("US", "CN"):
         value = (F.when(daily, add_workdays(c("ts"), c("bars"), market)).when(c("horizon") == "1D", add_workdays(c("ts"), F.lit(1), market))

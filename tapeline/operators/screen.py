@@ -136,19 +136,18 @@ def compare(scored: DataFrame, left: str, right: str) -> DataFrame:
 def provider_health(events: DataFrame, as_of, stale_after: int = 3600) -> DataFrame:
     """Newest state, error share of the last 20 checks, freshness and last success per provider.
 
-    Needs provider, id, checked_at, status.  Only the 20 newest checks of a provider are ranked:
-    a map-side top list per provider, never its whole history in one task.
+    Needs provider, id, checked_at, status.  ``row_number <= 20`` lets Spark keep only 20 rows per
+    provider and map task before the shuffle (window group limit).
     """
     c = F.col
-    item = F.struct(c("id"), c("status"), c("checked_at"))
-    slices = events.groupBy("provider", (c("id") % 64).alias("_slice")).agg(
-        F.slice(F.sort_array(F.collect_list(item), asc=False), 1, 20).alias("_top"), F.max(F.when(c("status") == "CONNECTED", c("checked_at"))).alias("_ok"))
-    merged = slices.groupBy("provider").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_top")), asc=False), 1, 20).alias("_top"), F.max("_ok").alias("last_success"))
-    bad = F.size(F.filter("_top", lambda x: x["status"] != "CONNECTED")) / F.size("_top")
-    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(c("_top")[0]["checked_at"])
-    state = c("_top")[0]["status"]
-    return merged.select("provider", F.when((state == "CONNECTED") & (age > stale_after), "STALE").otherwise(state).alias("status"), F.round(bad, 4).alias("error_rate"),
-                         F.greatest(F.lit(0), age).alias("freshness_seconds"), "last_success")
+    rank = F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("id")))
+    recent = events.select("provider", "id", "status", "checked_at").withColumn("_r", rank).filter(c("_r") <= 20).groupBy("provider").agg(
+        F.max_by("status", "id").alias("_s"), F.max_by("checked_at", "id").alias("_t"), F.avg((c("status") != "CONNECTED").cast("double")).alias("_e"))
+    good = events.filter("status = 'CONNECTED'").groupBy("provider").agg(F.max("checked_at").alias("last_success"))
+    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("_t")
+    return recent.join(good, "provider", "left").select(
+        "provider", F.when((c("_s") == "CONNECTED") & (age > stale_after), "STALE").otherwise(c("_s")).alias("status"), F.round("_e", 4).alias("error_rate"),
+        F.greatest(F.lit(0), age).alias("freshness_seconds"), "last_success")
 
 
 def carry_last_success(events: DataFrame) -> DataFrame:
@@ -177,15 +176,10 @@ def latency_summary(calls: DataFrame) -> DataFrame:
 
 
 def news_dimension(news: DataFrame, keep: int = 50, show: int = 5) -> DataFrame:
-    """Points and label from a symbol's newest ``keep`` items, and its ``show`` newest ids.
-
-    Ranked per day first and then across days, so a symbol's whole history never meets in one task.
-    """
+    """Points and label from a symbol's newest ``keep`` items, and its ``show`` newest ids."""
     c = F.col
-    daily = F.row_number().over(Window.partitionBy("symbol", F.to_date("published_at")).orderBy(F.desc("published_at"), "id"))
-    few = news.withColumn("_k", daily).filter(c("_k") <= keep)
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("published_at"), "id"))
-    few = few.withColumn("_r", rank).filter(c("_r") <= keep)
+    few = news.withColumn("_r", rank).filter(c("_r") <= keep)
     out = few.groupBy("symbol").agg(points(50 + F.avg("sentiment") / 2).alias("news_points"),
                                     F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(c("_r") <= show, F.struct("_r", "id")))), lambda x: x["id"].cast("string"))).alias("top_ids"))
     return out.withColumn("label", F.when(c("news_points") >= 60, "POSITIVE").when(c("news_points") <= 40, "NEGATIVE").otherwise("NEUTRAL"))

@@ -77,8 +77,8 @@ def purged_slices(rows: DataFrame, fractions: tuple = (0.56, 0.70, 0.84), embarg
     df = df.withColumn("_start", F.when(c("part") == "train", starts[0]).when(c("part") == "calibration", starts[1]).when(c("part") == "validation", starts[2]))
     # The boundary is one past the last row whose label ends in time, and at least the embargo before the next part.
     safe = F.max(F.when(c("target_time") < c("_start"), c("_i"))).over(Window.partitionBy(key, "part"))
-    keep = (c("part") == "test") | ((c("_i") <= safe) & (c("_i") < c("_edge") - max(1, embargo)))
-    return df.filter(keep).drop("_i", "_n", "_edge", "_start")
+    keep = (c("part") == "test") | ((c("_i") <= c("_safe")) & (c("_i") < c("_edge") - max(1, embargo)))
+    return df.withColumn("_safe", safe).filter(keep).drop("_i", "_n", "_edge", "_start", "_safe")
 
 
 def fold_labels(marked: DataFrame) -> DataFrame:
@@ -395,23 +395,31 @@ def registry_versions(runs: DataFrame) -> DataFrame:
 
 
 def drift(resolved: DataFrame, now) -> DataFrame:
-    """Accuracy and calibration over 30, 90 and 180 days; a drop above 0.05 with full coverage is flagged."""
+    """Accuracy and calibration over 30, 90 and 180 days; a drop above 0.05 is drift once history suffices."""
     c = F.col
-    age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("ts")) / 86400
+    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("ts")) / 86400e6
     sure = F.greatest("prob_down", "prob_flat", "prob_up")
-    df = resolved.withColumns({"_age": age, "_ok": c("correct").cast("double"), "_gap": F.abs(sure - c("correct").cast("double"))}).filter("_age >= 0")
-    out = df.groupBy("symbol").agg(*[x.alias(f"{n}_{d}") for d in (30, 90, 180) for n, x in (("accuracy", F.avg(F.when(c("_age") <= d, c("_ok")))), ("gap", F.avg(F.when(c("_age") <= d, c("_gap")))), ("samples", F.count(F.when(c("_age") <= d, 1))))],
-                                   F.max("_age").alias("coverage_days"))
-    fell = (c("coverage_days") >= 170) & (c("accuracy_30") < c("accuracy_180") - 0.05)
-    return out.withColumn("status", F.when(c("coverage_days") < 170, "INSUFFICIENT_HISTORY").when(fell, "DOWNGRADE_TO_EXPERIMENTAL").otherwise("STABLE"))
+    df = resolved.withColumns({"_age": age, "_ok": c("correct").cast("double"), "_gap": F.abs(sure - c("correct").cast("double"))})
+    out = df.groupBy("symbol").agg(
+        *[x.alias(f"{n}_{d}") for d in (30, 90, 180) for n, x in (("accuracy", F.avg(F.when(c("_age") <= d, c("_ok")))), ("gap", F.avg(F.when(c("_age") <= d, c("_gap")))), ("samples", F.count(F.when(c("_age") <= d, 1))))],
+        (F.max("_age") - F.min("_age")).alias("coverage_days"))
+    enough = c("coverage_days") >= 170
+    fell = enough & (c("samples_30") >= 20) & (c("samples_180") >= 40) & (c("accuracy_30") < c("accuracy_180") - 0.05)
+    return out.withColumns({
+        "status": F.when(fell, "MODEL_DRIFT").when(~enough, "INSUFFICIENT_TIME_COVERAGE").when(c("samples_30") < 20, "INSUFFICIENT_DATA").otherwise("NO_DRIFT_DETECTED"),
+        "action": F.when(fell, "DOWNGRADE_TO_EXPERIMENTAL").otherwise("KEEP_EXPERIMENTAL")})
 
 
 def confidence_grade(df: DataFrame) -> DataFrame:
-    """Score, grade and reasons for doubt; needs prob_*, consensus, margin, completeness, advantage."""
+    """Score, grade and reasons for doubt.
+
+    Needs walk_accuracy, samples, completeness, coverage, consensus, brier, factor, margin, advantage and baseline.
+    """
     c = F.col
-    top = F.greatest("prob_down", "prob_flat", "prob_up")
-    score = F.bround(100 * (0.45 * top + 0.25 * c("consensus") + 0.15 * F.least(F.lit(1.0), c("margin") * 4) + 0.15 * c("completeness")))
-    reasons = F.filter(F.array(F.when(c("consensus") < 0.67, "MODELS_DISAGREE"), F.when(c("margin") < 0.08, "SMALL_MARGIN"), F.when(c("completeness") < 0.9, "INCOMPLETE_DATA"), F.when(c("advantage") < 0.03, "NO_EDGE_OVER_BASELINE")),
-                       lambda x: x.isNotNull())
-    df = df.withColumns({"confidence_score": score, "doubts": reasons})
-    return df.withColumn("grade", F.when((c("confidence_score") >= 75) & (F.size("doubts") == 0), "A").when(c("confidence_score") >= 65, "B").when(c("confidence_score") >= 50, "C").otherwise("D"))
+    score = F.bround(100 * (0.25 * c("walk_accuracy") + 0.15 * F.least(F.lit(1.0), c("samples") / 5000) + 0.2 * c("completeness") + 0.15 * c("coverage")
+                            + 0.15 * c("consensus") + 0.1 * F.greatest(F.lit(0.0), 1 - c("brier"))) * c("factor"))
+    doubts = F.filter(F.array(F.when(c("consensus") < 0.6, "MODEL_DISAGREEMENT"), F.when(c("margin") < 0.08, "PROBABILITY_MARGIN_TOO_SMALL"), F.when(c("completeness") < 0.8, "DATA_QUALITY"),
+                              F.when(c("samples") < 300, "LIMITED_SAMPLE"), F.when((c("advantage") < 0.03) | (c("walk_accuracy") <= c("baseline")), "NO_VALIDATED_BASELINE_EDGE")),
+                      lambda x: x.isNotNull())
+    df = df.withColumns({"confidence_score": score, "doubts": doubts})
+    return df.withColumns({"grade": F.when(c("confidence_score") >= 85, "A").when(c("confidence_score") >= 70, "B").when(c("confidence_score") >= 55, "C").otherwise("D"), "clear_edge": F.size("doubts") == 0})

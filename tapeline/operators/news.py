@@ -186,21 +186,23 @@ def similar(queries: DataFrame, candidates: DataFrame, top: int = 5) -> DataFram
     """
     c = F.col
     traits = ["event_type", "label", "sectors", "market_regime", "volatility_regime", "impact"]
-    ranked = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*traits).orderBy("id"))).filter(c("_r") <= top + 1)
-    profiles = ranked.groupBy(*traits).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    asked = queries.select(c("id").alias("query_id"), *[c(t).alias(f"q_{t}") for t in traits]).dropDuplicates(["query_id"])
-    q_profiles = asked.groupBy(*[f"q_{t}" for t in traits]).agg(F.collect_set("query_id").alias("query_ids"))
-    same = q_profiles.join(profiles, c("q_event_type") == c("event_type"))
+    candidates, queries = (df.withColumn("impact", F.round("impact", 1)) for df in (candidates, queries))
+    firsts = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*traits).orderBy("id"))).filter(c("_r") <= top + 1)
+    profiles = firsts.groupBy(*traits).agg(F.collect_list("id").alias("ids"))
+    asked = queries.select(*[c(t).alias(f"q_{t}") for t in traits]).distinct()
+    same = asked.join(profiles, c("q_event_type") == c("event_type"))
     union = F.size(F.array_union("sectors", "q_sectors"))
     shared = F.when(union > 0, F.size(F.array_intersect("sectors", "q_sectors")) / union).otherwise(0.0)
-    score = (0.35 * (c("event_type") == c("q_event_type")).cast("double") + 0.15 * (c("label") == c("q_label")).cast("double")
+    score = (0.35 + 0.15 * (c("label") == c("q_label")).cast("double")
              + 0.15 * F.greatest(F.lit(0.0), 1 - F.abs(c("impact") - c("q_impact")) / 100) + 0.15 * shared
              + 0.10 * F.coalesce(c("market_regime") == c("q_market_regime"), F.lit(False)).cast("double")
              + 0.10 * F.coalesce(c("volatility_regime") == c("q_volatility_regime"), F.lit(False)).cast("double"))
-    flat = (same.withColumn("similarity", F.round(score, 4)).select(F.explode("query_ids").alias("query_id"), "ids", "similarity")
-            .select("query_id", F.explode("ids").alias("id"), "similarity").filter("query_id <> id"))
+    flat = same.withColumn("similarity", F.round(score, 6)).select(*[f"q_{t}" for t in traits], F.explode("ids").alias("id"), "similarity")
+    best = F.row_number().over(Window.partitionBy(*[f"q_{t}" for t in traits]).orderBy(F.desc("similarity"), "id"))
+    flat = flat.withColumn("_r", best).filter(c("_r") <= top + 1).select(*[c(f"q_{t}").alias(t) for t in traits], "id", "similarity")
+    found = queries.select(c("id").alias("query_id"), *traits).join(flat, traits).filter("query_id <> id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return flat.withColumn("rank", rank).filter(c("rank") <= top)
+    return found.withColumn("rank", rank).filter(c("rank") <= top).select("query_id", "id", "similarity", "rank")
 
 
 def outcome_shares(events: DataFrame, outcomes: DataFrame, key: str = "event_type") -> DataFrame:
@@ -259,9 +261,13 @@ def title_norm(title: Column) -> Column:
     return F.regexp_replace(bare, r"[^\p{L}\p{N}_一-鿿]+", "")
 
 
+def _runs(text: Column, n: int) -> Column:
+    """All n-grams of a text in order; a shorter text is its own gram.  One linear pass."""
+    return F.when(F.length(text) < n, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def grams(text: Column, n: int) -> Column:
-    """Distinct n-grams; a shorter text is its own gram."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substr(text, i, F.lit(n))))
+    return F.array_distinct(_runs(text, n))
 
 
 def _rare_first(items: DataFrame, tokens: str) -> DataFrame:
@@ -304,7 +310,7 @@ def ratio_pairs(items: DataFrame, threshold: float = 0.86) -> DataFrame:
     from difflib import SequenceMatcher
 
     texts = items.filter("norm <> ''").select("key", "norm")
-    occurrences = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 1)), lambda i: F.substr(c("norm"), i, F.lit(2)))
+    occurrences = _runs(c("norm"), 2)
     # Repeated grams are told apart by their count, so the set keeps multiplicity.
     flat = texts.select("key", F.posexplode(occurrences).alias("_i", "_g"))
     flat = flat.select("key", F.concat_ws("#", "_g", F.row_number().over(Window.partitionBy("key", "_g").orderBy("_i")).cast("string")).alias("_t"))

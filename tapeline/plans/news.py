@@ -208,7 +208,7 @@ QUERIES = {
     "news_published": (news_published, q(*NEWS, final="SELECT id, CASE WHEN id % 4 <> 3 THEN date_trunc('second', published_at) END AS published_at FROM nd")),
     "news_similar": (news_similar, q(*AN, "k AS (SELECT id, event_type, label, sectors, id % 3 = 0 AS mr, id % 2 AS vr, round(impact, 1) AS impact FROM an)",
                                      """j AS (SELECT a.id AS query_id, b.id, round(0.35 + 0.15 * CAST(a.label = b.label AS INT) + 0.15 * greatest(0, 1 - abs(a.impact - b.impact) / 100) + 0.15 * CASE WHEN len(list_distinct(list_concat(a.sectors, b.sectors))) > 0 THEN len(list_intersect(a.sectors, b.sectors)) / len(list_distinct(list_concat(a.sectors, b.sectors))) ELSE 0 END
-  + 0.1 * CAST(a.mr = b.mr AS INT) + 0.1 * CAST(a.vr = b.vr AS INT), 4) AS sim FROM k a JOIN k b ON a.event_type = b.event_type AND a.id <> b.id WHERE a.event_type <> 'General Market News')""",
+  + 0.1 * CAST(a.mr = b.mr AS INT) + 0.1 * CAST(a.vr = b.vr AS INT), 6) AS sim FROM k a JOIN k b ON a.event_type = b.event_type AND a.id <> b.id WHERE a.event_type <> 'General Market News')""",
                                      "m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM j)", final=f"SELECT query_id, id, {R('sim')} AS similarity, rank FROM m WHERE rank <= 5")),
     "event_study": (event_study, q(*OUT, final=f"SELECT id, symbol, h, entry_ts, {R('entry')} AS entry, {R('ret')} AS ret, {R('win')} AS \"window\", {R('abn')} AS abnormal, {R('abw')} AS abnormal_window FROM oc")),
     "event_study_metrics": (event_study_metrics, q(*OUT, "g AS (SELECT h, count(*) AS n, count(dr) AS dn, avg(CASE WHEN dr > 0 THEN 1.0 WHEN dr IS NOT NULL THEN 0 END) AS wr, avg(ret) AS m, median(ret) AS md, stddev_samp(ret) AS sd, max(ret) AS mx, min(ret) AS mn, avg(win) AS wm, avg(dr) FILTER (dr > 0) / abs(avg(dr) FILTER (dr < 0)) AS pl, avg(abn) AS car FROM oc GROUP BY 1)",

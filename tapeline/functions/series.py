@@ -81,6 +81,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def corr(a: Column | str, b: Column | str, over=None) -> Column:
+    """Pearson correlation of complete pairs; NULL without spread (the built-in fails there in ANSI mode)."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    parts = (F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)), F.stddev_pop(F.when(a.isNotNull(), b)))
+    both, left, right = (p.over(over) for p in parts) if over is not None else parts
+    return ratio(both, left * right)
+
+
 def change(value: Column, n: int) -> Column:
     return ratio(value, back(value, n)) - 1
 

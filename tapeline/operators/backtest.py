@@ -45,15 +45,15 @@ def equity_curve(signals: DataFrame, cash: float, fee: float, slippage: float) -
     df = signals.withColumn("held", hold)
     df = df.withColumns({"was": F.coalesce(F.lag("held").over(w), F.lit(False)), "_pc": F.lag("close").over(w)})
     enter, leave = c("held") & ~c("was"), ~c("held") & c("was")
-    growth = (F.when(enter, c("close") / (c("open") * (1 + slippage) * (1 + fee)))
-              .when(leave, c("open") * (1 - slippage) * (1 - fee) / c("_pc"))
-              .when(c("held"), c("close") / c("_pc")).otherwise(1.0))
+    growth = (F.when(enter, ratio(c("close"), c("open") * (1 + slippage) * (1 + fee)))
+              .when(leave, ratio(c("open") * (1 - slippage) * (1 - fee), c("_pc")))
+              .when(c("held"), ratio(c("close"), c("_pc"))).otherwise(1.0))
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"enter": enter, "leave": leave,
                          "equity": cash * F.product(growth).over(up_to),
                          "last": F.max("ts").over(Window.partitionBy(*RUN_KEYS)) == c("ts")})
     first = F.first("close").over(up_to)
-    df = df.withColumns({"peak": F.greatest(F.lit(cash), F.max("equity").over(up_to)), "benchmark": cash * c("close") / first,
+    df = df.withColumns({"peak": F.greatest(F.lit(cash), F.max("equity").over(up_to)), "benchmark": ratio(cash * c("close"), first),
                          "trade": F.sum(enter.cast("long")).over(up_to),
                          "closing": F.when(c("last") & c("held"), c("equity") * (1 - slippage) * (1 - fee)).otherwise(c("equity"))})
     return df.withColumns({"drawdown": (c("peak") - c("equity")) / c("peak"), "published": F.round("closing", 2)}).drop("_pc", "was")
@@ -237,9 +237,9 @@ def path_risk(bars: DataFrame, steps: int, side: str = "LONG", stop_share: float
     w = ahead(1, steps)
     df = bars.withColumns({"_end": F.lead("close", steps).over(by_time()), "_lo": F.min("low").over(w), "_hi": F.max("high").over(w)}).filter("_end is not null")
     long = side == "LONG"
-    df = df.select(*KEYS, (c("_lo") / c("close") - 1 if long else c("close") / c("_hi") - 1).alias("mae"),
-                   (c("_hi") / c("close") - 1 if long else c("close") / c("_lo") - 1).alias("mfe"),
-                   ((c("_end") / c("close") - 1) * (1 if long else -1)).alias("ret"))
+    df = df.select(*KEYS, (ratio(c("_lo"), c("close")) - 1 if long else ratio(c("close"), c("_hi")) - 1).alias("mae"),
+                   (ratio(c("_hi"), c("close")) - 1 if long else ratio(c("close"), c("_lo")) - 1).alias("mfe"),
+                   ((ratio(c("_end"), c("close")) - 1) * (1 if long else -1)).alias("ret"))
     q = lambda name, p: F.percentile(name, F.lit(p))
     return df.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("samples"), q("mae", 0.5).alias("mae_median"), q("mae", 0.1).alias("mae_p10"),

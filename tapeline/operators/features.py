@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeline.functions.series import (KEYS, ahead, avg_n, back, change, clip, ewm, finite, full, max_n, min_n, numbered,
+from tapeline.functions.series import (KEYS, ahead, avg_n, back, change, clip, corr, ewm, finite, full, max_n, min_n, numbered,
                                        quantile_n, ratio, span_alpha, std_n, sum_n, trail, upto_now, whole, by_time)
 from tapeline.operators import indicators as ind
 from tapeline.schema import FEATURES
@@ -74,7 +74,7 @@ def volume_features(bars: DataFrame) -> DataFrame:
         "relative_volume": ratio(volume, quantile_n(volume, 60, 0.5)),
         "obv_change": change(F.col("obv"), 5),
         "money_flow": change(F.col("_tv"), 5),
-        "price_volume_corr": finite(full(F.corr(F.col("return_1"), F.col("_vr")), paired, 20)),
+        "price_volume_corr": finite(F.when(F.count(paired).over(trail(20)) >= 20, corr("return_1", "_vr", trail(20)))),
         "vwap_deviation": ratio(close, ratio(sum_n(F.col("_tv"), 20), sum_n(volume, 20))) - 1,
         "volume_trend": ratio(avg_n(volume, 5), avg_n(volume, 20)) - 1,
         "volume_divergence": -F.signum(change(close, 5)) * volume_sign,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeline.functions.series import KEYS, as_of, numbered, ratio
+from tapeline.functions.series import KEYS, as_of, corr, numbered, ratio
 from tapeline.schema import INTERVAL_MINUTES, SETTLEMENT_MINUTES, SETTLEMENT_STEPS
 
 
@@ -59,7 +59,7 @@ def settle(predictions: DataFrame, bars: DataFrame) -> DataFrame:
     c = F.col
     spans = settlement_bars(predictions, bars)
     df = spans.join(path_extremes(spans, bars), "id", "left")
-    change = c("end_close") / c("entry_price") - 1
+    change = ratio(c("end_close"), c("entry_price")) - 1
     side = F.when(c("prediction") == "UP", "LONG").when(c("prediction") == "DOWN", "SHORT").otherwise("FLAT")
     df = df.withColumns({"actual_return": change, "side": side})
     long, short = c("side") == "LONG", c("side") == "SHORT"
@@ -101,7 +101,7 @@ def resolve(predictions: DataFrame, bars: DataFrame) -> DataFrame:
     asked = as_of(asked.withColumn("event_ts", c("prediction_time")), frame, ["n"], strict=False, key="_sk").withColumnRenamed("n", "_start").drop("bar_ts")
     asked = asked.withColumn("first_n", F.least(c("_start") + 1, c("end_n")))
     df = asked.join(path_extremes(asked, bars), "id")
-    change = c("end_close") / c("entry_price") - 1
+    change = ratio(c("end_close"), c("entry_price")) - 1
     long, short = c("prediction") == "UP", c("prediction") == "DOWN"
     df = df.withColumn("actual_return", change)
     df = df.withColumn("actual", F.when(change > c("threshold"), "UP").when(change < -c("threshold"), "DOWN").otherwise("FLAT"))
@@ -113,8 +113,8 @@ def resolve(predictions: DataFrame, bars: DataFrame) -> DataFrame:
         "stop_hit": F.when(long, c("path_low") <= c("stop_loss")).when(short, c("path_high") >= c("stop_loss")).otherwise(False),
         "target_hit": F.when(long, c("path_high") >= c("tp1")).when(short, c("path_low") <= c("tp1")).otherwise(False),
         "realized_r": F.when(long | short, gain / F.greatest(F.abs(c("entry_price") - c("stop_loss")), F.lit(1e-12))).otherwise(0.0),
-        "mae": F.when(short, c("entry_price") / c("path_high") - 1).otherwise(c("path_low") / c("entry_price") - 1),
-        "mfe": F.when(short, c("entry_price") / c("path_low") - 1).otherwise(c("path_high") / c("entry_price") - 1),
+        "mae": F.when(short, ratio(c("entry_price"), c("path_high")) - 1).otherwise(ratio(c("path_low"), c("entry_price")) - 1),
+        "mfe": F.when(short, ratio(c("entry_price"), c("path_low")) - 1).otherwise(ratio(c("path_high"), c("entry_price")) - 1),
         "correct": c("actual") == c("prediction"), "failure": F.when(c("actual") != c("prediction"), failure)}).drop("_sk", "event_ts", "_start", "first_n", "end_n", "path_low", "path_high")
 
 
@@ -156,7 +156,7 @@ def statistics(resolved: DataFrame) -> DataFrame:
     r = c("realized_r")
     extra = {"stop_hit_rate": F.avg(c("stop_hit").cast("double")), "tp_hit_rate": F.avg(c("target_hit").cast("double")), "average_r": F.avg(r),
              "_g": F.sum(F.when(r > 0, r).otherwise(0.0)), "_l": F.sum(F.when(r < 0, -r).otherwise(0.0)), "_rs": F.stddev_samp(r),
-             "ic": F.corr(c("prob_up") - c("prob_down"), c("actual_return"))}
+             "ic": corr(c("prob_up") - c("prob_down"), c("actual_return"))}
     sets = resolved.groupingSets([[], ["horizon"], ["regime"]], "horizon", "regime").agg(
         F.grouping_id().alias("gid"), *[v.alias(k) for k, v in {**_scores(), **extra}.items()])
     out = _macro(sets).withColumns({"profit_factor": ratio(c("_g"), c("_l")), "sharpe": F.sqrt(F.lit(252.0)) * ratio(c("average_r"), c("_rs"))})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeline.functions.series import KEYS, back, by_time, change, clip, latest, max_n, numbered, ratio, std_n, trail, whole
+from tapeline.functions.series import KEYS, back, by_time, change, clip, corr, latest, max_n, numbered, ratio, std_n, trail, whole
 from tapeline.operators import candles
 from tapeline.session import cut
 
@@ -40,7 +40,7 @@ def capital_flow(bars: DataFrame, derivatives: DataFrame | None = None) -> DataF
         F.sum(F.when(recent & (c("_f") < 0), -c("_f")).otherwise(0.0)).alias("active_sell"))
     zero = F.lit(0.0)
     share, before = F.coalesce(ratio(c("net"), c("gross")), zero), F.coalesce(ratio(c("_pn"), c("_pg")), zero)
-    out = out.withColumns({"flow_ratio": share, "_before": before, "momentum": c("_c1") / c("_c0") - 1,
+    out = out.withColumns({"flow_ratio": share, "_before": before, "momentum": ratio(c("_c1"), c("_c0")) - 1,
                            "persistence": F.when(c("net") != 0, c("_p")).otherwise(0.5)})
     flow, move = c("flow_ratio"), c("momentum")
     out = out.select(*KEYS, "net", "gross", "flow_ratio", (flow - c("_before") / 2).alias("flow_momentum"), (flow - c("_before")).alias("flow_acceleration"),
@@ -194,7 +194,7 @@ def rotation(bars: DataFrame, window: int = 40) -> DataFrame:
     df = bars.withColumn("_r", F.row_number().over(_from_end())).filter(c("_r") <= window)
     df = df.withColumns({"_p": back("close"), "_t": F.when(c("amount") != 0, c("amount")).otherwise(c("close") * c("volume"))})
     out = df.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("bars"), (F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("ret"),
+        F.count(F.lit(1)).alias("bars"), (ratio(F.max_by("close", "ts"), F.min_by("close", "ts")) - 1).alias("ret"),
         F.sum(F.when(c("_p").isNotNull(), c("_t") * F.signum(c("close") - c("_p")))).alias("_s"), F.sum(F.when(c("_p").isNotNull(), F.abs("_t"))).alias("_g"))
     flow = c("_s") / F.greatest(c("_g"), F.lit(1e-12))
     out = out.filter("bars >= 8").select(*KEYS, "ret", flow.alias("flow_ratio"), (c("ret") * 4 + flow).alias("rotation_score"))
@@ -217,7 +217,7 @@ def cross_correlation(bars: DataFrame, target: str, window: int = 120, least: in
     newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
     size = F.least(F.lit(window), F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     pairs = pairs.withColumns({"_r": newest, "_k": size}).filter(F.col("_r") <= F.col("_k"))
-    return (pairs.groupBy("symbol").agg(F.corr("_mine", "ret").alias("correlation"), F.count(F.lit(1)).alias("samples"))
+    return (pairs.groupBy("symbol").agg(corr("_mine", "ret").alias("correlation"), F.count(F.lit(1)).alias("samples"))
             .filter(F.col("samples") >= least).withColumn("target", F.lit(target)))
 
 
@@ -374,9 +374,9 @@ def timeframe_matrix(bars: DataFrame, source_minutes: int, targets: dict[str, in
                          "_r": F.row_number().over(_from_end()), "_n": F.count(F.lit(1)).over(whole()), "_mom": change(c("close"), 5)})
     cut = lambda n, v: F.when(c("_r") <= n, v)
     out = df.groupBy(*KEYS).agg(
-        F.max("_n").alias("bars"), (F.max_by("close", "ts") / F.avg(cut(20, c("close"))) - 1).alias("trend_gap"),
+        F.max("_n").alias("bars"), (ratio(F.max_by("close", "ts"), F.avg(cut(20, c("close")))) - 1).alias("trend_gap"),
         (F.sum(cut(10, F.coalesce(F.signum("_ret"), F.lit(0.0)) * c("volume"))) / F.greatest(F.sum(cut(10, c("volume"))), F.lit(1e-12))).alias("flow"),
-        F.stddev_samp(cut(20, c("_ret"))).alias("volatility"), (F.avg(cut(14, c("_tr"))) / F.max_by("close", "ts")).alias("atr_share"),
+        F.stddev_samp(cut(20, c("_ret"))).alias("volatility"), ratio(F.avg(cut(14, c("_tr"))), F.max_by("close", "ts")).alias("atr_share"),
         F.min(cut(40, c("low"))).alias("support"), F.max(cut(40, c("high"))).alias("resistance"), F.max_by("_mom", "ts").alias("momentum"))
     t, f = c("trend_gap"), c("flow")
     return out.select(*KEYS, "bars", F.when(c("bars") < 20, "INSUFFICIENT_DATA").otherwise("AVAILABLE").alias("status"),

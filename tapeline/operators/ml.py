@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeline.functions.series import ratio
+from tapeline.functions.series import corr, ratio
 from tapeline.session import cut
 
 CLASSES = (-1, 0, 1)
@@ -199,7 +199,7 @@ def class_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
         aggs[f"_l{i}"] = F.sum((c("label") == k).cast("double"))
     aggs["brier"] = F.avg(brier)
     aggs["log_loss"] = -F.avg(F.ln(F.least(F.lit(1.0), F.greatest(mine, F.lit(1e-12)))))
-    aggs["ic"] = F.corr(c("prob_up") - c("prob_down"), c("future_return")) if "future_return" in df.columns else F.lit(None).cast("double")
+    aggs["ic"] = corr(c("prob_up") - c("prob_down"), c("future_return")) if "future_return" in df.columns else F.lit(None).cast("double")
     out = df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
     recall = [ratio(c(f"_t{i}"), c(f"_l{i}")) for i in range(3)]
     seen = sum((r.isNotNull().cast("int") for r in recall[1:]), recall[0].isNotNull().cast("int"))
@@ -227,7 +227,7 @@ def rank_ic(df: DataFrame, score: str, outcome: str, group: list[str]) -> DataFr
         return tally.select(*group, name, (before + (c("_k") + 1) / 2).alias(f"_rank_{name}"))
 
     both = df.select(*group, score, outcome).join(ranked(score), [*group, score]).join(ranked(outcome), [*group, outcome])
-    out = both.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.corr(score, outcome).alias("ic"), F.corr(f"_rank_{score}", f"_rank_{outcome}").alias("rank_ic"))
+    out = both.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), corr(score, outcome).alias("ic"), corr(f"_rank_{score}", f"_rank_{outcome}").alias("rank_ic"))
     known = lambda x: F.when((c("rows") >= 3) & ~F.isnan(x), c(x))
     return out.withColumns({"ic": known("ic"), "rank_ic": known("rank_ic")})
 
@@ -362,9 +362,9 @@ def research_returns(df: DataFrame, holding: int, cost: float) -> DataFrame:
 def buy_and_hold(bars: DataFrame, periods: int) -> DataFrame:
     c = F.col
     w = Window.partitionBy("symbol").orderBy("ts")
-    df = bars.withColumns({"_r": c("close") / F.lag("close").over(w) - 1, "_top": F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    out = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("samples"), (F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("net_return"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"),
-                                   F.min(c("close") / c("_top") - 1).alias("maximum_drawdown"))
+    df = bars.withColumns({"_r": ratio(c("close"), F.lag("close").over(w)) - 1, "_top": F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    out = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("samples"), (ratio(F.max_by("close", "ts"), F.min_by("close", "ts")) - 1).alias("net_return"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"),
+                                   F.min(ratio(c("close"), c("_top")) - 1).alias("maximum_drawdown"))
     return out.select("symbol", "samples", "net_return", (ratio(c("_m"), c("_s")) * periods ** 0.5).alias("sharpe"), "maximum_drawdown")
 
 

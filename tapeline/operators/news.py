@@ -413,7 +413,7 @@ def event_outcomes(events: DataFrame, bars: DataFrame, horizons: tuple = (1, 3,
         spread = hit.select("id", key, "n", c("bar_ts").alias("entry_ts"), c("open").alias("entry"), "_pre", F.explode(steps).alias("h"))
         ends = frame.select(key, c("n").alias("_en"), c("close").alias("_x"))
         got = spread.withColumn("_en", c("n") + c("h") - 1).join(ends, [key, "_en"])
-        return got.select("id", "h", "entry_ts", "entry", (c("_x") / c("entry") - 1).alias(f"{tag}ret"), (c("_x") / c("_pre") - 1).alias(f"{tag}window"))
+        return got.select("id", "h", "entry_ts", "entry", (ratio(c("_x"), c("entry")) - 1).alias(f"{tag}ret"), (ratio(c("_x"), c("_pre")) - 1).alias(f"{tag}window"))
 
     out = run(events, series, "symbol", "")
     if benchmark is not None:
@@ -450,7 +450,7 @@ def priced_in(events: DataFrame, bars: DataFrame, before: int = 8, after: int =
     hit = hit.filter((c("_b1") - c("_b0") >= 1) & (c("_a1") - c("_a0") >= 1)).select("id", "symbol", F.array("_b0", "_b1", "_a0", "_a1").alias("_k"))
     flat = hit.select("id", "symbol", F.posexplode("_k").alias("_i", "n")).join(series.select("symbol", "n", "close"), ["symbol", "n"])
     wide = flat.groupBy("id", "symbol").agg(*[F.max(F.when(c("_i") == i, c("close"))).alias(f"_c{i}") for i in range(4)])
-    wide = wide.withColumns({"pre_return": c("_c1") / c("_c0") - 1, "post_return": c("_c3") / c("_c2") - 1})
+    wide = wide.withColumns({"pre_return": ratio(c("_c1"), c("_c0")) - 1, "post_return": ratio(c("_c3"), c("_c2")) - 1})
     score = clip(F.abs("pre_return") / (F.abs("pre_return") + F.abs("post_return") + 1e-9), 0.0, 1.0)
     return wide.select("id", "symbol", "pre_return", "post_return", score.alias("score")).withColumn(
         "assessment", F.when(c("score") > 0.67, "MOSTLY_PRICED").when(c("score") > 0.34, "PARTLY_PRICED").otherwise("NOT_YET_PRICED"))

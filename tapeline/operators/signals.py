@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tapeline.functions.kernels import (expanding_regularity, expanding_share, open_gaps, stop_and_reverse,
                                         structure_breaks)
-from tapeline.functions.series import (KEYS, ahead, back, before_now, by_time, clip, crossed_down, crossed_up, max_n,
+from tapeline.functions.series import (KEYS, ahead, back, before_now, by_time, clip, corr, crossed_down, crossed_up, max_n,
                                        min_n, ratio, trail, upto_now, whole)
 from tapeline.operators import indicators as ind, structure as st
 
@@ -389,6 +389,6 @@ def correlation_matrix(bars: DataFrame) -> DataFrame:
     rows = bars.select(*KEYS, *[v.alias(k) for k, v in named.items()]).dropna()
     names = list(named)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    wide = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("samples"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("samples"), *[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return (wide.filter("samples >= 30").unpivot([*KEYS, "samples"], [f"`{a}|{b}`" for a, b in pairs], "pair", "correlation")
             .withColumns({"left": F.split("pair", r"\|")[0], "right": F.split("pair", r"\|")[1]}).drop("pair"))

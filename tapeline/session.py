@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder (a temporary one only where none is named)."""
+    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/tapeline-{uuid.uuid4().hex}"

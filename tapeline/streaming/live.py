@@ -45,13 +45,14 @@ def unique_headlines(items: DataFrame, delay: str = "7 days") -> DataFrame:
     return items.dropDuplicates(["symbol", "link"])
 
 
-def live_bars(trades: DataFrame, intervals: tuple[str, ...] = INTERVALS, delay: str = "10 minutes") -> DataFrame:
+def live_bars(trades: DataFrame, intervals: tuple[str, ...] = INTERVALS, delay: str | None = "10 minutes") -> DataFrame:
     """Tumbling bars of several intervals; in update mode the open bar changes in place.
 
-    Open and close use (ts, trade_id) order rather than arrival.  Late trades beyond the watermark are dropped.
+    Open and close use (ts, trade_id) order rather than arrival.  Late trades beyond the watermark are dropped;
+    ``delay=None`` keeps the watermark that the stream already has.
     """
     c = F.col
-    if trades.isStreaming:
+    if trades.isStreaming and delay:
         trades = trades.withWatermark("ts", delay)
     table = F.array(*[F.struct(F.lit(k).alias("interval"), F.lit(INTERVAL_MINUTES[k] * 60).alias("seconds")) for k in intervals])
     spread = trades.select("*", F.inline(table)).withColumn("bar_ts", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / c("seconds")) * c("seconds")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -9,6 +11,7 @@ from tapeline.functions.kernels import spaced
 from tapeline.functions.series import KEYS, ahead, back, by_time, clip, numbered, ratio, whole
 from tapeline.operators import signals as sg
 from tapeline.schema import INTERVAL_MINUTES
+from tapeline.session import cut
 
 RUN_KEYS = (*KEYS, "strategy")
 
@@ -140,17 +143,18 @@ def with_path(ctx: DataFrame, horizon: int) -> DataFrame:
 
 
 def barrier_trades(ctx: DataFrame, keys: list[str], *, fee: float = 0.001, slippage: float = 0.0005, horizon: int = 8,
-                   first_bar: int | Column = 80, last_bar: Column | None = None, threshold: float | str = 24.0,
-                   group: tuple[str, ...] = RUN_KEYS) -> DataFrame:
+                   first_bar: int | Column = 80, threshold: float | str = 24.0, group: tuple[str, ...] = RUN_KEYS,
+                   spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Signal at close, entry at the next open, exit at stop, target or after ``horizon`` bars.
 
     Stop first when one bar touches both.  Trades of a run never overlap: after a
-    trade the next ``horizon`` bars are skipped.
+    trade the next ``horizon`` bars are skipped.  ``spread`` may tag or multiply the
+    decision bars (folds, parameters) once their paths are attached; its columns go into ``group``.
     """
     c = F.col
     ctx = with_path(ctx, horizon)
-    bars = last_bar if last_bar is not None else c("bars")
-    found = sg.signals(ctx.filter((c("n") >= first_bar) & (c("n") < bars - horizon - 1)), keys, threshold)
+    ctx = ctx.filter((c("n") >= first_bar) & (c("n") < c("bars") - horizon - 1))
+    found = sg.signals(spread(ctx) if spread else ctx, keys, threshold)
     found = found.filter("status = 'AVAILABLE' and signal <> 'HOLD'")
     side = F.when(c("signal") == "BUY", 1).otherwise(-1)
     entry = F.element_at("path", 1)["open"] * (1 + side * slippage)
@@ -204,20 +208,61 @@ def trade_metrics(trade_list: DataFrame, group: tuple[str, ...] = RUN_KEYS) -> D
 
 
 def walk_forward(ctx: DataFrame, keys: list[str], folds: int = 4, least: int = 120, embargo: int = 8) -> DataFrame:
-    """Expanding folds: trades whose signal lies after each fold's embargo and whose path ends in its test span."""
+    """Expanding folds: signals after each fold's embargo whose path ends inside its test span."""
     c = F.col
-    sized = ctx.withColumn("bars", F.max("n").over(whole()) + 1).filter(c("bars") >= least + 80)
-    edge = lambda i: F.floor(F.lit(least) + (c("bars") - least) * i / folds)
-    spans = F.array(*[F.struct(F.lit(i + 1).alias("fold"), edge(i).alias("train_end"), edge(i + 1).alias("test_end")) for i in range(folds)])
-    # Only rows inside a fold's test span are copied, so each bar stays single.
-    spread = with_path(sized, 8).withColumn("_span", F.element_at(F.filter(spans, lambda s: (c("n") >= s["train_end"] + embargo) & (c("n") < s["test_end"] - 9)), 1))
-    spread = spread.filter("_span is not null").select("*", "_span.fold", "_span.test_end").drop("_span", "path", "bars")
-    return trade_metrics(_fold_trades(spread, sized, keys), (*RUN_KEYS, "fold"))
-
-
-def _fold_trades(spread: DataFrame, sized: DataFrame, keys: list[str]) -> DataFrame:
-    marks = spread.select(*KEYS, "n", "fold")
-    return barrier_trades(sized.drop("bars").join(marks, [*KEYS, "n"], "left"), keys, first_bar=0, group=(*RUN_KEYS, "fold")).filter("fold is not null")
+
+    def tag(df: DataFrame) -> DataFrame:
+        edge = lambda i: F.floor(least + (c("bars") - least) * i / folds)
+        fold = F.lit(None).cast("int")
+        for i in range(folds):
+            fold = F.when((c("n") >= edge(i) + embargo) & (c("n") < edge(i + 1) - 9), i + 1).otherwise(fold)
+        return df.filter(c("bars") >= least + 80).withColumn("fold", fold).filter("fold is not null")
+
+    group = (*RUN_KEYS, "fold")
+    return trade_metrics(barrier_trades(ctx, keys, first_bar=0, group=group, spread=tag), group)
+
+
+def parameter_grid(bars: DataFrame, key: str, swings: tuple[int, ...] = (2, 3, 4), thresholds: tuple[float, ...] = (20.0, 28.0, 36.0), embargo: int = 12) -> DataFrame:
+    """Swing width and signal threshold by segment: screened on train, chosen on validation, judged out of sample.
+
+    Returns every combination's metrics per segment, its selection score and which one is locked.
+    """
+    c = F.col
+
+    def tag(df: DataFrame) -> DataFrame:
+        train, valid = F.floor(c("bars") * 0.55), F.floor(c("bars") * 0.75)
+        part = (F.when((c("n") >= 80) & (c("n") < train - 9), "train").when((c("n") >= train + embargo) & (c("n") < valid - 9), "validation")
+                .when(c("n") >= valid + embargo, "out_of_sample"))
+        df = df.filter(c("bars") >= 360).withColumn("segment", part).filter("segment is not null")
+        return df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+
+    group = (*RUN_KEYS, "swing", "threshold", "segment")
+    found = None
+    for width in swings:
+        ctx = cut(sg.context(bars, swing=width)).withColumn("swing", F.lit(width))
+        part = barrier_trades(ctx, [key], first_bar=0, threshold="threshold", group=group, spread=tag)
+        found = part if found is None else found.unionByName(part)
+    m = trade_metrics(found, group)
+    combo = Window.partitionBy(*RUN_KEYS, "swing", "threshold")
+    at = lambda seg, name: F.max(F.when(c("segment") == seg, c(name))).over(combo)
+    score = at("validation", "expectancy") + 0.05 * at("validation", "sharpe") - 0.1 * at("validation", "max_drawdown")
+    able = (at("train", "number_of_trades") >= 2) & (at("validation", "number_of_trades") >= 2)
+    m = m.withColumn("selection_score", F.when(able, score))
+    best = F.max(F.struct("selection_score", -c("swing"), -c("threshold"))).over(Window.partitionBy(*RUN_KEYS))
+    locked = c("selection_score").isNotNull() & (F.struct("selection_score", -c("swing"), -c("threshold")) == best)
+    return m.withColumn("locked", locked)
+
+
+def incremental(metrics_table: DataFrame, combined: str, baseline: str) -> DataFrame:
+    """What a combined strategy adds to a baseline, per series; judged only with five trades on both sides."""
+    c = F.col
+    names = ("win_rate", "expectancy", "sharpe", "max_drawdown")
+    a = metrics_table.filter(c("strategy") == combined).select(*KEYS, c("number_of_trades").alias("_na"), *[c(n).alias(f"_a_{n}") for n in names])
+    b = metrics_table.filter(c("strategy") == baseline).select(*KEYS, c("number_of_trades").alias("_nb"), *[c(n).alias(f"_b_{n}") for n in names])
+    j = a.join(b, list(KEYS), "full")
+    zero = F.lit(0.0)
+    return j.select(*KEYS, *[(F.coalesce(f"_a_{n}", zero) - F.coalesce(f"_b_{n}", zero)).alias(n) for n in names],
+                    F.when((F.coalesce("_na", F.lit(0)) >= 5) & (F.coalesce("_nb", F.lit(0)) >= 5), "VALIDATED").otherwise("NOT_VALIDATED").alias("status"))
 
 
 def leaderboard(runs: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def _vote(up: Column, down: Column) -> Column:
     return F.when(up, 1.0).when(down, -1.0).otherwise(0.0)
 
 
-def measures(bars: DataFrame) -> DataFrame:
+def measures(bars: DataFrame, swing: int = 3) -> DataFrame:
     """Window measures that rules share: slopes, crosses, divergences, ranges, swings and levels."""
-    bars = st.with_recent_swings(st.with_fib(st.swings(ind.strategy(bars, with_sar=False))))
+    bars = st.with_recent_swings(st.with_fib(st.swings(ind.strategy(bars, with_sar=False), swing, swing), swing), swing)
     bars = bars.withColumns({f"{t}{i}_{f}": F.col(f"{t}{i}.{f}") for t in "hl" for i in (1, 2, 3) for f in ("n", "price")})
     high_slope, low_slope = st.slope3("h"), st.slope3("l")
     close = F.col("close")
@@ -113,9 +113,9 @@ def states(measured: DataFrame, right: int = 3) -> DataFrame:
     return measured.groupBy(*KEYS).applyInPandas(run, schema)
 
 
-def context(bars: DataFrame, flow: DataFrame | None = None) -> DataFrame:
+def context(bars: DataFrame, flow: DataFrame | None = None, swing: int = 3) -> DataFrame:
     """Every column the rules read, at every bar.  ``flow`` adds bid_volume and ask_volume per symbol."""
-    out = states(measures(bars))
+    out = states(measures(bars, swing), swing)
     trend_score = F.tanh((F.col("ema20_slope8") + F.col("ema50_slope12")) / F.greatest(F.coalesce("sx_atr_percent", F.lit(0.0)), F.lit(1e-6)))
     adx = F.coalesce("sx_adx", F.lit(0.0))
     rank = F.coalesce("vol_rank", F.lit(0.5))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -278,29 +278,81 @@ def _rare_first(items: DataFrame, tokens: str) -> DataFrame:
     return items.join(ranked, "key")
 
 
-def jaccard_pairs(items: DataFrame, threshold: float, n: int = 3) -> DataFrame:
-    """All pairs of texts (key, norm; keys distinct) with n-gram Jaccard at or above ``threshold``.
+def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame]], alike: Callable[[DataFrame], DataFrame], batch: int = 32) -> DataFrame:
+    """Greedy groups in key order: a key leads unless an earlier leader is alike; else it joins the earliest such leader.
+
+    ``relations`` are pairs of (key, token) tables: a possible leader from the first meets a later key
+    from the second on a shared token.  ``alike`` keeps the candidate pairs (a, b) that are alike.
+
+    Only possible leaders are ever compared, the first ``batch`` of a token at a time (doubling per
+    round).  A family of copies therefore costs its size times a constant: once its first member
+    leads, the others stop being compared with each other.  No pair is capped away: the loop ends
+    with a round that covered every possible leader of every token and settled every key.
+    """
+    c = F.col
+    relations = [(cut(left), cut(right)) for left, right in relations]
+    state = cut(items.select("key", F.lit(None).cast("boolean").alias("leads")))
+    while True:
+        able = state.filter(c("leads").isNull() | c("leads")).select("key")
+        pairs, overflow = None, None
+        for left, right in relations:
+            place = F.row_number().over(Window.partitionBy("_t").orderBy("key"))
+            ranked = left.join(able, "key", "left_semi").withColumn("_p", place).filter(c("_p") <= batch + 1)
+            late = ranked.filter(c("_p") > batch).select("_t", c("key").alias("_from"))
+            near = ranked.filter(c("_p") <= batch).select("_t", c("key").alias("a")).join(right.select("_t", c("key").alias("b")), "_t").filter("a < b").select("a", "b")
+            # Later keys of a token with more possible leaders than the batch are not fully compared yet.
+            rest = right.join(late, "_t").filter(c("key") > c("_from")).select("key")
+            pairs = near if pairs is None else pairs.unionByName(near)
+            overflow = rest if overflow is None else overflow.unionByName(rest)
+        edges = cut(alike(pairs.distinct()))
+        partial = cut(overflow.distinct().withColumn("_partial", F.lit(True)))
+        while True:  # settle what these edges decide
+            verdict = edges.join(state.select(c("key").alias("a"), "leads"), "a").groupBy(c("b").alias("key")).agg(
+                F.max(F.coalesce(c("leads"), F.lit(False)).cast("int")).alias("_led"), F.sum(c("leads").isNull().cast("int")).alias("_open"))
+            fresh = (state.join(verdict, "key", "left").join(partial, "key", "left").select("key", "leads", F.coalesce("leads", F.when(c("_led") == 1, False).when(
+                c("_partial").isNull() & (F.coalesce("_open", F.lit(0)) == 0), True)).alias("_new")))
+            fresh = cut(fresh)
+            moved = fresh.filter("leads is null and _new is not null").limit(1).count()
+            state = fresh.select("key", c("_new").alias("leads"))
+            if not moved:
+                break
+        if partial.limit(1).count() == 0 and state.filter("leads is null").limit(1).count() == 0:
+            break
+        batch *= 2
+    leaders = state.filter("leads").select(c("key").alias("a"))
+    joined = edges.join(leaders, "a").groupBy(c("b").alias("key")).agg(F.min("a").alias("_lead"))
+    return state.join(joined, "key", "left").select("key", F.when(c("leads"), c("key")).otherwise(c("_lead")).alias("leader"))
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    c = F.col
+    return pairs.join(texts.select(c("key").alias("a"), c("norm").alias("_na")), "a").join(texts.select(c("key").alias("b"), c("norm").alias("_nb")), "b")
+
+
+def jaccard_groups(items: DataFrame, threshold: float, n: int = 3) -> DataFrame:
+    """Greedy groups of texts (key, norm; distinct) by n-gram Jaccard similarity.
 
     Exact prefix filter: with grams ordered rare to common, two sets this alike must share a gram
-    within their first ``size - ceil(threshold*size) + 1``.  Only those rare grams are joined, so
-    common grams never build large groups, and every candidate is verified.
+    within their first ``size - ceil(threshold*size) + 1``.  Only those rare grams are joined, and
+    every candidate is verified.
     """
     c = F.col
     sets = items.filter("norm <> ''").select("key", grams(F.col("norm"), n).alias("grams"))
-    sets = _rare_first(sets, "grams").withColumn("_m", F.size("grams"))
+    sets = cut(_rare_first(sets, "grams").withColumn("_m", F.size("grams")))
     prefix = (c("_m") - F.ceil(c("_m") * threshold - 1e-9) + 1).cast("int")
-    heads = sets.select("key", "_m", F.explode(F.slice("_ranked", 1, prefix)).alias("_t"))
-    left, right = heads.select(c("key").alias("a"), c("_m").alias("_ma"), "_t"), heads.select(c("key").alias("b"), c("_m").alias("_mb"), "_t")
-    near = left.join(right, "_t").filter((c("a") < c("b")) & (F.least("_ma", "_mb") >= F.greatest("_ma", "_mb") * threshold - 1e-9)).select("a", "b").distinct()
-    full = sets.select("key", "grams")
-    both = near.join(full.select(c("key").alias("a"), c("grams").alias("_ga")), "a").join(full.select(c("key").alias("b"), c("grams").alias("_gb")), "b")
-    shared = F.size(F.array_intersect("_ga", "_gb"))
-    value = shared / (F.size("_ga") + F.size("_gb") - shared)
-    return both.select("a", "b", value.alias("similarity")).filter(c("similarity") >= threshold)
+    heads = sets.select("key", F.explode(F.slice("_ranked", 1, prefix)).alias("_t"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(c("key").alias("a"), c("grams").alias("_ga"), c("_m").alias("_ma")), "a").join(sets.select(c("key").alias("b"), c("grams").alias("_gb"), c("_m").alias("_mb")), "b")
+        both = both.filter(F.least("_ma", "_mb") >= F.greatest("_ma", "_mb") * threshold - 1e-9)
+        shared = F.size(F.array_intersect("_ga", "_gb"))
+        return both.filter(shared / (c("_ma") + c("_mb") - shared) >= threshold).select("a", "b")
+
+    return lead_groups(items, [(heads, heads)], alike)
 
 
-def ratio_pairs(items: DataFrame, threshold: float = 0.86) -> DataFrame:
-    """All pairs of texts whose matching-block ratio reaches ``threshold`` or of which one contains the other.
+def ratio_groups(items: DataFrame, threshold: float = 0.86) -> DataFrame:
+    """Greedy groups of texts whose matching-block ratio reaches ``threshold`` or of which one contains the other.
 
     Candidates are exact supersets.  A ratio of r leaves at most (1-r)*(len a + len b) inserted or
     deleted characters, each of which destroys at most two 2-grams, so both texts share one of
@@ -309,75 +361,51 @@ def ratio_pairs(items: DataFrame, threshold: float = 0.86) -> DataFrame:
     c = F.col
     from difflib import SequenceMatcher
 
-    texts = items.filter("norm <> ''").select("key", "norm")
-    occurrences = _runs(c("norm"), 2)
+    texts = cut(items.filter("norm <> ''").select("key", "norm"))
     # Repeated grams are told apart by their count, so the set keeps multiplicity.
-    flat = texts.select("key", F.posexplode(occurrences).alias("_i", "_g"))
+    flat = texts.select("key", F.posexplode(_runs(c("norm"), 2)).alias("_i", "_g"))
     flat = flat.select("key", F.concat_ws("#", "_g", F.row_number().over(Window.partitionBy("key", "_g").orderBy("_i")).cast("string")).alias("_t"))
     freq = flat.groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
     ranked = flat.join(freq, "_t").groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias("_ranked"))
-    sets = texts.join(ranked, "key").withColumn("_len", F.length("norm"))
-    # The partner is at most len*r/(2-r) .. len*(2-r)/r long; edits are bounded by the longest partner.
+    sets = cut(texts.join(ranked, "key").select("key", "_ranked", F.length("norm").alias("_len")))
+    # The partner is at most (2-r)/r times as long; edits are bounded by the longest partner.
     widest = (2 - threshold) / threshold
     edits = F.floor((1 - threshold) * (1 + widest) * c("_len") + 1e-9)
-    heads = sets.select("key", "_len", F.explode(F.slice("_ranked", 1, (2 * edits + 1).cast("int"))).alias("_t"))
-    left, right = heads.select(c("key").alias("a"), c("_len").alias("_la"), "_t"), heads.select(c("key").alias("b"), c("_len").alias("_lb"), "_t")
-    near = (left.join(right, "_t").filter((c("a") < c("b")) & (F.greatest("_la", "_lb") <= F.least("_la", "_lb") * widest + 1e-9)).select("a", "b").distinct())
-    parts = F.array_distinct(F.concat(grams(c("norm"), 1), grams(c("norm"), 2)))
-    index = texts.select(c("key").alias("_outer"), F.explode(parts).alias("_t"))
-    rarest = sets.select(c("key").alias("_inner"), F.split(F.element_at("_ranked", 1), "#")[0].alias("_t"))
-    inside = rarest.join(index, "_t").filter("_inner <> _outer").select(F.least("_inner", "_outer").alias("a"), F.greatest("_inner", "_outer").alias("b")).distinct()
-    inside = (inside.join(texts.select(c("key").alias("a"), c("norm").alias("_na")), "a").join(texts.select(c("key").alias("b"), c("norm").alias("_nb")), "b")
-              .filter(F.contains("_na", c("_nb")) | F.contains("_nb", c("_na"))).select("a", "b"))
+    heads = sets.select("key", F.explode(F.slice("_ranked", 1, (2 * edits + 1).cast("int"))).alias("_t"))
+    index = texts.select("key", F.explode(F.array_distinct(F.concat(grams(c("norm"), 1), grams(c("norm"), 2)))).alias("_t"))
+    rarest = sets.select("key", F.split(F.element_at("_ranked", 1), "#")[0].alias("_t"))
 
     @F.pandas_udf("double")
     def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
-    # The later key is the newer text, compared against the older one.
-    scored = (near.join(texts.select(c("key").alias("a"), c("norm").alias("_na")), "a").join(texts.select(c("key").alias("b"), c("norm").alias("_nb")), "b")
-              .filter(block_ratio(c("_nb"), c("_na")) >= threshold).select("a", "b"))
-    return scored.unionByName(inside).distinct()
-
-
-def first_come_groups(keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Greedy groups in key order: a key leads unless an earlier leader is alike; else it joins the earliest such leader.
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = _with_texts(pairs, texts)
+        inside = F.contains("_na", c("_nb")) | F.contains("_nb", c("_na"))
+        long = F.greatest(F.length("_na"), F.length("_nb")) <= F.least(F.length("_na"), F.length("_nb")) * widest + 1e-9
+        contained = both.filter(inside).select("a", "b")
+        # The later key is compared against the earlier one.
+        close = both.filter(~inside & long).filter(block_ratio(c("_nb"), c("_na")) >= threshold).select("a", "b")
+        return contained.unionByName(close)
 
-    Rounds over the sparse pair table: keys whose earlier neighbours are all settled decide together.
-    Each round is written out, so lineage stays short and a lost executor costs one round.
-    """
-    c = F.col
-    pairs = cut(pairs.select("a", "b"))  # a < b
-    state = cut(keys.select("key").join(pairs.select(c("b").alias("key")).distinct().withColumn("_later", F.lit(1)), "key", "left")
-                .select("key", F.when(c("_later").isNull(), True).alias("leads")))
-    while True:
-        known = pairs.join(state.select(c("key").alias("a"), "leads"), "a")
-        # A leader among the earlier neighbours decides at once; otherwise all of them must be settled.
-        verdict = known.groupBy(c("b").alias("key")).agg(F.max(F.coalesce(c("leads"), F.lit(False)).cast("int")).alias("_led"), F.sum(c("leads").isNull().cast("int")).alias("_open"))
-        fresh = state.join(verdict, "key", "left").select("key", F.coalesce("leads", F.when(c("_led") == 1, False).when(c("_open") == 0, True)).alias("leads"))
-        state = cut(fresh)
-        if state.filter("leads is null").limit(1).count() == 0:
-            break
-    leaders = state.filter("leads").select(c("key").alias("a"))
-    joined = pairs.join(leaders, "a").groupBy(c("b").alias("key")).agg(F.min("a").alias("_lead"))
-    return state.join(joined, "key", "left").select("key", F.when(c("leads"), c("key")).otherwise(c("_lead")).alias("leader"))
+    return lead_groups(items, [(heads, heads), (rarest, index), (index, rarest)], alike)
 
 
 def dedupe(news: DataFrame, threshold: float = 0.86) -> DataFrame:
     """One row per story: newest item first, near copies folded into it, with its sources and symbols.
 
     Equal titles collapse first in one map-side-combined aggregation, so a title carried by a
-    third of all items never forms pairs.
+    third of all items is one row afterwards.
     """
     c = F.col
     slim = news.withColumn("norm", title_norm(c("title")))
     stories = slim.groupBy("norm").agg(F.max(F.struct("published_at", "id")).alias("_new"), F.count(F.lit(1)).alias("items"), F.collect_set("source").alias("_sources"))
     stories = stories.select("norm", c("_new.published_at").alias("published_at"), c("_new.id").alias("id"), "items", "_sources")
-    # Newest first: keys ascend with age.  Composite text keys keep the order without numbering all rows.
+    # Newest first: keys ascend with age.  Text keys keep the order without numbering all rows.
     key = F.concat(F.lpad((F.lit(10 ** 12) - F.coalesce(F.unix_seconds("published_at"), F.lit(0))).cast("string"), 13, "0"), F.lit("|"), F.lpad(c("id").cast("string"), 20, "0"))
     stories = cut(stories.withColumn("key", key))
-    groups = first_come_groups(stories, ratio_pairs(stories, threshold))
-    merged = stories.join(groups, "key").groupBy("leader").agg(F.sum("items").alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_sources")))).alias("sources"), F.count(F.lit(1)).alias("titles"))
+    groups = ratio_groups(stories, threshold)
+    merged = stories.join(groups, "key").groupBy("leader").agg(F.sum("items").alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_sources")))).alias("sources"), F.count(F.lit(1)).alias("titles"))
     return merged.join(stories.select(c("key").alias("leader"), "id", "norm", "published_at"), "leader").select("id", "norm", "published_at", "items", "titles", "sources", F.size("sources").alias("related_sources"))
 
 
@@ -387,7 +415,7 @@ def clusters(news: DataFrame, threshold: float = 0.72) -> DataFrame:
     slim = news.withColumn("norm", letters(c("title"))).filter("norm <> ''")
     stories = slim.groupBy("norm").agg(F.min("id").alias("_first")).withColumn("key", F.lpad(c("_first").cast("string"), 20, "0"))
     stories = cut(stories)
-    groups = first_come_groups(stories, jaccard_pairs(stories, threshold))
+    groups = jaccard_groups(stories, threshold)
     names = stories.join(groups, "key").select("norm", "_first", "key", "leader")
     out = slim.select("id", "norm").join(names, "norm")
     relation = F.when(c("id") != c("_first"), "DUPLICATE").when(c("key") != c("leader"), "FOLLOW_UP").otherwise("ORIGINAL")

@@ -29,7 +29,7 @@ def backtest_metrics(spark, d):
     curve = _curve(spark, d)
     return show(bt.metrics(curve, bt.trades(curve, CASH), CASH), "symbol", "strategy", "return_percent", "max_drawdown_percent",
                 "benchmark_return_percent", "sharpe_ratio", "sortino_ratio", "trade_count", "winning_trades", "losing_trades", "win_rate_percent",
-                "profit_factor", return_percent=2, sharpe_ratio=2, sortino_ratio=2, profit_factor=2)
+                "profit_factor", return_percent=2, sharpe_ratio=3, sortino_ratio=3, profit_factor=3)
 
 
 def backtest_rsi_hold(spark, d):
@@ -116,9 +116,9 @@ METRICS_SQL = f"""{EQ_HEAD}, {TRADES_SQL},
  b AS (SELECT symbol, strategy, max((peak - equity) / peak) AS dd, arg_max(close / c0, i) AS bench FROM s GROUP BY 1, 2),
  t2 AS (SELECT symbol, strategy, count(*) AS n, count(*) FILTER (pnl > 0) AS wins, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS g, coalesce(-sum(pnl) FILTER (pnl <= 0), 0) AS l FROM tr2 GROUP BY 1, 2)
  SELECT symbol, strategy, {R('(fin / 100000 - 1) * 100', 2)} AS return_percent, {R('dd * 100', 2)} AS max_drawdown_percent, {R('(bench - 1) * 100', 2)} AS benchmark_return_percent,
-  {R('coalesce(m / nullif(sd, 0) * sqrt(24 * 365), 0)', 2)} AS sharpe_ratio, {R('coalesce(m / nullif(dn, 0) * sqrt(24 * 365), 0)', 2)} AS sortino_ratio,
+  {R('coalesce(m / nullif(sd, 0) * sqrt(24 * 365), 0)', 3)} AS sharpe_ratio, {R('coalesce(m / nullif(dn, 0) * sqrt(24 * 365), 0)', 3)} AS sortino_ratio,
   coalesce(n, 0) AS trade_count, coalesce(wins, 0) AS winning_trades, coalesce(n - wins, 0) AS losing_trades, {R('coalesce(wins / nullif(n, 0) * 100, 0)', 2)} AS win_rate_percent,
-  {R('CASE WHEN l > 0 THEN g / l WHEN g > 0 THEN 999 END', 2)} AS profit_factor FROM a JOIN b USING (symbol, strategy) LEFT JOIN t2 USING (symbol, strategy)"""
+  {R('CASE WHEN l > 0 THEN g / l WHEN g > 0 THEN 999 END', 3)} AS profit_factor FROM a JOIN b USING (symbol, strategy) LEFT JOIN t2 USING (symbol, strategy)"""
 
 RSI_HOLD_SQL = f"""WITH RECURSIVE {', '.join(RSI_CTES)},
  o AS (SELECT c.symbol, c.ts, open, close, lag(rsi < 45) OVER w AS sig, row_number() OVER w AS i, count(*) OVER (PARTITION BY c.symbol) AS k FROM c JOIN rs USING (symbol, ts) WINDOW w AS (PARTITION BY c.symbol ORDER BY c.ts)),

@@ -129,10 +129,8 @@ def event_priced_in(spark, d):
     return show(nw.priced_in(ev, bars), "id", "symbol", "pre_return", "post_return", "score", "assessment")
 
 
-def headline_pairs(spark, d):
-    stories = _news(spark, d).select(F.lpad(F.col("id").cast("string"), 20, "0").alias("key"), nw.letters(F.col("title")).alias("norm"))
-    stories = stories.groupBy("norm").agg(F.min("key").alias("key"))
-    return show(nw.jaccard_pairs(stories, 0.72), "a", "b", "similarity")
+def headline_leaders(spark, d):
+    return nw.clusters(_news(spark, d)).filter("relation = 'FOLLOW_UP'").select("id", "leader")
 
 
 def headline_clusters(spark, d):
@@ -186,7 +184,6 @@ OUT = [HOURLY_SQL, *AN, f"br AS (SELECT *, row_number() {W} - 1 AS n, coalesce(l
        "oc AS (SELECT e2.*, ret - br AS abn, win - bw AS abw, CASE label WHEN 'bearish' THEN -ret WHEN 'bullish' THEN ret END AS dr FROM e2 LEFT JOIN b2 USING (id, h))"]
 OUT = [x.replace("FROM e1, hh JOIN", "FROM e1 CROSS JOIN hh JOIN").replace("FROM b1, hh JOIN", "FROM b1 CROSS JOIN hh JOIN") for x in OUT]
 LET = "regexp_replace(lower({}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '', 'g')"
-GR = "list_distinct(list_transform(range(1, greatest(1, length(norm) - 2) + 1), lambda i: substr(norm, i, 3)))"
 
 QUERIES = {
     "news_lexicon_sentiment": (news_lexicon_sentiment, q(*AN, final=f"""SELECT id, s AS sentiment, label, CASE WHEN s >= 45 THEN 'STRONG_POSITIVE' WHEN s >= 10 THEN 'POSITIVE' WHEN s <= -45 THEN 'STRONG_NEGATIVE' WHEN s <= -10 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS direction, event_type,
@@ -220,8 +217,7 @@ QUERIES = {
                                            "p3 AS (SELECT p2.id, p2.symbol, max(close) FILTER (br.n = k - 1) / max(close) FILTER (br.n = greatest(0, k - 8)) - 1 AS pre, max(close) FILTER (br.n = least(m, k + 3)) / max(close) FILTER (br.n = k) - 1 AS post FROM p2 JOIN br USING (symbol) WHERE k - 1 - greatest(0, k - 8) >= 1 AND least(m, k + 3) - k >= 1 GROUP BY 1, 2)",
                                            "p4 AS (SELECT *, abs(pre) / (abs(pre) + abs(post) + 1e-9) AS sc FROM p3)",
                                            final=f"SELECT id, symbol, {R('pre')} AS pre_return, {R('post')} AS post_return, {R('sc')} AS score, CASE WHEN sc > 0.67 THEN 'MOSTLY_PRICED' WHEN sc > 0.34 THEN 'PARTLY_PRICED' ELSE 'NOT_YET_PRICED' END AS assessment FROM p4")),
-    "headline_pairs": (headline_pairs, q(*NEWS, f"s AS (SELECT {LET.format('title')} AS norm, min(lpad(CAST(id AS VARCHAR), 20, '0')) AS key FROM nd GROUP BY 1)", f"t AS (SELECT key, {GR} AS g FROM s WHERE norm <> '')",
-                                         "j AS (SELECT a.key AS a, b.key AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS u FROM t a JOIN t b ON a.key < b.key AND least(len(a.g), len(b.g)) >= 0.72 * greatest(len(a.g), len(b.g)))", final=f"SELECT a, b, {R('i / (u - i)')} AS similarity FROM j WHERE i / (u - i) >= 0.72")),
+    "headline_leaders": (headline_leaders, None),
     "headline_clusters": (headline_clusters, None),
     "news_dedupe": (news_dedupe, None),
     "news_collection": (news_collection, "WITH p AS (SELECT unnest(['src0','src1','src2','src99']) AS provider) SELECT p.provider, count(doc_id) AS \"count\", CASE WHEN count(doc_id) > 0 THEN 'HEALTHY' ELSE 'EMPTY' END AS status FROM p LEFT JOIN documents ON source = p.provider GROUP BY 1"),

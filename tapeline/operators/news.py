@@ -278,20 +278,21 @@ def _rare_first(items: DataFrame, tokens: str) -> DataFrame:
     return items.join(ranked, "key")
 
 
-def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame]], alike: Callable[[DataFrame], DataFrame], batch: int = 32) -> DataFrame:
+def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame]], alike: Callable[[DataFrame], DataFrame], batch: int = 128) -> DataFrame:
     """Greedy groups in key order: a key leads unless an earlier leader is alike; else it joins the earliest such leader.
 
     ``relations`` are pairs of (key, token) tables: a possible leader from the first meets a later key
     from the second on a shared token.  ``alike`` keeps the candidate pairs (a, b) that are alike.
 
-    Only possible leaders are ever compared, the first ``batch`` of a token at a time (doubling per
-    round).  A family of copies therefore costs its size times a constant: once its first member
+    Only possible leaders are ever compared, the first ``batch`` of a token at a time (four times as
+    many each round), and no pair is verified twice.  A family of copies therefore costs its size times a constant: once its first member
     leads, the others stop being compared with each other.  No pair is capped away: the loop ends
     with a round that covered every possible leader of every token and settled every key.
     """
     c = F.col
     relations = [(cut(left), cut(right)) for left, right in relations]
     state = cut(items.select("key", F.lit(None).cast("boolean").alias("leads")))
+    tried, edges = None, None
     while True:
         able = state.filter(c("leads").isNull() | c("leads")).select("key")
         pairs, overflow = None, None
@@ -304,7 +305,11 @@ def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame]],
             rest = right.join(late, "_t").filter(c("key") > c("_from")).select("key")
             pairs = near if pairs is None else pairs.unionByName(near)
             overflow = rest if overflow is None else overflow.unionByName(rest)
-        edges = cut(alike(pairs.distinct()))
+        pairs = pairs.distinct()
+        fresh_pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = cut(alike(fresh_pairs))
+        tried = fresh_pairs if tried is None else tried.unionByName(fresh_pairs)
+        edges = found if edges is None else edges.unionByName(found)
         partial = cut(overflow.distinct().withColumn("_partial", F.lit(True)))
         while True:  # settle what these edges decide
             verdict = edges.join(state.select(c("key").alias("a"), "leads"), "a").groupBy(c("b").alias("key")).agg(
@@ -318,7 +323,7 @@ def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame]],
                 break
         if partial.limit(1).count() == 0 and state.filter("leads is null").limit(1).count() == 0:
             break
-        batch *= 2
+        batch *= 4
     leaders = state.filter("leads").select(c("key").alias("a"))
     joined = edges.join(leaders, "a").groupBy(c("b").alias("key")).agg(F.min("a").alias("_lead"))
     return state.join(joined, "key", "left").select("key", F.when(c("leads"), c("key")).otherwise(c("_lead")).alias("leader"))
@@ -377,7 +382,12 @@ def ratio_groups(items: DataFrame, threshold: float = 0.86) -> DataFrame:
 
     @F.pandas_udf("double")
     def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+        out = []
+        for x, y in zip(a, b):
+            m = SequenceMatcher(None, x, y)
+            # Both quick ratios are upper bounds, so the costly one runs on near pairs only.
+            out.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
+        return pd.Series(out, dtype=float)
 
     def alike(pairs: DataFrame) -> DataFrame:
         both = _with_texts(pairs, texts)

@@ -47,7 +47,7 @@ def candles_time_range(spark, d):
 
 
 def volume_profile(spark, d):
-    return show(candles.volume_profile(daily(spark, d)), "symbol", "bin", "rank", "price", "weight", price=4, weight=2)
+    return show(candles.volume_profile(daily(spark, d)), "symbol", "bin", "rank", "price", "weight", price=3, weight=0)
 
 
 def quote_fallback(spark, d):
@@ -75,7 +75,7 @@ PROFILE_SQL = f"""WITH {DAILY_SQL},
  h AS (SELECT b.symbol, CAST(least(bins - 1, floor((p - lo) / ((hi - lo) / bins))) AS BIGINT) AS bin, any_value(lo) AS lo,
    any_value((hi - lo) / bins) AS step, sum(w) AS weight FROM b JOIN s USING (symbol) GROUP BY 1, 2),
  k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, bin) AS rank FROM h)
- SELECT symbol, bin, rank, {R('lo + (bin + 0.5) * step', 4)} AS price, {R('weight', 2)} AS weight FROM k WHERE rank <= 6"""
+ SELECT symbol, bin, rank, {R('lo + (bin + 0.5) * step', 3)} AS price, {R('weight', 0)} AS weight FROM k WHERE rank <= 6"""
 
 QUOTE_SQL = f"""WITH {HOURLY_SQL},
  l AS (SELECT symbol, arg_max(close, ts) AS bp, max(ts) AS bar_ts, arg_max(high, ts) AS qp, arg_max(low, ts) AS qprev FROM c GROUP BY 1),

@@ -6,12 +6,12 @@ table, so batch and live results can be compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tapeline.functions.kernels import fire_triggers
 from tapeline.schema import INTERVAL_MINUTES
 
 INTERVALS = tuple(INTERVAL_MINUTES)
@@ -111,36 +111,9 @@ TRIGGERS = T.StructType([T.StructField("symbol", T.StringType()), T.StructField(
 TRIGGER_STATE = T.StructType([T.StructField("bar", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("signal", T.StringType()), T.StructField("structure", T.StringType()), T.StructField("fired", T.DoubleType())])
 
 
-def _trigger(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fire on a new bar, a 0.3 % move, or a changed signal or structure, at most every 300 s."""
-    import pandas as pd
-
-    bar, last, signal, structure, fired = state.get if state.exists else (None, None, None, None, None)
-    out = []
-    for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-        when = row.ts.timestamp()
-        reasons = []
-        if bar is not None and int(row.bar) != bar:
-            reasons.append("NEW_BAR")
-        if last and abs(row.price / last - 1) >= 0.003:
-            reasons.append("PRICE_MOVE")
-        if signal is not None and row.signal != signal:
-            reasons.append("STRATEGY_STATE")
-        if structure is not None and row.structure != structure:
-            reasons.append("STRUCTURE")
-        if last is None:
-            last = float(row.price)
-        bar, signal, structure = int(row.bar), row.signal, row.structure
-        if reasons and (fired is None or when - fired >= 300):
-            out.append((key[0], row.ts, float(row.price), "|".join(reasons)))
-            fired, last = when, float(row.price)
-    state.update((bar, last, signal, structure, fired))
-    yield pd.DataFrame(out, columns=["symbol", "ts", "price", "reasons"])
-
-
 def triggers(updates: DataFrame) -> DataFrame:
     """Recomputation triggers per symbol; needs symbol, ts, bar (epoch of its bar), price, signal, structure."""
-    return updates.groupBy("symbol").applyInPandasWithState(_trigger, TRIGGERS, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
+    return updates.groupBy("symbol").applyInPandasWithState(fire_triggers, TRIGGERS, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_bars(stored: DataFrame, fresh: DataFrame, keep: int = 1200) -> DataFrame:

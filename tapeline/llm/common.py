@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: a word is a run of anything but space and the control characters 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
+
 
 def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")

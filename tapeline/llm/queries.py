@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import pii
+from tapeline.llm import packing, pii
 from tapeline.llm.common import read
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, tuple[Callable, str | None]] = {"op10_pii": (op10_pii, None)}
+QUERIES: dict[str, tuple[Callable, str | None]] = {
+    "op1_packing": (op1_packing, None),
+    "op10_pii": (op10_pii, None),
+}

@@ -37,3 +37,8 @@ def table_cut(df: DataFrame) -> DataFrame:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a NULL id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def with_size(table: DataFrame, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
+    """``table`` marked for broadcast if its counted rows come to ``limit`` bytes at most; otherwise as it is."""
+    return F.broadcast(table) if table.count() * row_bytes <= limit else table

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeline.llm import ngram_join, packing, pii
+from tapeline.llm import lines, ngram_join, packing, pii
 from tapeline.llm.common import read
 
 
@@ -14,6 +15,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lines.dedup_lines(docs).select("doc_id", "dropped_lines", F.size("dropped_lines").alias("n_dropped"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars_left"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
 
@@ -24,6 +30,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op1_packing": (op1_packing, None),
+    "op5_line_dedup": (op5_line_dedup, None),
     "op7_ngram_join": (op7_ngram_join, None),
     "op10_pii": (op10_pii, None),
 }

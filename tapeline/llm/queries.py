@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import lines, ngram_join, packing, pii
+from tapeline.llm import decontam, lines, ngram_join, packing, pii
 from tapeline.llm.common import read
 
 
@@ -15,6 +15,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    hit = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return hit.select("doc_id", F.col("leak.item").alias("item_id"), *[F.round(f"leak.{c}", 6).alias(c) for c in ("score", "question", "answer")])
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return lines.dedup_lines(docs).select("doc_id", "dropped_lines", F.size("dropped_lines").alias("n_dropped"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars_left"))
@@ -30,6 +36,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op1_packing": (op1_packing, None),
+    "op3_decontamination": (op3_decontamination, None),
     "op5_line_dedup": (op5_line_dedup, None),
     "op7_ngram_join": (op7_ngram_join, None),
     "op10_pii": (op10_pii, None),

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import decontam, lines, ngram_join, packing, pii, topk
-from tapeline.llm.common import read
+from tapeline.llm import decontam, lines, ngram_join, packing, pii, topk, toxicity
+from tapeline.llm.common import fold, read
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", F.col("leak.item").alias("item_id"), *[F.round(f"leak.{c}", 6).alias(c) for c in ("score", "question", "answer")])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), toxicity.flagged(F.col("score"), F.col("lang"), model).alias("flagged"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return lines.dedup_lines(docs).select("doc_id", "dropped_lines", F.size("dropped_lines").alias("n_dropped"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars_left"))
@@ -54,6 +61,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_topk": (op2_topk, OP2_SQL),
     "op3_decontamination": (op3_decontamination, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op5_line_dedup": (op5_line_dedup, None),
     "op7_ngram_join": (op7_ngram_join, None),
     "op10_pii": (op10_pii, None),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import decontam, lines, ngram_join, packing, pii, topk, toxicity
+from tapeline.llm import decontam, lines, lm, ngram_join, packing, pii, topk, toxicity
 from tapeline.llm.common import fold, read
 
 
@@ -53,6 +53,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    return lm.score(docs, lm.fit(docs.where(~held_out))).withColumn("held_out", held_out)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
@@ -64,5 +70,6 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op4_toxicity": (op4_toxicity, None),
     "op5_line_dedup": (op5_line_dedup, None),
     "op7_ngram_join": (op7_ngram_join, None),
+    "op8_lm_scoring": (op8_lm_scoring, None),
     "op10_pii": (op10_pii, None),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import decontam, lines, lm, ngram_join, packing, pii, topk, toxicity
+from tapeline.llm import chat, decontam, lines, lm, ngram_join, packing, pii, topk, toxicity, warc
 from tapeline.llm.common import fold, read
 
 
@@ -49,6 +49,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "dropped_lines", F.size("dropped_lines").alias("n_dropped"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars_left"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve_revisits(warc.page_records(read(spark, sf_dir, "pages"))))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
 
@@ -59,6 +63,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.fit(docs.where(~held_out))).withColumn("held_out", held_out)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = read(spark, sf_dir, "conversations")
+    return chat.link_calls(chat.conversation_calls(messages), chat.conversation_results(messages), chat.SCHEMAS)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
@@ -69,7 +78,9 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op3_decontamination": (op3_decontamination, None),
     "op4_toxicity": (op4_toxicity, None),
     "op5_line_dedup": (op5_line_dedup, None),
+    "op6_warc": (op6_warc, warc.SQL),
     "op7_ngram_join": (op7_ngram_join, None),
     "op8_lm_scoring": (op8_lm_scoring, None),
+    "op9_chat_formatting": (op9_chat_formatting, None),
     "op10_pii": (op10_pii, None),
 }

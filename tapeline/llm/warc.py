@@ -103,7 +103,7 @@ p AS (
         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[.]', '') AS host,
         regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS path,
         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?]([^\n]*)$', 1), '&'),
-            x -> x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid)(?:=|$)'))), '&') AS q FROM c),
+            lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid)(?:=|$)'))), '&') AS q FROM c),
 u AS (
     SELECT page_id, html, tag, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
         || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical_url FROM p),

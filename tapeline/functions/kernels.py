@@ -147,7 +147,7 @@ def spaced(positions, gap: int) -> list[bool]:
 def fire_triggers(key, frames, state):
     """Fire on a new bar, a 0.3 % move, or a changed signal or structure, at most every 300 s.
 
-    State per symbol: bar, reference price, signal, structure, time of the last firing.
+    State per symbol: bar, price of the last firing (none before it), signal, structure, time of the last firing.
     """
     import pandas as pd
 
@@ -164,8 +164,6 @@ def fire_triggers(key, frames, state):
             reasons.append("STRATEGY_STATE")
         if structure is not None and row.structure != structure:
             reasons.append("STRUCTURE")
-        if last is None:
-            last = float(row.price)
         bar, signal, structure = int(row.bar), row.signal, row.structure
         if reasons and (fired is None or when - fired >= 300):
             out.append((key[0], row.ts, float(row.price), "|".join(reasons)))

@@ -155,7 +155,8 @@ def ewm(bars: DataFrame, outputs: dict[str, tuple]) -> DataFrame:
     length.  The value at a block end is the block's own sum plus the ends of the
     preceding blocks scaled by ``d^512`` each; as many blocks are added as count
     at double precision.  All windows share the series' partitioning and one
-    sort.  NULLs are allowed before the first value only.
+    sort.  NULLs are allowed before the first value only: from a later one on the
+    series' result is NULL, as the recursion has no value to go on with.
     """
     bars = numbered(bars)
     kept = bars.columns
@@ -180,7 +181,8 @@ def ewm(bars: DataFrame, outputs: dict[str, tuple]) -> DataFrame:
         ends[f"_e_{out}"] = F.when(p == BLOCK - 1, total)
         carry = F.last(f"_e_{out}", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
         value = F.col(f"_l_{out}") + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(decay), p + 1)
-        result[out] = F.when(n >= start[out], value)
+        gap = F.max((F.col(col).isNull() & (n >= start[out])).cast("int")).over(series.rowsBetween(Window.unboundedPreceding, 0))
+        result[out] = F.when((n >= start[out]) & (gap == 0), value)
     bars = bars.withColumns(local).withColumns(ends)
     return bars.select(*[c for c in kept if c not in result], *[v.alias(k) for k, v in result.items()])
 

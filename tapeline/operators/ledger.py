@@ -12,6 +12,10 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), key)
 
 
+#: Bars of a block whose extremes are taken whole.
+PATH_BLOCK = 64
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("_sk", F.concat_ws("|", "symbol", "interval"))
 
@@ -43,15 +47,20 @@ def settlement_bars(predictions: DataFrame, bars: DataFrame) -> DataFrame:
 def path_extremes(spans: DataFrame, bars: DataFrame, key: str = "id") -> DataFrame:
     """Least low, greatest high and last close over bar numbers first_n..end_n of each row.
 
-    The span is spelled out as bar numbers (bounded by the horizon) and met in an
-    equi-join on (series, number): no range join, and a hot symbol still spreads
-    over its bars.
+    A span is spelled out as the bars of its two edges and the whole blocks of PATH_BLOCK bars between them, which
+    meet their own least and greatest values: horizon / PATH_BLOCK rows, no range join, and a hot symbol still
+    spreads over its bars.
     """
     c = F.col
     bars = numbered(bars).select(*KEYS, "n", c("ts").alias("end_ts"), "high", "low", "close")
-    steps = spans.filter("end_n is not null and first_n <= end_n").select(key, *KEYS, F.explode(F.sequence("first_n", "end_n")).alias("n"))
-    return (steps.join(bars, [*KEYS, "n"]).groupBy(key)
-            .agg(F.min("low").alias("path_low"), F.max("high").alias("path_high"), F.max_by("close", "n").alias("end_close"), F.max("end_ts").alias("end_ts")))
+    spans = spans.filter("end_n is not null and first_n <= end_n")
+    head, tail = (F.floor(c(x) / PATH_BLOCK) for x in ("first_n", "end_n"))
+    edges = F.when(head == tail, F.sequence("first_n", "end_n")).otherwise(F.concat(F.sequence(c("first_n"), (head + 1) * PATH_BLOCK - 1), F.sequence(tail * PATH_BLOCK, c("end_n"))))
+    single = spans.select(key, *KEYS, F.explode(edges).alias("n")).join(bars, [*KEYS, "n"]).drop("n")
+    blocks = bars.groupBy(*KEYS, F.floor(c("n") / PATH_BLOCK).alias("_b")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    inner = spans.filter(tail - head > 1).select(key, *KEYS, F.explode(F.sequence(head + 1, tail - 1)).alias("_b")).join(blocks, [*KEYS, "_b"]).drop("_b")
+    met = single.unionByName(inner, allowMissingColumns=True)
+    return met.groupBy(key).agg(F.min("low").alias("path_low"), F.max("high").alias("path_high"), F.max_by("close", "end_ts").alias("end_close"), F.max("end_ts").alias("end_ts"))
 
 
 def settle(predictions: DataFrame, bars: DataFrame) -> DataFrame:

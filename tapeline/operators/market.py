@@ -379,7 +379,10 @@ def timeframe_matrix(bars: DataFrame, source_minutes: int, targets: dict[str, in
         F.stddev_samp(cut(20, c("_ret"))).alias("volatility"), ratio(F.avg(cut(14, c("_tr"))), F.max_by("close", "ts")).alias("atr_share"),
         F.min(cut(40, c("low"))).alias("support"), F.max(cut(40, c("high"))).alias("resistance"), F.max_by("_mom", "ts").alias("momentum"))
     t, f = c("trend_gap"), c("flow")
-    return out.select(*KEYS, "bars", F.when(c("bars") < 20, "INSUFFICIENT_DATA").otherwise("AVAILABLE").alias("status"),
+    missing = [k for k in targets if k not in usable]
+    if missing:  # frames that the source cannot make are reported, not left out
+        out = out.unionByName(bars.select("symbol").distinct().withColumn("interval", F.explode(F.array(*[F.lit(k) for k in missing]))).withColumn("bars", F.lit(0).cast("long")), allowMissingColumns=True)
+    return out.select(*KEYS, "bars", F.when(c("bars") == 0, "NO_DATA").when(c("bars") < 20, "INSUFFICIENT_DATA").otherwise("AVAILABLE").alias("status"),
                       F.when(c("bars") >= 20, F.when(t > 0.002, "UP").when(t < -0.002, "DOWN").otherwise("FLAT")).alias("trend"),
                       F.when(c("bars") >= 20, F.when(f > 0.03, "UP").when(f < -0.03, "DOWN").otherwise("FLAT")).alias("flow"),
                       "momentum", "volatility", "support", "resistance", "atr_share")

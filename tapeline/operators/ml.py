@@ -104,10 +104,10 @@ def balanced_weights(train: DataFrame, label: str) -> DataFrame:
 
 
 def _stages(columns: list[str], estimator):
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True), estimator])
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="error"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True), estimator])
 
 
-def classifier(name: str, columns: list[str], rows: int, seed: int = 42, trees: int = 60, depth: int = 5):
+def classifier(name: str, columns: list[str], rows: int, seed: int = 42, trees: int = 160, depth: int = 7):
     """Pipelines by name; the strength of the logistic penalty follows 1/(C*n)."""
     common = {"labelCol": "target", "featuresCol": "features"}
     if name == "LogisticRegression":
@@ -147,13 +147,14 @@ def fit_classifier(name: str, train: DataFrame, columns: list[str], rows: int):
 def calibrate(calibration: DataFrame):
     """Platt scaling per class on a held-out part; a class without both outcomes keeps its share."""
     fitted = []
+    total = calibration.count()
     shares = calibration.agg(*[F.avg((F.col("label") == k).cast("double")).alias(f"s{i}") for i, k in enumerate(CLASSES)]).first()
     for i, (k, name) in enumerate(zip(CLASSES, ("prob_down", "prob_flat", "prob_up"))):
         share = shares[i] or 0.0
         if share in (0.0, 1.0):
             fitted.append((name, None, share))
             continue
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=[name], outputCol="features"), LogisticRegression(labelCol="_one", featuresCol="features", regParam=1e-4, maxIter=50, standardization=False)])
+        pipe = Pipeline(stages=[VectorAssembler(inputCols=[name], outputCol="features"), LogisticRegression(labelCol="_one", featuresCol="features", regParam=1 / max(1, total), maxIter=50, standardization=False)])
         lr = pipe.fit(calibration.withColumn("_one", (F.col("label") == k).cast("double"))).stages[-1]
         fitted.append((name, float(lr.coefficients[0]), float(lr.intercept)))
 
@@ -301,12 +302,29 @@ def majority_class(train: DataFrame) -> DataFrame:
     return counts.groupBy("fold").agg(F.max_by("label", F.struct("_k", (-F.col("label")).alias("_l"))).alias("majority"))
 
 
+def train_majority(panel: DataFrame, columns: list[str], count: int = 3, **kw) -> DataFrame:
+    """Majority class of each fold's train part, the only part a naive forecaster may know."""
+    panel = complete(panel, columns)
+    placed = panel.join(F.broadcast(sessions(panel)), "session_date")
+    total = placed.agg(F.max("place") + 1).first()[0]
+    out = None
+    for fold in fold_plan(count, total, **kw):
+        part = majority_class(fold_labels(mark_fold(placed, fold)).filter("part = 'train'"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def complete(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with all features; every one of them is trained on or scored, an incomplete row later is an error."""
+    return cut(panel.dropna(subset=columns))
+
+
 def walk_forward(panel: DataFrame, columns: list[str], models: tuple[str, ...] = ("LogisticRegression", "RandomForest"), count: int = 3, **kw) -> DataFrame:
     """Out-of-sample probabilities of every model over expanding, purged folds, calibrated on each fold's validation part.
 
     The driver loops over folds and models only; every fit runs on all rows of its part in Spark.
     """
-    panel = cut(panel)
+    panel = complete(panel, columns)
     placed = panel.join(F.broadcast(sessions(panel)), "session_date")
     total = placed.agg(F.max("place") + 1).first()[0]
     out = None
@@ -323,7 +341,7 @@ def walk_forward(panel: DataFrame, columns: list[str], models: tuple[str, ...] =
 
 
 def regression_walk_forward(panel: DataFrame, columns: list[str], models: tuple[str, ...] = ("LinearRegression", "Ridge", "Lasso"), target: str = "alpha_target", count: int = 3, **kw) -> DataFrame:
-    panel = cut(panel)
+    panel = complete(panel, columns)
     placed = panel.join(F.broadcast(sessions(panel)), "session_date")
     total = placed.agg(F.max("place") + 1).first()[0]
     out = None

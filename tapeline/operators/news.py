@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeline.functions import lexicon as lx
@@ -24,11 +26,25 @@ def published(raw: Column) -> Column:
         F.coalesce(mail, text.try_cast("timestamp")))
 
 
+def entities(text: Column) -> Column:
+    """Named and numeric character references replaced, the ampersand last, so that nothing is decoded twice."""
+    names = F.create_map(*[F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, point)])
+
+    def character(reference: Column) -> Column:
+        body = F.regexp_replace(reference, "[&;]", "")
+        point = F.when(body.rlike("^#[0-9]{1,7}$"), F.substring(body, 2, 8).try_cast("int")).when(body.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(body, 3, 8), 16, 10).try_cast("int")).when(body == "apos", 39).otherwise(F.try_element_at(names, body))
+        fine = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(reference)
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"), 0))
+    last = F.array_sort(F.transform(found, lambda r: F.struct(r.isin("&amp;", "&#38;", "&#x26;", "&#X26;").alias("last"), r.alias("r"))))
+    return F.when(text.contains("&"), F.aggregate(last, text, lambda t, x: F.replace(t, x["r"], character(x["r"])))).otherwise(text)
+
+
 def plain(raw: Column, limit: int | None = None) -> Column:
     """Markup out, entities in, spaces collapsed; ``limit`` only where a display length is asked for."""
     text = F.regexp_replace(raw, r"<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = entities(text)
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.left(text, F.lit(limit)) if limit else text
 
@@ -112,8 +128,8 @@ def analyze(news: DataFrame, *, weights: dict = lx.WEIGHTS, events: dict = lx.EV
         "confidence": F.least(F.lit(0.95), 0.45 + 0.08 * c("_hits") + F.when(c("published_at").isNotNull(), 0.1).otherwise(0.0) + F.when(F.size("symbols") > 0, 0.08).otherwise(0.0))})
     relevance = F.when(F.size("symbols") > 0, 90.0).when(F.size("sectors") > 0, 58.0).otherwise(25.0)
     novelty = F.greatest(F.lit(20.0), 100 - 18.0 * F.greatest(F.lit(0), c("related_sources") - 1))
-    impact = (0.18 * F.coalesce(F.try_element_at(reliability, c("provider")), F.lit(0.55)) * 100 + 0.20 * c("magnitude") * 20 + 0.22 * relevance + 0.10 * novelty
-              + 0.15 * F.when(c("event_type").isin(*sensitive), 85.0).otherwise(62.0) + 0.08 * 50 + 0.07 * 50)
+    impact = F.round(0.18 * F.coalesce(F.try_element_at(reliability, c("provider")), F.lit(0.55)) * 100 + 0.20 * c("magnitude") * 20 + 0.22 * relevance + 0.10 * novelty
+              + 0.15 * F.when(c("event_type").isin(*sensitive), 85.0).otherwise(62.0) + 0.08 * 50 + 0.07 * 50, 1)
     news = news.withColumn("impact", impact)
     return news.withColumn("level", F.when(impact >= 80, "EXTREME").when(impact >= 60, "HIGH").when(impact >= 35, "MEDIUM").otherwise("LOW")).drop("_x", "_hits")
 
@@ -178,11 +194,10 @@ def headline_signal(news: DataFrame, positive: tuple, negative: tuple, now, key:
 
 
 def similar(queries: DataFrame, candidates: DataFrame, top: int = 5) -> DataFrame:
-    """The ``top`` most alike past events of the query's own kind by label, impact, sectors and regimes.
+    """The ``top`` most alike past events by kind, label, impact, sectors and regimes; all candidates are scored.
 
-    Equal profiles score equally, so profiles are compared instead of events: a kind that holds a
-    third of all events shrinks to its distinct trait combinations before anything is joined, and
-    only a profile's first ids can reach a top list.
+    Equal profiles score equally, so distinct trait combinations are compared instead of events, in
+    blocks by the candidate's label, and only a profile's first ids can reach a top list.
     """
     c = F.col
     traits = ["event_type", "label", "sectors", "market_regime", "volatility_regime", "impact"]
@@ -190,17 +205,20 @@ def similar(queries: DataFrame, candidates: DataFrame, top: int = 5) -> DataFram
     firsts = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*traits).orderBy("id"))).filter(c("_r") <= top + 1)
     profiles = firsts.groupBy(*traits).agg(F.collect_list("id").alias("ids"))
     asked = queries.select(*[c(t).alias(f"q_{t}") for t in traits]).distinct()
-    same = asked.join(profiles, c("q_event_type") == c("event_type"))
+    blocks = profiles.select("label").distinct().groupBy().agg(F.collect_list("label").alias("_blocks"))
+    asked = asked.crossJoin(F.broadcast(blocks)).withColumn("_block", F.explode("_blocks")).drop("_blocks")
+    same = asked.join(profiles, c("_block") == c("label"))
     union = F.size(F.array_union("sectors", "q_sectors"))
     shared = F.when(union > 0, F.size(F.array_intersect("sectors", "q_sectors")) / union).otherwise(0.0)
-    score = (0.35 + 0.15 * (c("label") == c("q_label")).cast("double")
+    score = (0.35 * c("event_type").eqNullSafe(c("q_event_type")).cast("double") + 0.15 * c("label").eqNullSafe(c("q_label")).cast("double")
              + 0.15 * F.greatest(F.lit(0.0), 1 - F.abs(c("impact") - c("q_impact")) / 100) + 0.15 * shared
              + 0.10 * F.coalesce(c("market_regime") == c("q_market_regime"), F.lit(False)).cast("double")
              + 0.10 * F.coalesce(c("volatility_regime") == c("q_volatility_regime"), F.lit(False)).cast("double"))
     flat = same.withColumn("similarity", F.round(score, 6)).select(*[f"q_{t}" for t in traits], F.explode("ids").alias("id"), "similarity")
     best = F.row_number().over(Window.partitionBy(*[f"q_{t}" for t in traits]).orderBy(F.desc("similarity"), "id"))
-    flat = flat.withColumn("_r", best).filter(c("_r") <= top + 1).select(*[c(f"q_{t}").alias(t) for t in traits], "id", "similarity")
-    found = queries.select(c("id").alias("query_id"), *traits).join(flat, traits).filter("query_id <> id")
+    flat = flat.withColumn("_r", best).filter(c("_r") <= top + 1).select(*[f"q_{t}" for t in traits], "id", "similarity")
+    mine = [c(t).eqNullSafe(c(f"q_{t}")) for t in traits]
+    found = queries.select(c("id").alias("query_id"), *traits).join(flat, mine).filter("query_id <> id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).filter(c("rank") <= top).select("query_id", "id", "similarity", "rank")
 
@@ -239,13 +257,12 @@ def watch_news(related: DataFrame, watched: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("matched"), F.max("sentiment").alias("sentiment"), F.max("published_at").alias("published_at"))
 
 
-def collection_status(batches: dict[str, DataFrame]) -> DataFrame:
-    """Items per provider, a provider without any included."""
-    out = None
-    for name, df in batches.items():
-        part = df.groupBy().agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("provider"), "count", F.when(F.col("count") > 0, "HEALTHY").otherwise("EMPTY").alias("status"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def collection_status(news: DataFrame, providers: list[str]) -> DataFrame:
+    """Items per provider, a provider without any included; one pass over the news."""
+    asked = news.sparkSession.createDataFrame([(p,) for p in providers], "provider string")
+    counts = news.groupBy("provider").agg(F.count(F.lit(1)).alias("count"))
+    count = F.coalesce(F.col("count"), F.lit(0).cast("long"))
+    return asked.join(counts, "provider", "left").select("provider", count.alias("count"), F.when(count > 0, "HEALTHY").otherwise("EMPTY").alias("status"))
 
 
 def providers_for(sources: DataFrame, market: str | None = None) -> DataFrame:
@@ -420,12 +437,16 @@ def dedupe(news: DataFrame, threshold: float = 0.86) -> DataFrame:
 
 
 def clusters(news: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """Headline clusters in arrival order: ORIGINAL, FOLLOW_UP or DUPLICATE per item."""
+    """Headline clusters in arrival order: ORIGINAL, FOLLOW_UP or DUPLICATE per item.
+
+    Every item is kept: titles without a letter that counts (other scripts, symbols, NULL) form one group.
+    """
     c = F.col
-    slim = news.withColumn("norm", letters(c("title"))).filter("norm <> ''")
+    slim = news.withColumn("norm", F.coalesce(letters(c("title")), F.lit("")))
     stories = slim.groupBy("norm").agg(F.min("id").alias("_first")).withColumn("key", F.lpad(c("_first").cast("string"), 20, "0"))
     stories = cut(stories)
-    groups = jaccard_groups(stories, threshold)
+    groups = jaccard_groups(stories.filter("norm <> ''"), threshold)
+    groups = groups.unionByName(stories.filter("norm = ''").select("key", c("key").alias("leader")))
     names = stories.join(groups, "key").select("norm", "_first", "key", "leader")
     out = slim.select("id", "norm").join(names, "norm")
     relation = F.when(c("id") != c("_first"), "DUPLICATE").when(c("key") != c("leader"), "FOLLOW_UP").otherwise("ORIGINAL")

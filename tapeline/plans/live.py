@@ -150,7 +150,7 @@ def derivative_fields(spark, d):
 
 def statements_point_in_time(spark, d):
     bars = hourly(spark, d).select("symbol", "ts", "close")
-    e = table(spark, d, "events").filter("event_id % 97 = 0").groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("announcement_date")).agg(F.max("value").alias("eps"))
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("announcement_date")).agg(F.max("value").alias("eps"))
     return show(pl.point_in_time(bars, e, ["eps"]), "symbol", "ts", "announced_at", "eps")
 
 
@@ -195,7 +195,7 @@ QUERIES = {
     "quote_records": (quote_records, f"SELECT event_id AS symbol, {R('value')} AS price, {R('value - user_id % 10')} AS change, {R('(value / nullif(user_id % 10, 0) - 1) * 100')} AS change_percent FROM events"),
     "derivative_fields": (derivative_fields, f"""WITH k AS (SELECT event_type AS symbol, value, user_id / 1000 - 0.3 AS f, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM events), n AS (SELECT symbol, f AS now FROM k WHERE r = 1)
   SELECT symbol, {R('max(value) FILTER (r = 1)')} AS open_interest, {R('max(value) FILTER (r = 1) / max(value) FILTER (r = 2) - 1')} AS open_interest_change, {R('any_value(now)')} AS funding_rate, {R('avg(CASE WHEN f <= now THEN 1.0 ELSE 0 END)')} AS funding_percentile FROM k JOIN n USING (symbol) GROUP BY 1"""),
-    "statements_point_in_time": (statements_point_in_time, q(HOURLY_SQL, "s AS (SELECT event_type AS symbol, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS a, max(value) AS eps FROM events WHERE event_id % 97 = 0 GROUP BY 1, 2)",
+    "statements_point_in_time": (statements_point_in_time, q(HOURLY_SQL, "s AS (SELECT event_type AS symbol, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS a, max(value) AS eps FROM events GROUP BY 1, 2)",
                                                              final=f"SELECT c.symbol, c.ts, s.a AS announced_at, {R('s.eps')} AS eps FROM c ASOF LEFT JOIN s ON c.symbol = s.symbol AND c.ts >= s.a")),
     "sink_append": (sink_append, q(HOURLY_SQL, "k AS (SELECT count(*) AS n, count(*) FILTER (ts < TIMESTAMP '2024-01-20') AS m FROM c)", final="SELECT m AS received, m AS inserted, 0 AS duplicates, m AS stored, 1 AS run FROM k UNION ALL SELECT n, n - m, m, n, 2 FROM k")),
     "sink_feature_observations": (sink_feature_observations, None),

@@ -123,7 +123,7 @@ TF = ("WITH " + HOURLY_SQL + ", b AS (" + " UNION ALL ".join(
  g AS (SELECT symbol, interval, count(*) AS bars, arg_max(close, ts) / avg(close) FILTER (r <= 20) - 1 AS tg, sum(coalesce(sign(ret), 0) * volume) FILTER (r <= 10) / greatest(sum(volume) FILTER (r <= 10), 1e-12) AS f,
    stddev_samp(ret) FILTER (r <= 20) AS vol, avg(tr) FILTER (r <= 14) / arg_max(close, ts) AS a, min(low) FILTER (r <= 40) AS s, max(high) FILTER (r <= 40) AS re, arg_max(mom, ts) AS mom FROM t GROUP BY 1, 2)
  SELECT symbol, interval, bars, CASE WHEN bars < 20 THEN 'INSUFFICIENT_DATA' ELSE 'AVAILABLE' END AS status, CASE WHEN bars >= 20 THEN CASE WHEN tg > 0.002 THEN 'UP' WHEN tg < -0.002 THEN 'DOWN' ELSE 'FLAT' END END AS trend,
-   CASE WHEN bars >= 20 THEN CASE WHEN f > 0.03 THEN 'UP' WHEN f < -0.03 THEN 'DOWN' ELSE 'FLAT' END END AS flow, """ + f"{R('mom')} AS momentum, {R('vol')} AS volatility, {R('s')} AS support, {R('re')} AS resistance, {R('a')} AS atr_share FROM g")
+   CASE WHEN bars >= 20 THEN CASE WHEN f > 0.03 THEN 'UP' WHEN f < -0.03 THEN 'DOWN' ELSE 'FLAT' END END AS flow, """ + f"{R('mom')} AS momentum, {R('vol')} AS volatility, {R('s')} AS support, {R('re')} AS resistance, {R('a')} AS atr_share FROM g UNION ALL SELECT DISTINCT symbol, '15m', 0, 'NO_DATA', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM c")
 
 RISK_SQL = q(HOURLY_SQL, RET, "h AS (SELECT symbol, length(symbol) AS w FROM c GROUP BY 1)", "s AS (SELECT sum(w) AS t, count(*) AS n, sum(w*w) / (sum(w) * sum(w)) AS hhi FROM h)",
              "p AS (SELECT ts, sum(w / t * ret) AS r, any_value(hhi) AS hhi FROM rt JOIN h USING (symbol), s WHERE ret IS NOT NULL GROUP BY ts, n HAVING count(*) = n)",

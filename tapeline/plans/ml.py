@@ -10,6 +10,7 @@ from tapeline.plans.base import DAILY_SQL, HOURLY_SQL, R, W, daily, hourly, r, s
 from tapeline.plans.ledger import RES, _predictions
 
 COLUMNS = ["z_return_1", "z_return_5", "z_return_20", "z_high_position_20", "z_volume_zscore", "z_flow_pressure"]
+FOLDS = 5
 
 
 def _panel(spark, d):
@@ -108,26 +109,27 @@ def ml_registry(spark, d):
 
 
 def ml_walk_forward(spark, d):
-    out = ml.walk_forward(_panel(spark, d), COLUMNS, ("LogisticRegression",), 2)
+    out = ml.walk_forward(_panel(spark, d), COLUMNS, ("LogisticRegression",), FOLDS)
     return show(ml.class_metrics(out, ["model", "fold"]), "model", "fold", "samples", "accuracy", "balanced_accuracy", "macro_f1", "mcc", "brier", "log_loss")
 
 
 def ml_tournament(spark, d):
     """Two learners and the naive forecasters, medians over folds."""
-    out = ml.cut(ml.walk_forward(_panel(spark, d), COLUMNS, ("LogisticRegression", "RandomForest"), 2))
+    panel = _panel(spark, d)
+    out = ml.cut(ml.walk_forward(panel, COLUMNS, ("LogisticRegression", "RandomForest"), FOLDS))
     first = out.filter("model = 'LogisticRegression'").drop("model", "prob_down", "prob_flat", "prob_up", "called")
-    naive = ml.baselines(first, ml.majority_class(first)).select(out.columns)
+    naive = ml.baselines(first, ml.train_majority(panel, COLUMNS, FOLDS)).select(out.columns)
     return show(ml.stability(ml.class_metrics(out.unionByName(naive), ["model", "fold"]), "model", "balanced_accuracy"), "model", "mean", "median", "worst", "windows")
 
 
 def ml_regression(spark, d):
-    out = ml.regression_walk_forward(_panel(spark, d), COLUMNS, ("LinearRegression", "Ridge", "Lasso"), count=2)
+    out = ml.regression_walk_forward(_panel(spark, d), COLUMNS, ("LinearRegression", "Ridge", "Lasso"), count=FOLDS)
     return show(ml.rank_ic(out, "predicted", "future_return", ["model", "fold"]), "model", "fold", "rows", "ic", "rank_ic")
 
 
 def ml_ablation(spark, d):
     groups = {"price": COLUMNS[:4], "volume": COLUMNS[4:], "all": COLUMNS}
-    return show(ml.ablation(_panel(spark, d), groups, count=2), "group", "fold", "rows", "ic", "rank_ic")
+    return show(ml.ablation(_panel(spark, d), groups, count=FOLDS), "group", "fold", "rows", "ic", "rank_ic")
 
 
 SCO = [*RES, "m0 AS (SELECT *, CASE actual WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 ELSE 0 END AS label, CASE prediction WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 ELSE 0 END AS called FROM rs)"]

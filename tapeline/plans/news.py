@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeline.operators import news as nw
 from tapeline.plans.bars import q
 from tapeline.plans.base import HOURLY_SQL, R, W, hourly, r, show, table
+from tapeline.session import cut
 
 NOW = "2024-01-31 00:00:00"
 # Words that occur in the corpus stand in for the finance lists, which real feeds use.
@@ -98,13 +99,12 @@ def news_published(spark, d):
 def news_similar(spark, d):
     a = _analyzed(spark, d).select("id", "event_type", "label", "sectors", F.when(F.col("id") % 3 == 0, "BULL").otherwise("BEAR").alias("market_regime"), F.when(F.col("id") % 2 == 0, "HIGH").otherwise("LOW").alias("volatility_regime"),
                                    F.round("impact", 1).alias("impact"))
-    return show(nw.similar(a.filter("event_type <> 'General Market News'"), a), "query_id", "id", "similarity", "rank")
+    return show(nw.similar(a, a), "query_id", "id", "similarity", "rank")
 
 
 def _study(spark, d):
     ev = _analyzed(spark, d).select("id", F.element_at(F.filter("symbols", lambda s: s.isin(*SYMBOLS)), 1).alias("symbol"), "label", "event_type", "published_at")
-    bars = hourly(spark, d)
-    return ev, bars
+    return cut(ev), hourly(spark, d)  # the texts are read and scored once
 
 
 def event_study(spark, d):
@@ -142,8 +142,7 @@ def news_dedupe(spark, d):
 
 
 def news_collection(spark, d):
-    news = _news(spark, d)
-    return nw.collection_status({f"src{i}": news.filter(F.col("provider") == f"src{i}") for i in (0, 1, 2, 99)})
+    return nw.collection_status(_news(spark, d), [f"src{i}" for i in (*range(20), 99)])
 
 
 def benchmarks(spark, d):
@@ -171,8 +170,8 @@ NEWS = ["nd AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text
 AN = [*NEWS, "n1 AS (SELECT *, ' ' || lower(title || ' ' || text) || ' ' AS x FROM nd)",
       f"n2 AS (SELECT *, greatest(-100, least(100, {SCORE})) AS s, {HITS} AS hits, {KIND} AS event_type, list_sort({_tags(SECTORS)}) AS sectors, list_sort(list_append({_tags(ALIASES)}, sym)) AS symbols FROM n1)",
       "n3 AS (SELECT *, CASE WHEN s = 0 THEN 1 ELSE least(5, greatest(1, CAST(ceil(abs(s) / 20) AS BIGINT))) END AS mag, CASE WHEN s >= 10 THEN 'bullish' WHEN s <= -10 THEN 'bearish' ELSE 'neutral' END AS label FROM n2)",
-      """an AS (SELECT *, least(0.95, 0.45 + 0.08 * hits + 0.1 + 0.08) AS conf, 0.18 * CASE WHEN source IN (""" + ", ".join(f"'{k}'" for k in SOURCES) + """) THEN 0.5 + CAST(substr(source, 4) AS INT) / 50 ELSE 0.55 END * 100
-  + 0.2 * mag * 20 + 0.22 * 90 + 0.1 * greatest(20, 100 - 18.0 * greatest(0, rel - 1)) + 0.15 * CASE WHEN event_type = 'Regulation' THEN 85 ELSE 62 END + 7.5 AS impact FROM n3)"""]
+      """an AS (SELECT *, least(0.95, 0.45 + 0.08 * hits + 0.1 + 0.08) AS conf, round(0.18 * CASE WHEN source IN (""" + ", ".join(f"'{k}'" for k in SOURCES) + """) THEN 0.5 + CAST(substr(source, 4) AS INT) / 50 ELSE 0.55 END * 100
+  + 0.2 * mag * 20 + 0.22 * 90 + 0.1 * greatest(20, 100 - 18.0 * greatest(0, rel - 1)) + 0.15 * CASE WHEN event_type = 'Regulation' THEN 85 ELSE 62 END + 7.5, 1) AS impact FROM n3)"""]
 DEC = [*AN, """d0 AS (SELECT id, greatest(-100, least(100, s * 0.45 + (id % 100 - 50) * 0.6 + greatest(-10, least(10, ((id % 30) / 10 - 1) * 10)))) AS comp, id % 100 AS tech, id % 130 AS samples FROM an)""",
        "d1 AS (SELECT *, round_even(greatest(0, least(100, 50 + comp * 0.65)), 0) AS b, round_even(greatest(0, least(100, 50 - comp * 0.65)), 0) AS a FROM d0)", "d2 AS (SELECT *, greatest(0, 100 - greatest(b, a)) AS h FROM d1)",
        "hz AS (SELECT * FROM (VALUES ('T+1', 1.0), ('T+3', 0.78), ('T+5', 0.62)) v(horizon, fade))", "d3 AS (SELECT *, greatest(-30, least(30, comp * fade * 0.3)) AS e FROM d2, hz)"]
@@ -204,8 +203,8 @@ QUERIES = {
     "news_freshness": (news_freshness, q(*NEWS, "u AS (SELECT greatest(0, (epoch(TIMESTAMP '2024-01-20') - floor(epoch(published_at))) / 60) AS m FROM nd)", final="SELECT CASE WHEN m <= 30 THEN 'Breaking' WHEN m <= 360 THEN 'Recent' WHEN m <= 1440 THEN 'Aging' ELSE 'Old' END AS freshness, count(*) AS items FROM u GROUP BY 1")),
     "news_published": (news_published, q(*NEWS, final="SELECT id, CASE WHEN id % 4 <> 3 THEN date_trunc('second', published_at) END AS published_at FROM nd")),
     "news_similar": (news_similar, q(*AN, "k AS (SELECT id, event_type, label, sectors, id % 3 = 0 AS mr, id % 2 AS vr, round(impact, 1) AS impact FROM an)",
-                                     """j AS (SELECT a.id AS query_id, b.id, round(0.35 + 0.15 * CAST(a.label = b.label AS INT) + 0.15 * greatest(0, 1 - abs(a.impact - b.impact) / 100) + 0.15 * CASE WHEN len(list_distinct(list_concat(a.sectors, b.sectors))) > 0 THEN len(list_intersect(a.sectors, b.sectors)) / len(list_distinct(list_concat(a.sectors, b.sectors))) ELSE 0 END
-  + 0.1 * CAST(a.mr = b.mr AS INT) + 0.1 * CAST(a.vr = b.vr AS INT), 6) AS sim FROM k a JOIN k b ON a.event_type = b.event_type AND a.id <> b.id WHERE a.event_type <> 'General Market News')""",
+                                     """j AS (SELECT a.id AS query_id, b.id, round(0.35 * CAST(a.event_type = b.event_type AS INT) + 0.15 * CAST(a.label = b.label AS INT) + 0.15 * greatest(0, 1 - abs(a.impact - b.impact) / 100) + 0.15 * CASE WHEN len(list_distinct(list_concat(a.sectors, b.sectors))) > 0 THEN len(list_intersect(a.sectors, b.sectors)) / len(list_distinct(list_concat(a.sectors, b.sectors))) ELSE 0 END
+  + 0.1 * CAST(a.mr = b.mr AS INT) + 0.1 * CAST(a.vr = b.vr AS INT), 6) AS sim FROM k a JOIN k b ON a.id <> b.id)""",
                                      "m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM j)", final=f"SELECT query_id, id, {R('sim')} AS similarity, rank FROM m WHERE rank <= 5")),
     "event_study": (event_study, q(*OUT, final=f"SELECT id, symbol, h, entry_ts, {R('entry')} AS entry, {R('ret')} AS ret, {R('win')} AS \"window\", {R('abn')} AS abnormal, {R('abw')} AS abnormal_window FROM oc")),
     "event_study_metrics": (event_study_metrics, q(*OUT, "g AS (SELECT h, count(*) AS n, count(dr) AS dn, avg(CASE WHEN dr > 0 THEN 1.0 WHEN dr IS NOT NULL THEN 0 END) AS wr, avg(ret) AS m, median(ret) AS md, stddev_samp(ret) AS sd, max(ret) AS mx, min(ret) AS mn, avg(win) AS wm, avg(dr) FILTER (dr > 0) / abs(avg(dr) FILTER (dr < 0)) AS pl, avg(abn) AS car FROM oc GROUP BY 1)",
@@ -220,6 +219,6 @@ QUERIES = {
     "headline_leaders": (headline_leaders, None),
     "headline_clusters": (headline_clusters, None),
     "news_dedupe": (news_dedupe, None),
-    "news_collection": (news_collection, "WITH p AS (SELECT unnest(['src0','src1','src2','src99']) AS provider) SELECT p.provider, count(doc_id) AS \"count\", CASE WHEN count(doc_id) > 0 THEN 'HEALTHY' ELSE 'EMPTY' END AS status FROM p LEFT JOIN documents ON source = p.provider GROUP BY 1"),
+    "news_collection": (news_collection, "WITH p AS (SELECT unnest(list_concat(list_transform(range(20), lambda i: 'src' || i), ['src99'])) AS provider) SELECT p.provider, count(doc_id) AS \"count\", CASE WHEN count(doc_id) > 0 THEN 'HEALTHY' ELSE 'EMPTY' END AS status FROM p LEFT JOIN documents ON source = p.provider GROUP BY 1"),
     "benchmarks": (benchmarks, "SELECT DISTINCT event_type AS symbol, CASE event_type WHEN 'signup' THEN 'CN' WHEN 'error' THEN 'US' ELSE 'CRYPTO' END AS market, CASE event_type WHEN 'signup' THEN '000300' WHEN 'error' THEN 'SPY' ELSE 'BTC' END AS benchmark FROM events"),
 }

@@ -54,7 +54,7 @@ def coverage_hash(spark, d):
 
 def coverage_matrix(spark, d):
     bars = hourly(spark, d).withColumn("market", F.lit("CRYPTO"))
-    e = table(spark, d, "events").filter("user_id % 7 = 0")
+    e = table(spark, d, "events")
     said = e.select(F.lit("CRYPTO").alias("market"), F.col("event_type").alias("symbol"), F.when(F.col("event_id") % 2 == 0, "1H").otherwise("4H").alias("horizon"))
     extra = table(spark, d, "supplier").select(F.lit("US").alias("market"), F.col("s_name").alias("symbol"), F.lit("1D").alias("horizon"))
     return ql.coverage_matrix(bars, said.unionByName(extra))
@@ -287,7 +287,7 @@ QUERIES = {
   t2 AS (WITH {DAILY_SQL} SELECT 'US' AS market, symbol, '1d' AS i, count(*) AS n, CAST(epoch(min(ts)) AS BIGINT) AS a, CAST(epoch(max(ts)) AS BIGINT) AS b FROM c GROUP BY 2), u AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2)
   SELECT sha256(string_agg(market || ',' || symbol || ',' || i || ',' || n || ',' || a || ',' || b, ';' ORDER BY market, symbol, i)) AS digest, count(*) AS members FROM u"""),
     "coverage_matrix": (coverage_matrix, q(HOURLY_SQL, "l AS (SELECT 'CRYPTO' AS market, symbol, count(*) AS candles FROM c GROUP BY 2)",
-                                           "p AS (SELECT 'CRYPTO' AS market, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN '1H' ELSE '4H' END AS h, count(*) AS k FROM events WHERE user_id % 7 = 0 GROUP BY 2, 3 UNION ALL SELECT 'US', s_name, '1D', count(*) FROM supplier GROUP BY 2)",
+                                           "p AS (SELECT 'CRYPTO' AS market, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN '1H' ELSE '4H' END AS h, count(*) AS k FROM events GROUP BY 2, 3 UNION ALL SELECT 'US', s_name, '1D', count(*) FROM supplier GROUP BY 2)",
                                            "g AS (SELECT market, symbol, CAST(sum(k) AS BIGINT) AS predictions, string_agg(h || ':' || k, '|' ORDER BY h || ':' || k) AS by_horizon FROM p GROUP BY 1, 2)",
                                            final="SELECT market, symbol, coalesce(candles, 0) AS candles, CAST(CASE WHEN candles IS NULL THEN 0 ELSE 1 END AS BIGINT) AS intervals, coalesce(predictions, 0) AS predictions, coalesce(by_horizon, '') AS by_horizon FROM l FULL JOIN g USING (market, symbol)")),
     "leakage_audit": (leakage_audit, q(HOURLY_SQL, f"f AS (SELECT symbol, ts, lead(ts, 4) {W} AS t FROM c)", f"k AS (SELECT count(*) FILTER (ts >= t) AS a, count(*) FILTER (ts > TIMESTAMP '{NOW}' + INTERVAL 5 MINUTE) AS b, count(*) - count(DISTINCT (symbol, ts)) AS d FROM f WHERE t IS NOT NULL)",

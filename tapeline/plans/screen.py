@@ -86,12 +86,12 @@ def watchlist(spark, d):
     cust = table(spark, d, "customer")
     rows_ = cust.select(F.concat(F.lit("N"), (F.col("c_custkey") % 400).cast("string")).alias("symbol"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("asset_type"), F.col("c_custkey").alias("created_at"))
     gone = table(spark, d, "supplier").select(F.concat(F.lit("N"), (F.col("s_suppkey") * 3).cast("string")).alias("symbol"))
-    return sc.upsert_watchlist(rows_.filter("created_at < 600"), rows_.filter("created_at >= 600 and created_at < 1000"), gone)
+    return sc.upsert_watchlist(rows_.filter("created_at < 600"), rows_.filter("created_at >= 600"), gone)
 
 
 def market_overview(spark, d):
     asked = table(spark, d, "part").select(F.col("p_partkey").alias("position"), F.concat(F.lit("B"), (F.col("p_partkey") % 700).cast("string")).alias("symbol"))
-    quotes = table(spark, d, "part").filter("p_partkey < 500").select(F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_retailprice").alias("price"),
+    quotes = table(spark, d, "part").select(F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_retailprice").alias("price"),
                                                                        (F.col("p_retailprice") - F.col("p_size")).alias("prev_price"))
     return show(sc.quote_table(asked, quotes), "position", "symbol", "price", "change", "change_percent", "available")
 
@@ -141,8 +141,8 @@ QUERIES = {
     "news_dimension": (news_dimension, q("k AS (SELECT event_type AS symbol, event_id AS id, user_id % 200 - 100 AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS r FROM events)",
                                          "g AS (SELECT symbol, round_even(greatest(0, least(100, 50 + avg(s) / 2)), 0) AS p, string_agg(CAST(id AS VARCHAR), ',' ORDER BY r) FILTER (r <= 5) AS top_ids FROM k WHERE r <= 50 GROUP BY 1)",
                                          final="SELECT symbol, p AS news_points, top_ids, CASE WHEN p >= 60 THEN 'POSITIVE' WHEN p <= 40 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM g")),
-    "watchlist": (watchlist, """WITH k AS (SELECT 'N' || c_custkey % 400 AS symbol, c_name, c_mktsegment, c_custkey FROM customer WHERE c_custkey < 1000) SELECT symbol, arg_max(c_name, c_custkey) AS name, arg_max(c_mktsegment, c_custkey) AS asset_type, min(c_custkey) AS created_at
+    "watchlist": (watchlist, """WITH k AS (SELECT 'N' || c_custkey % 400 AS symbol, c_name, c_mktsegment, c_custkey FROM customer) SELECT symbol, arg_max(c_name, c_custkey) AS name, arg_max(c_mktsegment, c_custkey) AS asset_type, min(c_custkey) AS created_at
   FROM k WHERE symbol NOT IN (SELECT 'N' || s_suppkey * 3 FROM supplier) GROUP BY 1"""),
-    "market_overview": (market_overview, f"""WITH a AS (SELECT 'B' || p_partkey % 700 AS symbol, min(p_partkey) AS position FROM part GROUP BY 1), qt AS (SELECT 'B' || p_partkey AS symbol, p_retailprice AS price, p_retailprice - p_size AS prev FROM part WHERE p_partkey < 500)
+    "market_overview": (market_overview, f"""WITH a AS (SELECT 'B' || p_partkey % 700 AS symbol, min(p_partkey) AS position FROM part GROUP BY 1), qt AS (SELECT 'B' || p_partkey AS symbol, p_retailprice AS price, p_retailprice - p_size AS prev FROM part)
   SELECT position, symbol, {R('price')} AS price, {R('price - prev')} AS change, {R('(price / nullif(prev, 0) - 1) * 100')} AS change_percent, price IS NOT NULL AS available FROM a LEFT JOIN qt USING (symbol)"""),
 }

@@ -26,6 +26,7 @@ def local_session(name: str = "tapeline", cores: str = "8", **conf: str) -> Spar
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         **conf,
     }
@@ -36,20 +37,27 @@ def local_session(name: str = "tapeline", cores: str = "8", **conf: str) -> Spar
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for cut lineage; None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names for cut lineage; a fresh one in local mode where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and read it from there, for inputs used more than once."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a temporary one only where none is named)."""
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/tapeline-{uuid.uuid4().hex}"
+    """A path, not there yet, in a fresh folder under the shared checkpoint folder that goes when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tapeline-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return f"{path}/data"

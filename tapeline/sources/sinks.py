@@ -18,10 +18,12 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str], partitions: list[str] = ()) -> DataFrame:
-    """Append rows whose key is not stored; the first of equal keys wins.  Returns received/inserted/duplicates/stored."""
+    """Append rows whose key is not stored; of equal keys the least row wins.  Returns received/inserted/duplicates/stored."""
     spark = rows.sparkSession
     stored = _read(spark, path, rows.schema)
-    fresh = rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*rows.columns) if rest else rows.dropDuplicates(keys)
+    fresh = first.join(stored.select(*keys), keys, "left_anti")
     before, received = stored.count(), rows.count()
     fresh.write.mode("append").partitionBy(*partitions).parquet(path)
     after = _read(spark, path, rows.schema).count()
@@ -37,7 +39,13 @@ def append_candles(rows: DataFrame, path: str) -> DataFrame:
 
 
 def upsert(stored: DataFrame, rows: DataFrame, keys: list[str], sticky: list[str] = ()) -> DataFrame:
-    """Latest row per key; columns in ``sticky`` keep the old value where the new one is NULL."""
+    """Latest row per key; columns in ``sticky`` keep the old value where the new one is NULL.
+
+    Of repeated incoming keys the row with the largest ``updated_at`` counts, else the largest values.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    order = [c for c in ("updated_at",) if c in rest] + [c for c in rest if c != "updated_at"]
+    rows = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
     new = rows.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in rows.columns if c not in keys], F.lit(True).alias("_new"))
     joined = stored.join(new, keys, "full")
     pick = lambda c: F.coalesce(f"_n_{c}", c) if c in sticky else F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c))

@@ -117,12 +117,12 @@ def triggers(updates: DataFrame) -> DataFrame:
 
 
 def upsert_bars(stored: DataFrame, fresh: DataFrame, keep: int = 1200) -> DataFrame:
-    """Same stamp replaces, newer appends, older than the stored newest is ignored; the newest ``keep`` remain."""
+    """Same stamp replaces unless the stored bar is confirmed, newer appends, older than the stored newest is ignored; the newest ``keep`` remain."""
     c = F.col
     newest = stored.groupBy("symbol", "interval").agg(F.max("bar_ts").alias("_top"))
     usable = fresh.join(newest, ["symbol", "interval"], "left").filter(c("_top").isNull() | (c("bar_ts") >= c("_top"))).drop("_top")
     both = stored.withColumn("_v", F.lit(0)).unionByName(usable.withColumn("_v", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("symbol", "interval", "bar_ts").orderBy(F.desc("_v")))
+    rank = F.row_number().over(Window.partitionBy("symbol", "interval", "bar_ts").orderBy(*([F.desc((c("_v") == 0) & F.coalesce("confirmed", F.lit(False)))] if "confirmed" in stored.columns else []), F.desc("_v")))
     place = F.row_number().over(Window.partitionBy("symbol", "interval").orderBy(F.desc("bar_ts")))
     return both.withColumn("_r", rank).filter("_r = 1").withColumn("_p", place).filter(c("_p") <= keep).drop("_v", "_r", "_p")
 

@@ -18,20 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.shingles import word_hashes
+
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.8
 #: Least step between passages; a passage is two steps, so that an item up to a step long lies whole in one.
 STEP, BLOCK_ITEMS, GRAM = 64, 8, 3
 #: Text of test items that one index may hold; a larger benchmark is indexed in slices, one after the other.
 SLICE_BYTES = 64 << 20
-#: Words handled at once.
-TOKENS_AT_ONCE = 100_000
+#: Characters handled at once.
+AT_ONCE = 1 << 19
+#: Below so many (word, block) keys an index keeps a table of them.
+DENSE = 1 << 22
 SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def cleaned(text: str | None) -> bytes:
+    """Lower-case text with ASCII marks and blanks as spaces."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(SPLIT) if text else b""
+
+
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-case words; ASCII marks and blanks divide them."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(SPLIT).split() if text else []
+    return cleaned(text).split()
 
 
 def question_answer(text: str) -> tuple[str, str]:
@@ -48,6 +56,8 @@ def grams(ids: np.ndarray) -> set[tuple[int, ...]]:
 @dataclass
 class Index:
     words: dict[bytes, int]
+    hashes: np.ndarray  # of the words, sorted
+    hash_word: np.ndarray
     items: list
     step: int
     most: np.ndarray  # per word its largest impact
@@ -61,6 +71,15 @@ class Index:
     questions: list[set]
     answers: list[set]
 
+    def __post_init__(self) -> None:
+        self.starts = np.searchsorted(self.entry_key, np.arange(len(self.words) * self.blocks + 1)) if len(self.words) * self.blocks < DENSE else None
+
+    def entries(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Range of the entries of each (word, block) key."""
+        if self.starts is not None:
+            return self.starts[key], self.starts[key + 1]
+        return np.searchsorted(self.entry_key, key), np.searchsorted(self.entry_key, key, side="right")
+
 
 def build(items: list[tuple[object, str, str]], frequency: dict[bytes, int], number: int, mean_length: float, longest: int) -> Index:
     """Index of (id, question, answer) with document frequencies over the whole benchmark."""
@@ -90,7 +109,9 @@ def build(items: list[tuple[object, str, str]], frequency: dict[bytes, int], num
     block_most = np.maximum.reduceat(x, at)
     block_start = np.searchsorted(pairs, np.arange(len(words) + 1) * blocks)
     most = np.maximum.reduceat(block_most, block_start[:-1])
-    return Index(words, [k for k, _, _ in listed], max(STEP, longest), most, block_start, pairs % blocks, block_most, key, i, x, blocks, questions, answers)
+    hashes, _ = word_hashes(b" ".join(words) + b" ")
+    by_hash = np.argsort(hashes)
+    return Index(words, hashes[by_hash], by_hash, [k for k, _, _ in listed], max(STEP, longest), most, block_start, pairs % blocks, block_most, key, i, x, blocks, questions, answers)
 
 
 def expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +125,8 @@ def search(passage: np.ndarray, word: np.ndarray, index: Index, threshold: float
     """(passage, item, score) of all scores of ``threshold`` or more; input: distinct (passage, word), by passage."""
     none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     slack = threshold - 1e-9
+    reach = np.bincount(passage, weights=index.most[word])[passage] >= slack if len(passage) else np.empty(0, bool)
+    passage, word = passage[reach], word[reach]
     # Words by rising maximum within the passage; those whose running total stays below the threshold propose nothing.
     top = index.most[word]
     order = np.lexsort((top, passage))
@@ -129,8 +152,10 @@ def search(passage: np.ndarray, word: np.ndarray, index: Index, threshold: float
     ends = np.r_[first[1:], len(passage)]
     owner, at = expand(first[np.searchsorted(passage[first], p)], ends[np.searchsorted(passage[first], p)])
     wanted = word[at] * index.blocks + block[owner]
-    low, high = np.searchsorted(index.entry_key, wanted), np.searchsorted(index.entry_key, wanted, side="right")
-    owner2, entry = expand(low, high)
+    low, high = index.entries(wanted)
+    some = np.flatnonzero(high > low)
+    owner2, entry = expand(low[some], high[some])
+    owner2 = some[owner2]
     pair, back = np.unique(p[owner[owner2]] * len(index.items) + index.entry_item[entry], return_inverse=True)
     score = np.bincount(back, weights=index.entry_impact[entry])
     kept = score >= slack
@@ -140,29 +165,33 @@ def search(passage: np.ndarray, word: np.ndarray, index: Index, threshold: float
 def hits_of(texts: list[str | None], index: Index, threshold: float, overlap: float) -> list[list[dict]]:
     """Verified hits of each text, by item."""
     out: list[list[dict]] = [[] for _ in texts]
-    get, unknown = index.words.get, -1
-    ids = [np.fromiter((get(w, unknown) for w in tokens(t)), dtype=np.int64) for t in texts]
-    passages, words, base, owner = [], [], 0, []
-    for d, x in enumerate(ids):
-        at = np.flatnonzero(x >= 0)
-        n = max(1, -(-len(x) // index.step) - 1)
-        chunk = at // index.step
-        both = np.r_[chunk, chunk - 1]
-        ok = (both >= 0) & (both < n)
-        passages.append(base + both[ok])
-        words.append(np.r_[x[at], x[at]][ok])
-        owner.append(np.stack([np.full(n, d), np.arange(n)], 1))
-        base += n
-    place = np.concatenate(owner) if owner else np.empty((0, 2), np.int64)
-    vocabulary = max(1, len(index.words))
-    distinct = np.unique(np.concatenate(passages) * vocabulary + np.concatenate(words)) if passages else np.empty(0, np.int64)
+    raw = [cleaned(t) for t in texts]
+    hashes, starts = word_hashes(b" ".join(raw) + b" ")
+    if not len(hashes):
+        return out
+    owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
+    length = np.bincount(owner, minlength=len(raw))
+    first = np.cumsum(length) - length
+    at = np.minimum(np.searchsorted(index.hashes, hashes), len(index.hashes) - 1)
+    ids = np.where(index.hashes[at] == hashes, index.hash_word[at], -1)
+    passages = np.maximum(1, -(-length // index.step) - 1)
+    base = np.cumsum(passages) - passages
+    known = np.flatnonzero(ids >= 0)
+    d = owner[known]
+    chunk = (known - first[d]) // index.step
+    ahead, behind = chunk < passages[d], chunk >= 1
+    passage = np.r_[(base[d] + chunk)[ahead], (base[d] + chunk - 1)[behind]]
+    word = np.r_[ids[known][ahead], ids[known][behind]]
+    distinct = np.unique(passage * len(index.words) + word)
+    passage, word = distinct // len(index.words), distinct % len(index.words)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p, i, score in zip(*search(distinct // vocabulary, distinct % vocabulary, index, threshold), strict=True):
-        d, k = place[p]
-        seen = grams(ids[d][k * index.step : (k + 2) * index.step])
+    for p, i, score in zip(*search(passage, word, index, threshold), strict=True):
+        d = int(np.searchsorted(base, p, side="right")) - 1
+        k = int(p - base[d])
+        seen = grams(ids[first[d] + k * index.step : first[d] + min(length[d], (k + 2) * index.step)])
         q, a = (len(part & seen) / max(1, len(part)) for part in (index.questions[i], index.answers[i]))
         if q >= overlap and a >= overlap:
-            best[(int(d), int(i))] = max(best.get((int(d), int(i)), (0.0, 0.0, 0.0)), (float(score), q, a))
+            best[(d, int(i))] = max(best.get((d, int(i)), (0.0, 0.0, 0.0)), (float(score), q, a))
     for (d, i), (score, q, a) in sorted(best.items()):
         out[d].append({"item": index.items[i], "score": min(1.0, score), "question": q, "answer": a})
     return out
@@ -174,7 +203,7 @@ def marked(batches: Iterator[pa.RecordBatch], text: str, into: str, index: Index
         part: list[str | None] = []
         size = 0
         for value in [*batch.column(text).to_pylist(), ...]:
-            if value is ... or size > TOKENS_AT_ONCE * 6:
+            if value is ... or size > AT_ONCE:
                 found += hits_of(part, index, threshold, overlap)
                 part, size = [], 0
             if value is not ...:

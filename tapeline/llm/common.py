@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.session import checkpoint_dir
+
 #: Fixed value: a word is a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,8 +18,8 @@ def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one in local mode without it."""
+    return checkpoint_dir(spark).rstrip("/")
 
 
 def table_cut(df: DataFrame) -> DataFrame:

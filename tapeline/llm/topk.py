@@ -160,7 +160,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
     rows, dim = table.agg(F.count("*"), F.max(F.size("v"))).first()
     dim = max(GROUPS, dim or 0)
     mean = np.zeros(dim)
-    for r in table.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast("double")).alias("x")).toLocalIterator():
+    for r in table.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast("double")).alias("x")).collect():
         mean[r["at"]] = r["x"] / rows
     nodes = table_cut(table.repartition(max(1, -(-rows // (8 * BLOCK)))).mapInArrow(lambda b: cells(b, dim), "block bigint, group int, ids array<bigint>, values binary"))
     queries = table_cut(nodes.mapInArrow(lambda b: asked(b, every), "group int, qrow bigint, qid bigint, values binary"))

@@ -108,6 +108,13 @@ class Vocabulary:
         self.slots = np.zeros(SLOTS, dtype=np.int32)
         self.slots[slot(self.keys)] = np.arange(len(self.keys))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "slots"}  # made again where it is used
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 where it is tail."""
         if not len(self.keys):

@@ -262,9 +262,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     pairs = pairs.join(beside(left).select("token", "step", *named_as("b"), F.col("node").alias("b")), ["token", "step", *[f"{c}_b" for c in own]])
     pairs = pairs.select("a", F.col("n_a").alias("na"), "b", F.col("n_b").alias("nb"))
     pairs = table_cut(pairs.select("a", "na", "b", "nb").distinct())
-    if not pairs.isEmpty():
-        links = links.union(linked(docs, pairs, width, percent, fragment))
-        root = labels(links)
+    if not pairs.isEmpty() and not (more := linked(docs, pairs, width, percent, fragment)).isEmpty():
+        root = labels(links.union(more))
     named = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     named = named.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     chief = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,19 +1,22 @@
 """Log-bilinear language model: trained in numpy by noise-contrastive estimation, normalised scores of whole texts.
 
 The model predicts the class of a token from the class before it: score(w | v) = context(v) . target(w) + bias(w).
-Classes: the end mark, the OWN most frequent words, RARE classes of less frequent words by their first two bytes, and
-one class for the tail: words under a count that only a join can look up, and unknown words, which are one symbol.
+Classes: the end mark, the most frequent words (OWN, or GROWTH times the root of the number of word types where that is
+more, so that the square of the classes grows as the vocabulary does), RARE classes of less frequent words by their first
+two bytes, and one class for the tail: words under a count that only a join can look up, and unknown words, which are one
+symbol.
 Within a class the counts divide the probability; in the tail a discount goes to the unknown symbol. So every token
 of any text has a probability, and they sum to 1.
 
-Training sees the corpus as counts of (class before, class), gathered over all training rows and bounded by the square
-of the number of classes. Words are told apart by 64-bit hashes.
+Training sees the corpus as counts of (class before, class), gathered over all training rows. Every pair is visited, in
+blocks of PAIRS, and its visits weigh as much together as its count: the work grows with the distinct pairs. Words are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +27,11 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import table_cut
 from tapeline.llm.shingles import LOWER, word_hashes
 
-#: Words that stand for themselves, classes of rarer ones, words that tasks hold in memory at most.
-OWN, RARE, FREQUENT = 2500, 64, 1 << 20
-#: Components of a vector, noise classes a step, steps, (before, after) pairs a step, rate, seed, discount in the tail.
+#: Words that stand for themselves at least, their growth, classes of rarer ones, words that tasks hold in memory at most.
+OWN, GROWTH, RARE, FREQUENT = 2500, 4, 64, 1 << 20
+#: (before, after) pairs that the driver holds at once.
+PAIRS = 1 << 21
+#: Components of a vector, noise classes a step, steps at least, visits a step, rate, seed, discount in the tail.
 DIM, NOISE, STEPS, BATCH, RATE, SEED, DISCOUNT = 24, 64, 1500, 4096, 0.2, 11, 0.75
 END = np.uint64(1)
 STEM = np.uint64(RARE - 1)
@@ -103,6 +108,12 @@ class Vocabulary:
     inside: np.ndarray  # log10 of the word's share of its class
     tail_tokens: int
     tail_types: int
+    own: int = OWN  # words that stand for themselves
+
+    @property
+    def size(self) -> int:
+        """Number of classes; the last one is the tail."""
+        return self.own + RARE + 2
 
     def __post_init__(self) -> None:
         self.slots = np.zeros(SLOTS, dtype=np.int32)
@@ -126,28 +137,29 @@ class Vocabulary:
         return at
 
     def classes_of(self, at: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, self.classes[at] if len(self.classes) else TAIL, TAIL)
+        return np.where(at >= 0, self.classes[at] if len(self.classes) else self.size - 1, self.size - 1)
 
 
 def made(keys: np.ndarray, counts: np.ndarray, total: int, types: int, least: int) -> Vocabulary:
     """Classes of the words (sorted hashes) that tasks hold: the end mark 0, the most frequent their own, then by stem."""
-    classes = 1 + OWN + (keys & STEM).astype(np.int64)
-    top = [i for i in np.lexsort((keys, -counts))[: OWN + 1] if keys[i] != END][:OWN]
+    own = max(OWN, math.ceil(GROWTH * math.sqrt(types)))
+    classes = 1 + own + (keys & STEM).astype(np.int64)
+    top = [i for i in np.lexsort((keys, -counts))[: own + 1] if keys[i] != END][:own]
     classes[top] = 1 + np.arange(len(top))
     classes[keys == END] = 0
-    mass = np.bincount(classes, weights=counts, minlength=CLASSES)
+    mass = np.bincount(classes, weights=counts, minlength=own + RARE + 2)
     inside = np.log10(counts / mass[classes])
-    return Vocabulary(total, types, least, keys, counts, classes, inside, int(total - counts.sum()), int(types - len(keys)))
+    return Vocabulary(total, types, least, keys, counts, classes, inside, int(total - counts.sum()), int(types - len(keys)), own)
 
 
 def class_pairs(vocabulary: Vocabulary, texts: list[str | None]) -> np.ndarray:
     hashes, owner = tokens(texts)
     classes = vocabulary.classes_of(vocabulary.find(hashes))
-    return before(classes, owner) * CLASSES + classes
+    return before(classes, owner) * vocabulary.size + classes
 
 
-TAIL = OWN + 1 + RARE
-CLASSES = TAIL + 1
+#: Classes of the smallest vocabularies.
+CLASSES = OWN + RARE + 2
 
 
 def before(classes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -157,15 +169,22 @@ def before(classes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(pairs: np.ndarray, counts: np.ndarray, unigram: np.ndarray, steps: int = STEPS, seed: int = SEED) -> dict:
-    """Noise-contrastive estimation on weighted (before * CLASSES + after) pairs."""
+def visits(counts: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the pair of each visit, and its weight (1 at most): a pair's visits come to its count, in ``unit``."""
+    times = np.maximum(np.ceil(counts / unit), 1).astype(np.int64)
+    return np.repeat(np.arange(len(counts), dtype=np.int32), times), np.repeat((counts / (times * unit)).astype(np.float32), times)
+
+
+def train(blocks: Iterable[tuple[np.ndarray, np.ndarray]], unigram: np.ndarray, unit: float, seed: int = SEED) -> dict:
+    """Noise-contrastive estimation on blocks of weighted (before * classes + after) pairs, each visited wholly."""
     rng = np.random.default_rng(seed)
+    size = len(unigram)
     noise = (unigram + 1.0) / (unigram.sum() + len(unigram))
     log_noise = np.log(noise * NOISE).astype(np.float32)
-    context, target = (rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32) for _ in range(2))
+    context, target = (rng.normal(0, 0.1, (size, DIM)).astype(np.float32) for _ in range(2))
     bias = np.log(noise).astype(np.float32)
     squares = [np.full(x.shape, 1e-2, dtype=np.float32) for x in (context, target, bias)]
-    chance, noise_chance = np.cumsum(counts) / counts.sum(), np.cumsum(noise)
+    noise_chance = np.cumsum(noise)
 
     def move(k: int, value: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         row, back = np.unique(rows, return_inverse=True)
@@ -174,28 +193,48 @@ def train(pairs: np.ndarray, counts: np.ndarray, unigram: np.ndarray, steps: int
         squares[k][row] += total**2
         value[row] += RATE * total / np.sqrt(squares[k][row])
 
-    for _ in range(steps if len(pairs) else 0):
-        chosen = pairs[np.minimum(np.searchsorted(chance, rng.random(BATCH)), len(pairs) - 1)]
-        v, w = chosen // CLASSES, chosen % CLASSES
-        n = np.minimum(np.searchsorted(noise_chance, rng.random(NOISE)), CLASSES - 1)
-        c, q, m = context[v], target[w], target[n]
-        true = 1 / (1 + np.exp(np.clip((c * q).sum(1) + bias[w] - log_noise[w], -30, 30)))
-        false = -1 / (1 + np.exp(-np.clip(c @ m.T + bias[n] - log_noise[n], -30, 30)))
-        scale = np.float32(1 / 64)
-        move(0, context, v, scale * (true[:, None] * q + false @ m))
-        move(1, target, np.r_[w, n], scale * np.r_[true[:, None] * c, false.T @ c])
-        move(2, bias, np.r_[w, n], scale * np.r_[true, false.sum(0)])
-    return {"context": context, "target": target, "bias": bias}
+    for pairs, counts in blocks:
+        place, share = visits(counts, unit)
+        order = rng.permutation(len(place)).astype(np.int32)
+        for at in range(0, len(order), BATCH):
+            step = order[at : at + BATCH]
+            chosen, weight = pairs[place[step]], share[step]
+            v, w = chosen // size, chosen % size
+            n = np.minimum(np.searchsorted(noise_chance, rng.random(NOISE)), size - 1)
+            c, q, m = context[v], target[w], target[n]
+            true = weight / (1 + np.exp(np.clip((c * q).sum(1) + bias[w] - log_noise[w], -30, 30)))
+            false = -weight[:, None] / (1 + np.exp(-np.clip(c @ m.T + bias[n] - log_noise[n], -30, 30)))
+            scale = np.float32(1 / 64)
+            move(0, context, v, scale * (true[:, None] * q + false @ m))
+            move(1, target, np.r_[w, n], scale * np.r_[true[:, None] * c, false.T @ c])
+            move(2, bias, np.r_[w, n], scale * np.r_[true, false.sum(0)])
+    return {"context": context, "target": target, "bias": bias, "norm": normalisers(context, target, bias)}
+
+
+def normalisers(context: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(score) over all classes, for each class before, by batches of contexts."""
+    out = np.empty(len(bias))
+    for at in range(0, len(bias), 256):
+        s = context[at : at + 256] @ target.T + bias
+        most = s.max(axis=1, keepdims=True)
+        out[at : at + 256] = most[:, 0] + np.log(np.exp(s - most).sum(axis=1, dtype=np.float64))
+    return out
+
+
+def class_logs(net: dict, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log10 P(class w | class before v) of each pair, normalised."""
+    out = np.empty(len(v))
+    for at in range(0, len(v), 1 << 16):
+        x, y = v[at : at + (1 << 16)], w[at : at + (1 << 16)]
+        score = np.einsum("ij,ij->i", net["context"][x], net["target"][y]) + net["bias"][y]
+        out[at : at + (1 << 16)] = (score - net["norm"][x]) / math.log(10)
+    return out
 
 
 def log_probabilities(net: dict) -> np.ndarray:
-    """log10 P(class | class before), normalised, by batches of contexts."""
-    out = np.empty((CLASSES, CLASSES), dtype=np.float32)
-    for at in range(0, CLASSES, 256):
-        s = (net["context"][at : at + 256] @ net["target"].T + net["bias"]).astype(np.float64)
-        s -= s.max(axis=1, keepdims=True)
-        out[at : at + 256] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / math.log(10)
-    return out
+    """log10 P(class | class before) of all classes: the whole table, for looking at a small model."""
+    size = len(net["bias"])
+    return np.array([class_logs(net, np.full(size, v), np.arange(size)) for v in range(size)])
 
 
 @dataclass
@@ -225,12 +264,27 @@ def fit(docs: DataFrame, text: str = "text", steps: int = STEPS) -> Model:
     order = np.argsort(keys)
     vocabulary = made(keys[order], n[order], total, types, least)
     kept = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    pairs = content.mapInArrow(lambda b: counted(b, lambda t: class_pairs(kept.value, t)), schema).groupBy("key").agg(F.sum("count").alias("count")).toArrow()
-    code, weight = pairs["key"].to_numpy(), pairs["count"].to_numpy()
-    order = np.argsort(code)
-    code, weight = code[order], weight[order]
-    unigram = np.bincount(code % CLASSES, weights=weight, minlength=CLASSES)
-    return Model(vocabulary, train(code, weight, unigram, steps), counts.where(F.col("count") < least))
+    pairs = content.mapInArrow(lambda b: counted(b, lambda t: class_pairs(kept.value, t)), schema).groupBy("key").agg(F.sum("count").alias("count"))
+    pairs = table_cut(pairs)
+    after = pairs.groupBy((F.col("key") % vocabulary.size).alias("class")).agg(F.sum("count").alias("count"), F.count("*").alias("pairs")).toArrow()
+    unigram, distinct = np.zeros(vocabulary.size), sum(after["pairs"].to_pylist())
+    unigram[after["class"].to_numpy()] = after["count"].to_numpy()
+    unit = max(1.0, float(unigram.sum())) / max(1, steps * BATCH, distinct)
+    return Model(vocabulary, train(pair_blocks(pairs, distinct, unit), unigram, unit), counts.where(F.col("count") < least))
+
+
+def pair_blocks(pairs: DataFrame, distinct: int, unit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted pairs and their counts, dealt into blocks by a hash of the pair; a pair of many visits is in several blocks."""
+    blocks = -(-distinct // PAIRS)
+    if blocks > 1:
+        times = F.least(F.lit(blocks), F.greatest(F.lit(1), F.ceil(F.col("count") / unit))).cast("int")
+        split = pairs.select("key", (F.col("count") / times).alias("count"), F.explode(F.sequence(F.lit(0), times - 1)).alias("i"))
+        pairs = table_cut(split.select("key", "count", F.pmod(F.xxhash64("key") + F.col("i"), F.lit(blocks)).cast("int").alias("block")).sortWithinPartitions("block"))
+    for k in range(blocks):
+        block = (pairs.where(F.col("block") == k) if blocks > 1 else pairs).select("key", "count").toArrow()
+        code, weight = block["key"].to_numpy(), block["count"].to_numpy()
+        order = np.argsort(code)
+        yield code[order], weight[order]
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: tuple[Vocabulary, dict]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +292,6 @@ def scored(batches: Iterator[pa.RecordBatch], model: tuple[Vocabulary, dict]) ->
     from pyspark import TaskContext
 
     vocabulary, net = model
-    table = log_probabilities(net)
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
     for batch in batches:
         out: list[list] = [[] for _ in range(5)]
@@ -247,7 +300,7 @@ def scored(batches: Iterator[pa.RecordBatch], model: tuple[Vocabulary, dict]) ->
             at = vocabulary.find(hashes)
             classes = vocabulary.classes_of(at)
             known = at >= 0
-            model_log = table[before(classes, owner), classes].astype(np.float64)
+            model_log = class_logs(net, before(classes, owner), classes)
             model_log[known] += vocabulary.inside[at[known]]
             base = np.zeros(len(at))
             base[known] = np.log10(vocabulary.counts[at[known]] + 1.0)

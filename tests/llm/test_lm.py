@@ -60,3 +60,22 @@ def test_empty_tables(spark):
     model = lm.fit(none)
     assert [tuple(r) for r in lm.score(docs, model).collect()] == [(1, 3, 0, 0, 0.0, 0.0)]
     assert lm.score(none, lm.fit(docs, steps=5)).collect() == []
+
+
+def test_classes_grow_and_every_pair_trains(spark, monkeypatch):
+    keys = np.arange(2, 1_000_002, dtype=np.uint64) << np.uint64(8)
+    v = lm.made(keys, np.arange(1_000_000, 0, -1), 1 << 40, 1_000_000, 1)
+    assert v.size > lm.CLASSES and v.classes[lm.OWN] == lm.OWN + 1 and v.classes.max() < v.size
+    # One pair holds nearly all the mass: the others are visited all the same, and the visits come to the counts.
+    counts = np.r_[10**7, np.ones(5000)]
+    place, share = lm.visits(counts, 10**7 / lm.BATCH)
+    assert set(place) == set(range(5001)) and np.allclose(np.bincount(place, weights=share) * 10**7 / lm.BATCH, counts, rtol=1e-4)
+    pairs = np.arange(5001) % 2500 * lm.CLASSES + np.arange(5001) % 2501
+    start, net = (lm.train(b, np.ones(lm.CLASSES), 10**7 / lm.BATCH) for b in ([], [(pairs, counts)]))
+    assert (net["context"] != start["context"]).any(1)[:2500].all()
+    # Blocks together hold every pair's whole count.
+    rows = [(i, 1 + (i == 7) * 900) for i in range(300)]
+    monkeypatch.setattr(lm, "PAIRS", 50)
+    got = list(lm.pair_blocks(spark.createDataFrame(rows, "key bigint, count bigint"), 300, 4.0))
+    assert len(got) == 6 and max(map(len, (k for k, _ in got))) < 100
+    assert np.allclose(np.bincount(np.concatenate([k for k, _ in got]), weights=np.concatenate([c for _, c in got])), [c for _, c in rows])

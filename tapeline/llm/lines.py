@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tapeline.llm.common import table_cut, with_size
 
-MIN_CHARS, BLOCK = 20, 64
+#: Characters that the longer of two near lines has at least: one edit makes another word of a short line ("Of.", "On.").
+NEAR_CHARS, BLOCK = 20, 64
 #: What is cut off both ends of a line before it is compared.
 BLANK = " \t\x0b\x0c\r"
 
@@ -66,8 +67,9 @@ def met(keys: DataFrame) -> DataFrame:
     return table_cut(keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.min("form").alias("f")).where("x <> y AND f = 0").select("key"))
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b) of the lines that have an earlier line one edit away."""
+def near_lines(lines: DataFrame, firsts: DataFrame, near_chars: int) -> DataFrame:
+    """(a, b) of the lines that have an earlier line one edit away, the longer one of ``near_chars`` at least."""
+    lines = lines.where(F.length("line") >= near_chars - 1)
     started = lines.select("a", "b", "line", F.explode(forms(F.col("line"))).alias("f")).select("a", "b", "line", "f.form", "f.n", F.lit(0).alias("s"), F.col("f.n").alias("e"))
     keys = keyed(started, 2)
     live = keys.join(with_size(met(keys.select("key", "a", "form")), 8), "key", "left_semi")
@@ -91,30 +93,31 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     other = F.when(F.col("kind") == 1, F.col("longer")).otherwise(F.col("whole"))
     pairs = variants.join(heads, ["k1", "k2"]).withColumn("other", other).where(F.col("other.first") < F.col("first")).select("a", "b", F.col("other.a").alias("oa"), F.col("other.b").alias("ob")).distinct()
     both = pairs.join(texts.select("a", "b", "line"), ["a", "b"]).join(texts.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("line").alias("earlier")), ["oa", "ob"])
-    return both.where(F.levenshtein("line", "earlier", 1) >= 0).select("a", "b").distinct()
+    return both.where((F.greatest(F.length("line"), F.length("earlier")) >= near_chars) & (F.levenshtein("line", "earlier", 1) >= 0)).select("a", "b").distinct()
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int | None = None, max_edits: int = 1) -> DataFrame:
     """Per document with such lines: doc, body (see :func:`identity`) and ``drops``, the numbers of the lines that go."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = lines_of(docs, key, text, min_chars)
+    lines = lines_of(docs, key, text, 1 if min_chars is None else min_chars)
     firsts = table_cut(lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("copies")))
     decided = firsts.where("copies > 1").select("a", "b", "first", F.lit(False).alias("near"))
     if max_edits:
-        near = table_cut(near_lines(lines, firsts.select("a", "b", "first")))
+        near = table_cut(near_lines(lines, firsts.select("a", "b", "first"), NEAR_CHARS if min_chars is None else min_chars))
         decided = decided.join(near, ["a", "b"], "left_anti").union(near.join(firsts, ["a", "b"]).select("a", "b", "first", F.lit(True)))
     decided = with_size(table_cut(decided), 64)
     gone = lines.drop("line").join(decided, ["a", "b"]).where(F.col("near") | (F.col("place") > F.col("first")))
     return gone.groupBy("place.doc", "place.body").agg(F.collect_list("place.at").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1, into: str = "dropped_lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int | None = None, max_edits: int = 1, into: str = "dropped_lines") -> DataFrame:
     """``docs`` without repeated lines in ``text``, and ``into``: the sorted numbers (from 0) of the lines that went.
 
-    A line (split at newlines, blanks at its ends ignored) of ``min_chars`` characters or more goes if an earlier line
-    equals it, or lies within ``max_edits`` (0 or 1) edits; earlier means a smaller key (NULL last), then text hash,
-    then line number. Shorter lines stay. Rows that repeat key and text are one document and get the same result.
+    A line (split at newlines, blanks at its ends ignored) goes if an earlier line equals it, or lies within
+    ``max_edits`` (0 or 1) edits and the longer of the two has NEAR_CHARS characters; earlier means a smaller key (NULL
+    last), then text hash, then line number. Blank lines stay. With ``min_chars``, shorter lines stay and are not
+    compared, and all others are near at any length. Rows that repeat key and text are one document and get the same result.
     NULL texts stay NULL, empty ones empty; a document may end up empty; an empty table stays empty. Other columns
     pass through, except that a column named ``into`` is replaced.
     """

@@ -65,3 +65,9 @@ def test_repeated_rows_and_long_lines(spark):
     got = sorted((r.doc_id, len(r.text), r.dropped_lines) for r in lines.dedup_lines(docs).collect())
     assert got == [(1, 40000, []), (2, 0, [0]), (3, 5, []), (3, 5, []), (4, 23, []), (4, 23, []), (5, 0, [0])]
     assert lines.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_short_lines_meet_exactly(spark):
+    rows = [(1, "Of.\n\n" + "b" * 19), (2, "Of.\nOn.\n \n" + "b" * 20), (3, " On.\t\nx\n" + "b" * 18), (4, "x\n" + "b" * 19 + "c")]
+    got = {r.doc_id: r.dropped_lines for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 3], 3: [0], 4: [0, 1]}

@@ -41,6 +41,7 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def with_size(table: DataFrame, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
+def with_size(table: DataFrame, row_bytes: int | Column, limit: int = 16 << 20) -> DataFrame:
     """``table`` marked for broadcast if its counted rows come to ``limit`` bytes at most; otherwise as it is."""
-    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+    size = table.count() * row_bytes if isinstance(row_bytes, int) else table.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table

@@ -108,7 +108,8 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         decided = decided.join(near, ["a", "b"], "left_anti").union(near.join(firsts, ["a", "b"]).select("a", "b", "first", F.lit(True)))
     decided = with_size(table_cut(decided), 64)
     gone = lines.drop("line").join(decided, ["a", "b"]).where(F.col("near") | (F.col("place") > F.col("first")))
-    return gone.groupBy("place.doc", "place.body").agg(F.collect_list("place.at").alias("drops"))
+    once = gone.select("place.doc", "place.body", "place.at").distinct()  # rows that repeat key and text have the same numbers
+    return once.groupBy("doc", "body").agg(F.collect_list("at").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int | None = None, max_edits: int = 1, into: str = "dropped_lines") -> DataFrame:
@@ -121,7 +122,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     NULL texts stay NULL, empty ones empty; a document may end up empty; an empty table stays empty. Other columns
     pass through, except that a column named ``into`` is replaced.
     """
-    drops = with_size(table_cut(dropped_lines(docs, key, text, min_chars, max_edits)), 80)
+    drops = with_size(table_cut(dropped_lines(docs, key, text, min_chars, max_edits)), 80 + 5 * F.size("drops"))
     doc, body = identity(F.col(f"`{key}`"), F.col(f"`{text}`"))
     keep = [c for c in docs.columns if c != into]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), doc, body)

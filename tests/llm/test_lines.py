@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tapeline.llm import lines
+from tapeline.llm.common import with_size
 
 
 def distance_within_one(a, b):
@@ -71,3 +74,16 @@ def test_short_lines_meet_exactly(spark):
     rows = [(1, "Of.\n\n" + "b" * 19), (2, "Of.\nOn.\n \n" + "b" * 20), (3, " On.\t\nx\n" + "b" * 18), (4, "x\n" + "b" * 19 + "c")]
     got = {r.doc_id: r.dropped_lines for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [], 2: [0, 3], 3: [0], 4: [0, 1]}
+
+
+def test_repeated_rows_drop_a_line_once(spark):
+    line = "a line that is repeated"
+    rows = [(1, line)] + [(2, f"x\n{line}\n{line}")] * 3 + [(None, f"{line}\ny")] * 3
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 9, r.text, r.dropped_lines) for r in got) == [(1, line, [])] + [(2, "x", [1, 2])] * 3 + [(9, "y", [0])] * 3
+
+
+def test_long_lists_are_not_marked_for_broadcast(spark):
+    table = spark.range(2).select(F.sequence(F.lit(0), F.lit(2_000_000)).alias("drops"))
+    assert with_size(table, 80 + 5 * F.size("drops")) is table
+    assert with_size(table.limit(0), 80 + 5 * F.size("drops")) is not table

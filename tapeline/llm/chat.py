@@ -1,8 +1,8 @@
 """Tool calls of conversations: linked to their results, ordered, checked against schemas, written as canonical JSON.
 
 Built-in functions only. Calls and results meet in a hash join on (conversation, identifier). The order starts from
-the turn; only calls that refer to a later or equal place move behind what they refer to, in rounds that touch nothing
-else. A conversation is never gathered: each call is a line of its own with its sort key.
+the turn; conversations in which a call refers to a later or equal turn are placed by pointer doubling, which also finds
+the cycles. A conversation is never gathered: each call is a line of its own with its sort key.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from tapeline.llm.common import table_cut
 
-#: Rounds of reordering; calls still before what they refer to then are in a cycle, or behind one.
-ROUNDS = 30
 #: What a schema type is called among the types of JSON values.
 KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY"}
 
@@ -37,22 +35,50 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
     return F.when(shape.isNotNull(), F.array(shape)).otherwise(out)
 
 
-def ordered(calls: DataFrame, refers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(conv, id, place, ordered): turn, or one more than the largest place a call refers to, where that is larger."""
-    edges = refers.where("dep IS NOT NULL").distinct().join(calls.select("conv", F.col("id").alias("dep")), ["conv", "dep"], "left_semi")
-    edges = table_cut(edges)
-    places = calls.select("conv", "id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("place"))
-    for at in range(rounds + 1):
-        target = places.select("conv", F.col("id").alias("dep"), F.col("place").alias("behind"))
-        broken = edges.join(target, ["conv", "dep"]).join(places, ["conv", "id"]).where("behind >= place").groupBy("conv", "id").agg(F.max("behind").alias("behind"))
-        broken = table_cut(broken)
-        if at == rounds or broken.isEmpty():
+def followed(calls: DataFrame, most: int) -> DataFrame:
+    """(conv, id, dep, place, ok) of calls (conv, id, turn, dep), each of which follows one reference or none.
+
+    A place is the turn, or one more than the place of what is followed, where that is larger: the largest turn plus
+    distance on the way. The part of the way that is looked at doubles in each round. A way of ``most`` steps, the
+    number of calls of the largest conversation, is in a cycle or leads into one: then ``ok`` is false.
+    """
+    state, step = calls.select("conv", "id", "dep", F.col("turn").alias("place"), F.col("dep").alias("jump")), 1
+    while step <= most and not state.where("jump IS NOT NULL").isEmpty():
+        target = state.select("conv", F.col("id").alias("jump"), (F.col("place") + step).alias("there"), F.col("jump").alias("next"))
+        state = table_cut(state.join(target, ["conv", "jump"], "left").select("conv", "id", "dep", F.greatest("place", "there").alias("place"), F.col("next").alias("jump")))
+        step *= 2
+    return state.select("conv", "id", "dep", "place", F.col("jump").isNull().alias("ok"))
+
+
+def ordered(calls: DataFrame, refers: DataFrame) -> DataFrame:
+    """(conv, id, place, ordered): turn, or one more than the largest place a call refers to, where that is larger.
+
+    Calls in a cycle or behind one have their turn, and ``ordered`` is false. Each call follows one of its references;
+    as long as another one is not behind it, it follows that, which makes its place larger or finds it behind a cycle.
+    """
+    turns = calls.select("conv", "id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"))
+    edges = table_cut(refers.where("dep IS NOT NULL").distinct().join(turns.select("conv", F.col("id").alias("dep"), F.col("turn").alias("behind")), ["conv", "dep"]).join(turns, ["conv", "id"]))
+    hot = table_cut(edges.where("behind >= turn").select("conv").distinct())
+    if hot.isEmpty():
+        return turns.select("conv", "id", F.col("turn").alias("place"), F.lit(True).alias("ordered"))
+    edges = edges.join(hot, "conv", "left_semi").select("conv", "id", "dep", "behind")
+    most = turns.join(hot, "conv", "left_semi").groupBy("conv").count().agg(F.max("count")).first()[0]
+    chosen = edges.groupBy("conv", "id").agg(F.max(F.struct("behind", "dep")).alias("c")).select("conv", "id", F.col("c.dep").alias("dep"))
+    inside = table_cut(turns.join(hot, "conv", "left_semi"))
+    follows = table_cut(inside.join(chosen, ["conv", "id"], "left"))
+    while True:
+        places = followed(follows, most)
+        target = places.select("conv", F.col("id").alias("dep"), F.col("place").alias("behind"), F.col("ok").alias("clear"))
+        pairs = edges.select("conv", "id", "dep").join(target, ["conv", "dep"]).join(places.where("ok").select("conv", "id", "place"), ["conv", "id"])
+        broken = table_cut(pairs.where("NOT clear OR behind >= place").groupBy("conv", "id").agg(F.max(F.struct(~F.col("clear"), "behind", "dep")).alias("c")).select("conv", "id", F.col("c.dep").alias("other")))
+        if broken.isEmpty():
             break
-        places = table_cut(places.join(broken, ["conv", "id"], "left").select("conv", "id", F.coalesce(F.col("behind") + 1, F.col("place")).alias("place")))
-    return places.join(broken.select("conv", "id", F.lit(False).alias("ok")), ["conv", "id"], "left").select("conv", "id", "place", F.coalesce("ok", F.lit(True)).alias("ordered"))
+        follows = table_cut(follows.join(broken, ["conv", "id"], "left").select("conv", "id", "turn", F.coalesce("other", "dep").alias("dep")))
+    moved = places.select("conv", "id", F.when(F.col("ok"), F.col("place")).alias("moved"), "ok")
+    return turns.join(moved, ["conv", "id"], "left").select("conv", "id", F.coalesce("moved", "turn").alias("place"), F.coalesce("ok", F.lit(True)).alias("ordered"))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], rounds: int = ROUNDS) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], rounds: int | None = None) -> DataFrame:
     """One row per call: conv, id, place, turn, name, ordered, answered, problems, line.
 
     ``calls``: conv, turn, id, name, arguments (JSON text), refers (identifiers of other calls). ``results``: conv,
@@ -60,14 +86,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
     values); calls without conv or id stay each by itself, without a result. References to unknown calls are ignored.
     ``line`` is canonical JSON: sorted keys, no blanks, NULLs left out; arguments that are not JSON stay as text.
     Sorting by (conv, place, id) gives each call behind the calls it refers to, unless ``ordered`` is false: then it is
-    in a cycle or more than ``rounds`` moves deep. Empty tables give an empty one; other columns are ignored.
+    in a cycle or behind one, and its place is its turn. ``rounds`` has no effect: no depth is too large. Empty tables give an empty one; other columns are ignored.
     """
     told = calls.select("conv", "turn", "id", "name", "arguments", "refers")
     named = F.col("conv").isNotNull() & F.col("id").isNotNull()
     fields = ["turn", "name", "arguments", "refers"]
     first = table_cut(told.where(named).groupBy("conv", "id").agg(F.min(F.struct(*fields)).alias("c")).select("conv", "id", "c.*"))
     answers = results.where(named).groupBy("conv", "id").agg(F.min(F.struct("turn", "content")).alias("r")).select("conv", "id", F.col("r.content").alias("content"), F.lit(True).alias("answered"))
-    places = ordered(first, first.select("conv", "id", F.explode("refers").alias("dep")), rounds)
+    places = ordered(first, first.select("conv", "id", F.explode("refers").alias("dep")))
     joined = first.join(places, ["conv", "id"]).join(answers, ["conv", "id"], "left")
     alone = told.where(~named).select("*", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("place"), F.lit(True).alias("ordered"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("boolean").alias("answered"))
     every = joined.unionByName(alone).withColumn("value", F.try_parse_json("arguments")).withColumn("problems", problems(F.col("name"), F.col("value"), schemas))
@@ -82,7 +108,10 @@ SCHEMAS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "
 
 
 def conversation_calls(messages: DataFrame) -> DataFrame:
-    """A call per assistant turn, with arguments from its text; it refers to the call before it, every fifth to the next."""
+    """A call per assistant turn, with arguments from its text; it refers to the call before it, every fifth to the next.
+
+    The call after such a fifth one refers to the call before both, so that no references form a cycle.
+    """
     n = F.coalesce("turn", F.lit(0))
     name = F.get(F.array(*[F.lit(x) for x in ("search", "lookup", "score", "erase")]), (n % 4).cast("int"))
     search = F.to_json(F.struct(F.substring("text", 1, 60).alias("query"), F.length("text").alias("limit")))
@@ -90,7 +119,7 @@ def conversation_calls(messages: DataFrame) -> DataFrame:
     other = F.to_json(F.struct(F.length("text").cast("string").alias("value"), F.lit(1).alias("extra")))
     arguments = F.when(n % 4 == 0, search).when(n % 4 == 1, lookup).otherwise(other)
     ident = lambda k: F.concat_ws("-", F.lit("call"), k)
-    refers = F.when(n % 5 == 0, F.array(ident(n + 2))).otherwise(F.array(ident(n - 2)))
+    refers = F.when(n % 5 == 0, F.array(ident(n + 2))).when(n % 5 == 2, F.array(ident(n - 4))).otherwise(F.array(ident(n - 2)))
     return messages.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), "turn", ident(n).alias("id"), name.alias("name"), arguments.alias("arguments"), refers.alias("refers"))
 
 

@@ -31,3 +31,24 @@ def test_long_chains_need_no_rounds(spark):
     calls = spark.createDataFrame([(1, i, f"k{i}", "score", '{"value": 1}', [f"k{i - 1}"], "") for i in range(n)], CALLS)
     got = chat.link_calls(calls, spark.createDataFrame([], RESULTS), chat.SCHEMAS).collect()
     assert all(r.ordered and r.place == r.turn for r in got) and len(got) == n
+
+
+def test_forward_chains_of_any_depth(spark):
+    n = 100
+    rows = [(1, i, f"k{i}", "score", None, [f"k{i + 1}"], "") for i in range(n)]
+    # Two references each, a cycle of three, one behind it, and one that refers to itself.
+    rows += [(2, i, f"k{i}", "score", None, [f"k{i + 1}", f"k{(i * 7 + 3) % n}" if (i * 7 + 3) % n > i else "gone"], "") for i in range(n)]
+    rows += [(3, t, i, "score", None, r, "") for t, i, r in ((1, "a", ["b"]), (2, "b", ["c"]), (3, "c", ["a", "f"]), (4, "d", ["f", "b"]), (5, "e", ["e"]), (6, "f", []), (7, "g", ["f"]))]
+    got = {(r.conv, r.id): r for r in chat.link_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), chat.SCHEMAS).collect()}
+    for conv in (1, 2):
+        assert [got[conv, f"k{i}"].place for i in range(n)] == [2 * n - 2 - i for i in range(n)]
+        assert all(got[conv, f"k{i}"].ordered for i in range(n))
+    assert {i: got[3, i].ordered for i in "abcdefg"} == {**dict.fromkeys("abcde", False), "f": True, "g": True}
+    assert all(got[3, i].place == got[3, i].turn for i in "abcdefg")
+
+
+def test_query_has_forward_links_without_cycles(spark):
+    rows = [(1, t, "assistant", "x" * 30) for t in range(1, 40, 2)] + [(2, t, "assistant", "y") for t in range(0, 40, 2)]
+    calls = chat.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.link_calls(calls, spark.createDataFrame([], RESULTS), chat.SCHEMAS).collect()
+    assert all(r.ordered for r in got) and sum(r.place > r.turn for r in got) >= 6

@@ -108,15 +108,15 @@ SCHEMAS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "
 
 
 def conversation_calls(messages: DataFrame) -> DataFrame:
-    """A call per assistant turn, with arguments from its text; it refers to the call before it, every fifth to the next.
+    """A call per assistant turn, with its whole text among the arguments; it refers to the call before it, every fifth to the next.
 
     The call after such a fifth one refers to the call before both, so that no references form a cycle.
     """
     n = F.coalesce("turn", F.lit(0))
     name = F.get(F.array(*[F.lit(x) for x in ("search", "lookup", "score", "erase")]), (n % 4).cast("int"))
-    search = F.to_json(F.struct(F.substring("text", 1, 60).alias("query"), F.length("text").alias("limit")))
-    lookup = F.to_json(F.struct((F.length("text") % 2 == 0).alias("deep"), F.when(F.length("text") % 3 > 0, F.md5("text")).alias("key")))
-    other = F.to_json(F.struct(F.length("text").cast("string").alias("value"), F.lit(1).alias("extra")))
+    search = F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit")))
+    lookup = F.to_json(F.struct((F.length("text") % 2 == 0).alias("deep"), F.when(F.length("text") % 3 > 0, F.col("text")).alias("key"), F.when(F.length("text") % 3 == 0, F.col("text")).alias("keys")))
+    other = F.to_json(F.struct(F.length("text").cast("string").alias("value"), F.col("text").alias("extra")))
     arguments = F.when(n % 4 == 0, search).when(n % 4 == 1, lookup).otherwise(other)
     ident = lambda k: F.concat_ws("-", F.lit("call"), k)
     refers = F.when(n % 5 == 0, F.array(ident(n + 2))).when(n % 5 == 2, F.array(ident(n - 4))).otherwise(F.array(ident(n - 2)))

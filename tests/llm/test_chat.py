@@ -52,3 +52,12 @@ def test_query_has_forward_links_without_cycles(spark):
     calls = chat.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = chat.link_calls(calls, spark.createDataFrame([], RESULTS), chat.SCHEMAS).collect()
     assert all(r.ordered for r in got) and sum(r.place > r.turn for r in got) >= 6
+
+
+def test_query_calls_hold_whole_texts(spark):
+    rows = [(k, t, "assistant", text) for k, text in enumerate(['é "q" \\ \n\t\x01 {}' + "z" * m for m in (0, 1, 2, 300_000)]) for t in range(8)]
+    calls = chat.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.link_calls(calls, spark.createDataFrame([], RESULTS), chat.SCHEMAS).collect()
+    want = {(k, f"call-{t}"): text for k, t, _, text in rows}
+    assert len(got) == 32 and all(want[r.conv, r.id] in json.loads(r.line)["arguments"].values() for r in got)
+    assert {p for r in got for p in r.problems} == {"missing key", "unknown field keys", "value is not number", "unknown field extra", "unknown tool erase"}

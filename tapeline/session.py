@@ -61,3 +61,10 @@ def scratch(spark: SparkSession) -> str:
     files.mkdirs(target)
     files.deleteOnExit(target)
     return f"{path}/data"
+
+
+def table_cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it from there: what was dealt or sampled is then fixed."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

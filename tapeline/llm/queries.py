@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontam, lines, lm, ngram_join, packing, pii, topk, toxicity, warc
+from tapeline.llm import chat, decontam, lines, lm, merkle, ngram_join, packing, pii, topk, toxicity, warc
 from tapeline.llm.common import fold, read
 
 
@@ -72,6 +72,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_topk": (op2_topk, OP2_SQL),
@@ -83,4 +87,5 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op8_lm_scoring": (op8_lm_scoring, None),
     "op9_chat_formatting": (op9_chat_formatting, None),
     "op10_pii": (op10_pii, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, merkle.SQL),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontam, lines, lm, merkle, ngram_join, packing, pii, topk, toxicity, warc
+from tapeline.llm import chat, decontam, lines, lm, merkle, ngram_join, packing, pii, quality_rules, topk, toxicity, warc
 from tapeline.llm.common import fold, read
 
 
@@ -76,6 +76,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(read(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_topk": (op2_topk, OP2_SQL),
@@ -88,4 +93,5 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op9_chat_formatting": (op9_chat_formatting, None),
     "op10_pii": (op10_pii, None),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle.SQL),
+    "op12_quality_rules": (op12_quality_rules, None),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import chat, decontam, lines, lm, merkle, ngram_join, packing, pii, quality_rules, topk, toxicity, warc
+from tapeline.llm import chat, decontam, lexical, lines, lm, merkle, ngram_join, packing, pii, quality_rules, topk, toxicity, warc
 from tapeline.llm.common import fold, read
 
 
@@ -81,6 +81,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_topk": (op2_topk, OP2_SQL),
@@ -94,4 +98,5 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "op10_pii": (op10_pii, None),
     "op11_merkle_manifest": (op11_merkle_manifest, merkle.SQL),
     "op12_quality_rules": (op12_quality_rules, None),
+    "op13_lexical_search": (op13_lexical_search, lexical.SQL),
 }

@@ -48,9 +48,22 @@ def question_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
-def grams(ids: np.ndarray) -> set[tuple[int, ...]]:
-    n = min(GRAM, len(ids))
-    return set(zip(*(ids[i : len(ids) - n + 1 + i].tolist() for i in range(n)), strict=True)) if n else set()
+def grams(ids: np.ndarray, n: int = GRAM) -> set[tuple[int, ...]]:
+    return set(zip(*(ids[i : len(ids) - n + 1 + i].tolist() for i in range(n)), strict=True)) if 0 < n <= len(ids) else set()
+
+
+def parts_of(question: list[int], answer: list[int]) -> tuple[tuple[int, set], tuple[int, set]]:
+    """What is looked for of question and answer: run length and runs.
+
+    Runs of GRAM words; a part with fewer words is looked for as one run together with the words next to it (up to
+    GRAM of the other part), since a word or two alone say little. An item of one short sentence is that run.
+    """
+    def sought(own: list[int], run: list[int]) -> tuple[int, set]:
+        return (GRAM, grams(np.array(own))) if len(own) >= GRAM else (len(run), {tuple(run)} if run else set())
+
+    if question == answer:
+        return sought(question, question), sought(question, question)
+    return sought(question, question + answer[:GRAM]), sought(answer, question[-GRAM:] + answer)
 
 
 @dataclass
@@ -68,8 +81,8 @@ class Index:
     entry_item: np.ndarray
     entry_impact: np.ndarray
     blocks: int
-    questions: list[set]
-    answers: list[set]
+    questions: list[tuple[int, set]]
+    answers: list[tuple[int, set]]
 
     def __post_init__(self) -> None:
         self.starts = np.searchsorted(self.entry_key, np.arange(len(self.words) * self.blocks + 1)) if len(self.words) * self.blocks < DENSE else None
@@ -97,8 +110,9 @@ def build(items: list[tuple[object, str, str]], frequency: dict[bytes, int], num
         w_ids.append(ids)
         i_ids.append(np.full(len(ids), i))
         impacts.append(weight / weight.sum())
-        questions.append(grams(np.array([words[w] for w in q])))
-        answers.append(grams(np.array([words[w] for w in a])))
+        asked, told = parts_of([words[w] for w in q], [words[w] for w in a])
+        questions.append(asked)
+        answers.append(told)
     w, i, x = np.concatenate(w_ids), np.concatenate(i_ids), np.concatenate(impacts)
     blocks = -(-len(listed) // BLOCK_ITEMS)
     key = w * blocks + i // BLOCK_ITEMS
@@ -188,8 +202,10 @@ def hits_of(texts: list[str | None], index: Index, threshold: float, overlap: fl
     for p, i, score in zip(*search(passage, word, index, threshold), strict=True):
         d = int(np.searchsorted(base, p, side="right")) - 1
         k = int(p - base[d])
-        seen = grams(ids[first[d] + k * index.step : first[d] + min(length[d], (k + 2) * index.step)])
-        q, a = (len(part & seen) / max(1, len(part)) for part in (index.questions[i], index.answers[i]))
+        own = ids[first[d] + k * index.step : first[d] + min(length[d], (k + 2) * index.step)]
+        wanted = (index.questions[i], index.answers[i])
+        seen = {n: grams(own, n) for n in {n for n, _ in wanted}}
+        q, a = (len(runs & seen[n]) / max(1, len(runs)) for n, runs in wanted)
         if q >= overlap and a >= overlap:
             best[(d, int(i))] = max(best.get((d, int(i)), (0.0, 0.0, 0.0)), (float(score), q, a))
     for (d, i), (score, q, a) in sorted(best.items()):
@@ -218,12 +234,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", text: st
     """``docs`` with ``into``: array of (item, score, question, answer) of the test items that a passage holds.
 
     ``score`` is the best BM25 share over the passages, ``question`` and ``answer`` the shares of their three-word
-    runs in that passage, both ``overlap`` or more. Whole texts are read. Items without words take no part; repeated
+    runs in that passage, both ``overlap`` or more; a part of one or two words counts with its neighbours, as
+    :func:`parts_of` says. Whole texts are read. Items without words take no part; repeated
     items are listed each; NULL and empty texts, an empty benchmark or an empty table give empty arrays or rows.
     Other columns pass through, except that a column named ``into`` is replaced.
     """
     spark = docs.sparkSession
-    item = items.select(F.col(f"`{key}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
+    item = items.select(F.col(f"`{key}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
     kind = item.schema["item"].dataType.simpleString()
     out = docs.withColumn(into, F.array().cast(f"array<struct<item:{kind},score:double,question:double,answer:double>>"))
     total = item.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -235,7 +252,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", text: st
     frequencies = counted.where("word IS NOT NULL").groupBy("word").agg(F.sum("items").alias("items"))
     slices = -(-total // slice_bytes)
     for s in range(slices):
-        own = item.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == s)
+        own = item.where(F.pmod(F.xxhash64("item", "text", "row"), F.lit(slices)) == s)
         listed = [(r.item, *question_answer(r.text)) for r in own.collect() if tokens(r.text)]
         if not listed:
             continue

@@ -11,7 +11,13 @@ def slow(texts, items, threshold, overlap):
     mean = sum(len(decontam.tokens(t)) for _, t in items if t) / len(split)
     df = {w: sum(w in set(x) for x in whole) for x in whole for w in x}
     step = max(decontam.STEP, max(map(len, whole)))
-    grams = lambda x: {tuple(x[i:i + min(3, len(x))]) for i in range(len(x) - min(3, len(x)) + 1)}
+    grams = lambda x, n=3: {tuple(x[i:i + n]) for i in range(len(x) - n + 1)}
+
+    def share(part, run, passage):
+        if len(part) >= 3:
+            return len(grams(part) & grams(passage)) / len(grams(part))
+        return float(tuple(run) in grams(passage, len(run)))
+
     out = []
     for t in texts:
         w, best = decontam.tokens(t), {}
@@ -20,8 +26,8 @@ def slow(texts, items, threshold, overlap):
             for (item, q, a), x in zip(split, whole):
                 weight = {v: math.log(1 + (len(split) - df[v] + .5) / (df[v] + .5)) * x.count(v) * 2.2 / (x.count(v) + 1.2 * (.25 + .75 * len(x) / mean)) for v in set(x)}
                 score = sum(weight[v] for v in set(passage) & set(x)) / sum(weight.values())
-                share = [len(grams(part) & grams(passage)) / len(grams(part)) for part in (q, a)]
-                if score >= threshold and min(share) >= overlap:
+                shares = [share(q, q, passage)] if q == a else [share(q, q + a[:3], passage), share(a, q[-3:] + a, passage)]
+                if score >= threshold and min(shares) >= overlap:
                     best[item] = max(best.get(item, 0), score)
         out.append({k: round(v, 6) for k, v in best.items()})
     return out
@@ -30,7 +36,7 @@ def slow(texts, items, threshold, overlap):
 def test_equals_every_passage_and_item(spark):
     r = random.Random(4)
     word = lambda: r.choice("abcdefgh") + r.choice("ijkl")
-    sentence = lambda: " ".join(word() for _ in range(r.randrange(3, 30))).capitalize() + r.choice(".?!")
+    sentence = lambda: " ".join(word() for _ in range(r.choice([1, 2, 3, 4, 8, 20, 29]))).capitalize() + r.choice(".?!")
     items = [(i, " ".join(sentence() for _ in range(r.choice([1, 2, 3])))) for i in range(40)] + [(90, None), (91, ""), (92, "..."), (3, "One repeated id here.")]
     texts = [None, "", "?!", "x" * 50000]
     for _ in range(60):
@@ -57,3 +63,20 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "some text")], "item_id long, text string")
     assert decontam.find_leaks(docs.limit(0), items).collect() == []
     assert [r.leaks[0].score for r in decontam.find_leaks(docs, items).collect()] == [1.0]
+
+
+def test_every_item_pasted_whole_is_found(spark, sf):
+    table = spark.read.parquet(f"{sf}/benchmark.parquet".replace("sf0.001", "sf0.1"))
+    items = {r.item_id: r.text for r in table.collect()}
+    filler = " ".join(f"filler{i}" for i in range(150))
+    docs = spark.createDataFrame([(i, f"{filler}\n{t}\n{filler}") for i, t in items.items()] + [(-1, filler)], "doc_id long, text string")
+    got = {r.doc_id: {h.item for h in r.leaks} for r in decontam.find_leaks(docs, table).collect()}
+    assert all(i in got[i] for i in items) and not got[-1]
+
+
+def test_short_parts_need_their_neighbours(spark):
+    items = [(1, "What is the tallest tree of all here? Oak."), (2, "Go. The answer is long and holds many words indeed."), (3, "Yes no.")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["see: what is the tallest tree of all here? OAK!", "what is the tallest tree of all here? A pine, or perhaps an oak", "go the answer is long and holds many words indeed", "the answer is long and holds many words indeed, so go", "they say yes no more", "no and yes"]
+    got = decontam.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()
+    assert [[h.item for h in r.leaks] for r in sorted(got, key=lambda r: r.doc_id)] == [[1], [], [2], [], [3], []]

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from tapeline.llm import packing
@@ -40,7 +42,7 @@ def test_pack_keeps_every_token_once(spark):
     pieces = sorted((d if d is not None else -1, s, n) for b in bins for d, s, n in zip(b.doc_ids, b.starts, b.lengths, strict=True))
     want = []
     for d, t in rows:
-        n = len((t or "").split()) + 1
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1
         want += [(d if d is not None else -1, s, min(64, n - s)) for s in range(0, n, 64)]
     assert pieces == sorted(want)
     for b in bins:

@@ -124,9 +124,21 @@ def spans(kind: str, content: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
-    """``text`` with each span of ``into`` (see :func:`find_pii`) replaced by its kind in brackets."""
-    value = F.aggregate(F.col(into), F.col(f"`{text}`"), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("["), s["kind"], F.lit("]"))))
-    return docs.withColumn(text, value)
+    """``text`` with each span of ``into`` (see :func:`find_pii`) replaced by its kind in brackets.
+
+    Cut by position; of spans that overlap the earliest (the longest of those) names the place, and all of them go.
+    """
+    content = F.col(f"`{text}`")
+    order = F.array_sort(F.transform(into, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("upto"), s["kind"].alias("kind"))))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("made"))
+
+    def taken(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        piece = F.concat(F.substr(content, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], -s["upto"]).alias("at"), F.when(fresh, F.concat(acc["made"], piece)).otherwise(acc["made"]).alias("made"))
+
+    done = F.aggregate(order, begin, taken, lambda acc: F.concat(acc["made"], F.substr(content, (acc["at"] + 1).cast("int"))))
+    return docs.withColumn(text, F.when(F.size(into) > 0, done).otherwise(content))
 
 
 def digest(found: DataFrame, into: str = "pii") -> DataFrame:

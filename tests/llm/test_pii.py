@@ -51,6 +51,8 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert kinds[10] == ["123-45-6789"] and kinds[11] == ["(213) 555-2625"] and kinds[7] == []
     red = {r.doc_id: r.text for r in pii.redact(pii.find_pii(docs)).collect()}
     assert red[4] == "é😀 mail: [email], x" and red[0] is None
+    twice = spark.createDataFrame([(1, "1.1.1.1 21.1.1.1 end 1.1.1.1"), (2, "none")], "doc_id long, text string")
+    assert sorted(r.text for r in pii.redact(pii.find_pii(twice)).collect()) == ["[ip] [ip] end [ip]", "none"]
 
 
 def test_empty_table(spark):

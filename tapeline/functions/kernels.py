@@ -173,3 +173,21 @@ def fire_triggers(key, frames, state):
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def common_length(x: str, y: str, masks: dict[str, int]) -> int:
+    """Length of the longest common subsequence; ``masks`` holds the places of x's characters as bits."""
+    full = (1 << len(x)) - 1
+    rest = full
+    for ch in y:
+        hit = rest & masks.get(ch, 0)
+        if hit:
+            rest = ((rest + hit) | (rest - hit)) & full
+    return len(x) - rest.bit_count()
+
+
+def places(x: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, ch in enumerate(x):
+        out[ch] = out.get(ch, 0) | (1 << i)
+    return out

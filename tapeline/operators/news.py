@@ -9,9 +9,9 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeline.functions import lexicon as lx
+from tapeline.functions import kernels, lexicon as lx
 from tapeline.functions.series import KEYS, as_of, clip, numbered, ratio
-from tapeline.session import cut
+from tapeline.session import table_cut as cut
 
 # --- text ---------------------------------------------------------------------
 
@@ -295,29 +295,30 @@ def _rare_first(items: DataFrame, tokens: str) -> DataFrame:
     return items.join(ranked, "key")
 
 
-def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame]], alike: Callable[[DataFrame], DataFrame], batch: int = 128) -> DataFrame:
+def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame, str]], alike: Callable[[DataFrame], DataFrame], batch: int = 1024) -> DataFrame:
     """Greedy groups in key order: a key leads unless an earlier leader is alike; else it joins the earliest such leader.
 
-    ``relations`` are pairs of (key, token) tables: a possible leader from the first meets a later key
-    from the second on a shared token.  ``alike`` keeps the candidate pairs (a, b) that are alike.
+    ``relations`` are pairs of (_t, key, ..) tables and what has to hold of a pair ``l``, ``r`` of their rows: a possible
+    leader from the first meets a later key from the second on a shared token.  ``alike`` keeps the candidate pairs
+    (a, b) that are alike.
 
-    Only possible leaders are ever compared, the first ``batch`` of a token at a time (four times as
-    many each round), and no pair is verified twice.  A family of copies therefore costs its size times a constant: once its first member
+    Only possible leaders are ever compared, a batch of a token's keys at a time (eight times as many each round), and
+    no pair is verified twice.  A family of copies therefore costs its size times a constant: once its first member
     leads, the others stop being compared with each other.  No pair is capped away: the loop ends
     with a round that covered every possible leader of every token and settled every key.
     """
     c = F.col
-    relations = [(cut(left), cut(right)) for left, right in relations]
+    place = F.row_number().over(Window.partitionBy("_t").orderBy("key"))
+    relations = [(cut(left.withColumn("_p", place)), cut(right), fits) for left, right, fits in relations]
     state = cut(items.select("key", F.lit(None).cast("boolean").alias("leads")))
-    tried, edges = None, None
+    tried, edges, before = None, None, 0
     while True:
         able = state.filter(c("leads").isNull() | c("leads")).select("key")
         pairs, overflow = None, None
-        for left, right in relations:
-            place = F.row_number().over(Window.partitionBy("_t").orderBy("key"))
-            ranked = left.join(able, "key", "left_semi").withColumn("_p", place).filter(c("_p") <= batch + 1)
-            late = ranked.filter(c("_p") > batch).select("_t", c("key").alias("_from"))
-            near = ranked.filter(c("_p") <= batch).select("_t", c("key").alias("a")).join(right.select("_t", c("key").alias("b")), "_t").filter("a < b").select("a", "b")
+        for left, right, fits in relations:
+            ranked = left.filter(c("_p") > before).join(able, "key", "left_semi")
+            late = ranked.filter(c("_p") > batch).groupBy("_t").agg(F.min("key").alias("_from"))
+            near = ranked.filter(c("_p") <= batch).alias("l").join(right.alias("r"), F.expr(f"l._t = r._t AND l.key < r.key AND ({fits})")).select(c("l.key").alias("a"), c("r.key").alias("b"))
             # Later keys of a token with more possible leaders than the batch are not fully compared yet.
             rest = right.join(late, "_t").filter(c("key") > c("_from")).select("key")
             pairs = near if pairs is None else pairs.unionByName(near)
@@ -340,82 +341,102 @@ def lead_groups(items: DataFrame, relations: list[tuple[DataFrame, DataFrame]],
                 break
         if partial.limit(1).count() == 0 and state.filter("leads is null").limit(1).count() == 0:
             break
-        batch *= 4
+        before, batch = batch, batch * 8
     leaders = state.filter("leads").select(c("key").alias("a"))
     joined = edges.join(leaders, "a").groupBy(c("b").alias("key")).agg(F.min("a").alias("_lead"))
     return state.join(joined, "key", "left").select("key", F.when(c("leads"), c("key")).otherwise(c("_lead")).alias("leader"))
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    c = F.col
-    return pairs.join(texts.select(c("key").alias("a"), c("norm").alias("_na")), "a").join(texts.select(c("key").alias("b"), c("norm").alias("_nb")), "b")
-
-
 def jaccard_groups(items: DataFrame, threshold: float, n: int = 3) -> DataFrame:
     """Greedy groups of texts (key, norm; distinct) by n-gram Jaccard similarity.
 
     Exact prefix filter: with grams ordered rare to common, two sets this alike must share a gram
-    within their first ``size - ceil(threshold*size) + 1``.  Only those rare grams are joined, and
-    every candidate is verified.
+    within their first ``size - ceil(threshold*size) + 1``.  Only those rare grams are joined, sizes and the
+    places of the shared gram must leave room for the overlap, and every candidate is verified.
     """
     c = F.col
     sets = items.filter("norm <> ''").select("key", grams(F.col("norm"), n).alias("grams"))
     sets = cut(_rare_first(sets, "grams").withColumn("_m", F.size("grams")))
     prefix = (c("_m") - F.ceil(c("_m") * threshold - 1e-9) + 1).cast("int")
-    heads = sets.select("key", F.explode(F.slice("_ranked", 1, prefix)).alias("_t"))
+    heads = sets.select("key", "_m", F.posexplode(F.slice("_ranked", 1, prefix)).alias("_at", "_t"))
+    share = threshold / (1 + threshold)
+    fits = f"least(l._m, r._m) >= greatest(l._m, r._m) * {threshold!r} - 1e-9 AND least(l._m - l._at, r._m - r._at) >= (l._m + r._m) * {share!r} - 1e-6"
 
     def alike(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(c("key").alias("a"), c("grams").alias("_ga"), c("_m").alias("_ma")), "a").join(sets.select(c("key").alias("b"), c("grams").alias("_gb"), c("_m").alias("_mb")), "b")
-        both = both.filter(F.least("_ma", "_mb") >= F.greatest("_ma", "_mb") * threshold - 1e-9)
         shared = F.size(F.array_intersect("_ga", "_gb"))
         return both.filter(shared / (c("_ma") + c("_mb") - shared) >= threshold).select("a", "b")
 
-    return lead_groups(items, [(heads, heads)], alike)
+    return lead_groups(items, [(heads, heads, fits)], alike)
+
+
+#: Characters whose counts sift pairs (the others are not counted, which only lets more through), and the length of
+#: the grams that lead to containers.
+SIEVE, INSIDE = "etaoinsrhdlucmfpgwyb", 6
 
 
 def ratio_groups(items: DataFrame, threshold: float = 0.86) -> DataFrame:
     """Greedy groups of texts whose matching-block ratio reaches ``threshold`` or of which one contains the other.
 
-    Candidates are exact supersets.  A ratio of r leaves at most (1-r)*(len a + len b) inserted or
-    deleted characters, each of which destroys at most two 2-grams, so both texts share one of
-    their rarest ``2*edits + 1`` 2-grams.  A contained text brings its rarest gram along.
+    Candidates are exact supersets.  A ratio of r over s characters of both texts needs L = ceil(r s / 2) common
+    ones in order, so D = s - 2 L at most are left out, the common ones form D + 1 runs at most, and the texts share
+    T = L - D - 1 of their 2-grams (repeats counted).  So the shorter text's first ``n - T + 1`` rarest grams, at
+    a partner of its own length, meet the longer one's at the shortest partner it can have; lengths and the places of
+    the shared gram must leave room for T, and character counts may differ by D in all.  The longest common
+    subsequence must then reach L, and only what is left is matched block by block.  A contained text is found by its
+    rarest gram of INSIDE characters, a shorter one by itself.
     """
     c = F.col
     from difflib import SequenceMatcher
 
-    texts = cut(items.filter("norm <> ''").select("key", "norm"))
+    texts = cut(items.filter("norm <> ''").select("key", "norm", F.length("norm").alias("_len")))
+    sieve = [f"_h{i}" for i in range(len(SIEVE))]
+    texts = cut(texts.withColumns({h: F.length("norm") - F.length(F.translate("norm", x, "")) for h, x in zip(sieve, SIEVE)}))
     # Repeated grams are told apart by their count, so the set keeps multiplicity.
     flat = texts.select("key", F.posexplode(_runs(c("norm"), 2)).alias("_i", "_g"))
     flat = flat.select("key", F.concat_ws("#", "_g", F.row_number().over(Window.partitionBy("key", "_g").orderBy("_i")).cast("string")).alias("_t"))
     freq = flat.groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
     ranked = flat.join(freq, "_t").groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias("_ranked"))
-    sets = cut(texts.join(ranked, "key").select("key", "_ranked", F.length("norm").alias("_len")))
-    # The partner is at most (2-r)/r times as long; edits are bounded by the longest partner.
-    widest = (2 - threshold) / threshold
-    edits = F.floor((1 - threshold) * (1 + widest) * c("_len") + 1e-9)
-    heads = sets.select("key", F.explode(F.slice("_ranked", 1, (2 * edits + 1).cast("int"))).alias("_t"))
-    index = texts.select("key", F.explode(F.array_distinct(F.concat(grams(c("norm"), 1), grams(c("norm"), 2)))).alias("_t"))
-    rarest = sets.select("key", F.split(F.element_at("_ranked", 1), "#")[0].alias("_t"))
-
-    @F.pandas_udf("double")
-    def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            m = SequenceMatcher(None, x, y)
-            # Both quick ratios are upper bounds, so the costly one runs on near pairs only.
-            out.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
-        return pd.Series(out, dtype=float)
+    sets = cut(texts.join(ranked, "key").select("key", "_ranked", "_len", F.size("_ranked").alias("_m"), *sieve))
+    need = lambda s: F.ceil(s * (threshold / 2) - 1e-9)
+    grams_of = lambda s: 3 * need(s) - s - 1  # T by the sum of the lengths
+    least = F.ceil(c("_len") * (threshold / (2 - threshold)) - 1e-9)
+    heads = lambda s: sets.select("key", "_len", "_m", *sieve, F.posexplode(F.slice("_ranked", 1, F.greatest(F.lit(1), c("_m") - grams_of(s) + 1).cast("int"))).alias("_at", "_t"))
+    short, long = heads(2 * c("_len")), heads(c("_len") + least)
+    s = "(l._len + r._len)"
+    common = f"ceil({s} * {threshold / 2!r} - 1e-9)"
+    room = f"{common} <= least(l._len, r._len) AND least(l._m - l._at, r._m - r._at) >= 3 * {common} - {s} - 1"
+    room += " AND " + " + ".join(f"abs(l.{h} - r.{h})" for h in sieve) + f" <= {s} - 2 * {common}"
+    inner = texts.filter(c("_len") >= INSIDE).select("key", F.explode(grams(c("norm"), INSIDE)).alias("_t"))
+    rare = inner.join(inner.groupBy("_t").agg(F.count(F.lit(1)).alias("_f")), "_t").groupBy("key").agg(F.min(F.struct("_f", "_t"))["_t"].alias("_t"))
+    small = texts.filter(c("_len") < INSIDE).select("key", c("norm").alias("_t"))
+    pieces = texts.select("key", F.explode(F.array_distinct(F.flatten(F.array(*[grams(c("norm"), n) for n in range(1, INSIDE)])))).alias("_t")).join(small.select("_t"), "_t", "left_semi")
+    inside = rare.select("key", "_t").unionByName(small)
+    index = inner.unionByName(pieces.select("key", "_t"))
+
+    @F.pandas_udf("boolean")
+    def close_enough(later: pd.Series, earlier: pd.Series) -> pd.Series:
+        out, last, masks = [], None, {}
+        for x, y in zip(later, earlier):
+            if 2 * min(len(x), len(y)) < threshold * (len(x) + len(y)):
+                out.append(False)
+                continue
+            if y != last:
+                last, masks = y, kernels.places(y)
+            enough = kernels.common_length(y, x, masks) >= threshold * (len(x) + len(y)) / 2 - 1e-9
+            out.append(enough and SequenceMatcher(None, x, y).ratio() >= threshold)
+        return pd.Series(out, dtype=bool)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        both = _with_texts(pairs, texts)
-        inside = F.contains("_na", c("_nb")) | F.contains("_nb", c("_na"))
-        long = F.greatest(F.length("_na"), F.length("_nb")) <= F.least(F.length("_na"), F.length("_nb")) * widest + 1e-9
-        contained = both.filter(inside).select("a", "b")
+        named = lambda k: texts.select(c("key").alias(k), c("norm").alias(f"_n{k}"))
+        both = pairs.join(named("a"), "a").join(named("b"), "b")
+        held = F.when(F.length("_na") < F.length("_nb"), F.contains("_nb", c("_na"))).otherwise(F.contains("_na", c("_nb")))
+        both = both.select("a", "b", "_na", "_nb", held.alias("_held"))
+        sure = both.filter("_held").select("a", "b")
         # The later key is compared against the earlier one.
-        close = both.filter(~inside & long).filter(block_ratio(c("_nb"), c("_na")) >= threshold).select("a", "b")
-        return contained.unionByName(close)
+        return sure.unionByName(both.filter("NOT _held").filter(close_enough(c("_nb"), c("_na"))).select("a", "b"))
 
-    return lead_groups(items, [(heads, heads), (rarest, index), (index, rarest)], alike)
+    return lead_groups(items, [(short, long, f"l._len <= r._len AND {room}"), (long, short, f"l._len > r._len AND {room}"), (inside, index, "true"), (index, inside, "true")], alike)
 
 
 def dedupe(news: DataFrame, threshold: float = 0.86) -> DataFrame:

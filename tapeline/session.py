@@ -24,6 +24,7 @@ def local_session(name: str = "tapeline", cores: str = "8", **conf: str) -> Spar
         **DEFAULTS,
         "spark.sql.shuffle.partitions": cores,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tapeline.functions import ranks
 from tapeline.functions.kernels import spaced
 from tapeline.functions.series import KEYS, ahead, back, by_time, clip, numbered, ratio, whole
 from tapeline.operators import signals as sg
@@ -269,8 +270,8 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     """Newest run per series and strategy, best expectancy first."""
     newest = F.row_number().over(Window.partitionBy(*RUN_KEYS).orderBy(F.desc("created_at"), F.desc("run_id")))
     top = runs.withColumn("_r", newest).filter("_r = 1").drop("_r")
-    order = Window.orderBy(F.desc_nulls_last("expectancy"), F.desc_nulls_last("sharpe"), *RUN_KEYS)
-    return top.withColumn("rank", F.row_number().over(order))
+    order = [F.desc_nulls_last("expectancy"), F.desc_nulls_last("sharpe"), *[F.asc(x) for x in RUN_KEYS]]
+    return ranks.numbered(top, [], order, "_place", "_all").withColumn("rank", (F.col("_place") + 1).cast("int")).drop("_place", "_all")
 
 
 # --- paths, stops and portfolios ----------------------------------------------------

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeline.functions import ranks
 from tapeline.functions.series import (KEYS, ahead, avg_n, back, change, clip, corr, ewm, finite, full, max_n, min_n, numbered,
                                        quantile_n, ratio, span_alpha, std_n, sum_n, trail, upto_now, whole, by_time)
 from tapeline.operators import indicators as ind
@@ -213,7 +214,8 @@ def regime_labels(frame: DataFrame, reference: DataFrame) -> DataFrame:
 
 def research_regime(frame: DataFrame, reference: DataFrame) -> DataFrame:
     """Five-way regime of research reports; LOW_VOL against the reference rows' lower quartile."""
-    cut = reference.agg(F.percentile("volatility", F.lit(0.25)).alias("vol_low"))
+    # One row even where no reference row has a volatility.
+    cut = ranks.quantiles(reference, [], "volatility", {"vol_low": 0.25})
     trend = F.col("regime_trend")
     return frame.crossJoin(F.broadcast(cut)).withColumn(
         "research_regime", F.when(F.col("regime_high_vol") > 0.5, "HIGH_VOL").when(trend > 0.15, "BULL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeline.functions import ranks
 from tapeline.functions.series import KEYS, back, by_time, change, clip, corr, latest, max_n, numbered, ratio, std_n, trail, whole
 from tapeline.operators import candles
 from tapeline.session import cut
@@ -198,7 +199,8 @@ def rotation(bars: DataFrame, window: int = 40) -> DataFrame:
         F.sum(F.when(c("_p").isNotNull(), c("_t") * F.signum(c("close") - c("_p")))).alias("_s"), F.sum(F.when(c("_p").isNotNull(), F.abs("_t"))).alias("_g"))
     flow = c("_s") / F.greatest(c("_g"), F.lit(1e-12))
     out = out.filter("bars >= 8").select(*KEYS, "ret", flow.alias("flow_ratio"), (c("ret") * 4 + flow).alias("rotation_score"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rotation_score"), "symbol")))
+    placed = ranks.numbered(out, [], [F.desc("rotation_score"), F.asc("symbol")], "_place", "_all")
+    return placed.withColumn("rank", (F.col("_place") + 1).cast("int")).drop("_place", "_all")
 
 
 def returns_of(bars: DataFrame) -> DataFrame:

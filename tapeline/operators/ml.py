@@ -9,8 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeline.functions import ranks
 from tapeline.functions.series import corr, ratio
-from tapeline.session import cut
+from tapeline.session import cut, table_cut
 
 CLASSES = (-1, 0, 1)
 
@@ -84,9 +85,9 @@ def purged_slices(rows: DataFrame, fractions: tuple = (0.56, 0.70, 0.84), embarg
 def fold_labels(marked: DataFrame) -> DataFrame:
     """Direction and risk labels with thresholds from the train part alone."""
     c = F.col
-    train = F.when(c("part") == "train", c("atr_normalized"))
-    cuts = marked.groupBy("fold").agg(F.percentile(train, F.lit(0.5)).alias("_m"), F.percentile(F.when(c("part") == "train", c("future_max_drawdown")), F.lit(0.2)).alias("_q"))
-    cuts = cuts.select("fold", F.least(F.lit(0.025), F.greatest(F.lit(0.001), c("_m") * 0.5)).alias("threshold"), F.least(F.lit(-0.01), c("_q")).alias("risk_threshold"))
+    train = table_cut(marked.filter("part = 'train'").select("fold", "atr_normalized", "future_max_drawdown"))
+    cuts = marked.select("fold").distinct().join(ranks.quantiles(train, ["fold"], "atr_normalized", {"_m": 0.5}), "fold", "left")
+    cuts = cuts.join(ranks.quantiles(train, ["fold"], "future_max_drawdown", {"_q": 0.2}), "fold", "left").select("fold", F.least(F.lit(0.025), F.greatest(F.lit(0.001), c("_m") * 0.5)).alias("threshold"), F.least(F.lit(-0.01), c("_q")).alias("risk_threshold"))
     r = c("future_return")
     return marked.join(F.broadcast(cuts), "fold").withColumns({
         "label": F.when(r > c("threshold"), 1).when(r < -c("threshold"), -1).otherwise(0), "risk_label": (c("future_max_drawdown") <= c("risk_threshold")).cast("double")})
@@ -218,16 +219,12 @@ def class_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 def rank_ic(df: DataFrame, score: str, outcome: str, group: list[str]) -> DataFrame:
     """Correlation of average ranks within ``group`` (a session or fold); needs three rows and spread in both.
 
-    Equal values are counted first, so a rank window holds one row per distinct value.
+    Ranks come from range partitions with offsets, so a group may hold any number of rows.
     """
     c = F.col
-
-    def ranked(name: str) -> DataFrame:
-        tally = df.groupBy(*group, name).agg(F.count(F.lit(1)).alias("_k"))
-        before = F.sum("_k").over(Window.partitionBy(*group).orderBy(name)) - c("_k")
-        return tally.select(*group, name, (before + (c("_k") + 1) / 2).alias(f"_rank_{name}"))
-
-    both = df.select(*group, score, outcome).join(ranked(score), [*group, score]).join(ranked(outcome), [*group, outcome])
+    known_rows = df.select(*group, score, outcome).filter(c(score).isNotNull() & c(outcome).isNotNull() & ~F.isnan(c(score).cast("double")) & ~F.isnan(c(outcome).cast("double")))
+    known_rows = table_cut(known_rows)  # read five times
+    both = ranks.average_ranks(ranks.average_ranks(known_rows, group, score, f"_rank_{score}"), group, outcome, f"_rank_{outcome}")
     out = both.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), corr(score, outcome).alias("ic"), corr(f"_rank_{score}", f"_rank_{outcome}").alias("rank_ic"))
     known = lambda x: F.when((c("rows") >= 3) & ~F.isnan(x), c(x))
     return out.withColumns({"ic": known("ic"), "rank_ic": known("rank_ic")})
@@ -237,10 +234,8 @@ def auc_ovr(df: DataFrame, keys: list[str]) -> DataFrame:
     """One-versus-rest area under the curve, averaged over classes, from rank sums."""
     c = F.col
     long = df.select(*keys, "label", F.inline(F.array(*[F.struct(F.lit(k).alias("cls"), c(p).alias("p")) for k, p in zip(CLASSES, ("prob_down", "prob_flat", "prob_up"))])))
-    tally = long.groupBy(*keys, "cls", "p").agg(F.count(F.lit(1)).alias("_k"), F.sum((c("label") == c("cls")).cast("double")).alias("_pos"))
-    before = F.sum("_k").over(Window.partitionBy(*keys, "cls").orderBy("p")) - c("_k")
-    tally = tally.withColumn("_rank", before + (c("_k") + 1) / 2)
-    per = tally.groupBy(*keys, "cls").agg(F.sum(c("_rank") * c("_pos")).alias("_s"), F.sum("_pos").alias("_p"), F.sum("_k").alias("_n"))
+    tally = ranks.ranked_values(long, [*keys, "cls"], "p", F.sum((c("label") == c("cls")).cast("double")).alias("_pos"))
+    per = tally.groupBy(*keys, "cls").agg(F.sum(c("rank") * c("_pos")).alias("_s"), F.sum("_pos").alias("_p"), F.sum("n").alias("_n"))
     auc = (c("_s") - c("_p") * (c("_p") + 1) / 2) / F.when(c("_p") * (c("_n") - c("_p")) > 0, c("_p") * (c("_n") - c("_p")))
     return per.withColumn("_auc", auc).groupBy(*keys).agg(F.when(F.count("_auc") == 3, F.avg("_auc")).alias("auc_ovr"))
 
@@ -388,10 +383,11 @@ def buy_and_hold(bars: DataFrame, periods: int) -> DataFrame:
 
 def top_factors(importances: DataFrame, latest: DataFrame, history: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
     """Most important features with the sign of the newest standardised value; ``importances``: feature, importance."""
-    stats = history.agg(*[F.percentile(x, F.lit(0.5)).alias(f"m_{x}") for x in columns], *[F.stddev_samp(x).alias(f"s_{x}") for x in columns])
-    joined = latest.crossJoin(F.broadcast(stats))
-    rows = F.array(*[F.struct(F.lit(x).alias("feature"), F.coalesce(ratio(F.col(x) - F.col(f"m_{x}"), F.col(f"s_{x}")), F.lit(0.0)).alias("z"), F.col(x).cast("double").alias("value")) for x in columns])
-    long = joined.select("symbol", F.inline(rows)).join(F.broadcast(importances), "feature")
+    melted = F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("value")) for x in columns])
+    past = table_cut(history.select(F.inline(melted)))
+    stats = ranks.quantiles(past, ["feature"], "value", {"_m": 0.5}).join(past.groupBy("feature").agg(F.stddev_samp("value").alias("_s")), "feature")
+    long = latest.select("symbol", F.inline(melted)).join(F.broadcast(stats), "feature", "left").join(F.broadcast(importances), "feature")
+    long = long.withColumn("z", F.coalesce(ratio(F.col("value") - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("importance"), "feature"))
     return long.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("positive", F.col("z") >= 0)
 

@@ -9,7 +9,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeline.functions import kernels, lexicon as lx
+from tapeline.functions import kernels, lexicon as lx, ranks
 from tapeline.functions.series import KEYS, as_of, clip, numbered, ratio
 from tapeline.session import table_cut as cut
 
@@ -511,9 +511,10 @@ def event_metrics(outcomes: DataFrame) -> DataFrame:
     extra = {"car": F.avg("abnormal")} if "abnormal" in outcomes.columns else {}
     out = df.groupBy("h").agg(
         F.count(F.lit(1)).alias("samples"), F.count("_d").alias("directional"), F.avg((c("_d") > 0).cast("double")).alias("win_rate"), F.avg("ret").alias("mean"),
-        F.percentile("ret", F.lit(0.5)).alias("median"), F.stddev_samp("ret").alias("std"), F.max("ret").alias("max_return"), F.min("ret").alias("min_return"),
+        F.stddev_samp("ret").alias("std"), F.max("ret").alias("max_return"), F.min("ret").alias("min_return"),
         F.avg("window").alias("window_mean"), ratio(F.avg(F.when(c("_d") > 0, c("_d"))), F.abs(F.avg(F.when(c("_d") < 0, c("_d"))))).alias("profit_loss_ratio"),
         *[v.alias(k) for k, v in extra.items()])
+    out = out.join(ranks.quantiles(outcomes, ["h"], "ret", {"median": 0.5}), "h", "left")
     margin = 1.96 * c("std") / F.sqrt(c("samples").cast("double"))
     return out.withColumns({"ci_low": c("mean") - margin, "ci_high": c("mean") + margin,
                             "evidence": F.when(c("samples") < 30, "INSUFFICIENT_EVIDENCE").when(c("samples") < 100, "WEAK").otherwise("MODERATE")})

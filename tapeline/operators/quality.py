@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeline.functions import ranks
+
 from tapeline.functions.series import KEYS, by_time, finite, ratio, whole
 from tapeline.schema import FEATURES, INTERVAL_MINUTES
 
@@ -83,13 +85,28 @@ def audit_totals(audit: DataFrame) -> DataFrame:
     return audit.agg(*[F.sum(n).alias(n) for n in names], F.min(F.col("status") == "PASSED").alias("passed"))
 
 
-def digest_rows(df: DataFrame, columns: list[str], order: list[str], group: list[str] = ()) -> DataFrame:
-    """SHA-256 over rows written as text in a fixed order (one short row per series or member)."""
+#: Nodes of a digest tree that make one of the next level.
+DIGEST_FAN = 64
+
+
+def digest_rows(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Digest and number of rows: SHA-256 of every row written as text, then of runs of DIGEST_FAN digests by ``order``.
+
+    At least one run is taken, and runs of runs until one digest is left, so no buffer holds more than DIGEST_FAN
+    of them and the digest does not depend on how rows lie in partitions. Without rows: one row, digest NULL, 0 members.
+    """
     line = F.concat_ws(",", *[F.coalesce(F.col(x).cast("string"), F.lit("-")) for x in columns])
-    gathered = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    text = F.concat_ws(";", F.transform(gathered, lambda x: x["_line"]))
-    keyed = df.groupBy(*group) if group else df.groupBy()
-    return keyed.agg(F.sha2(text, 256).alias("digest"), F.count(F.lit(1)).alias("members"))
+    rows = df.select(*[F.col(x).alias(f"_o{i}") for i, x in enumerate(order)], F.sha2(line, 256).alias("_h"))
+    level = ranks.numbered(rows, [], [*[F.col(f"_o{i}").asc_nulls_first() for i in range(len(order))], F.col("_h")], "_at", "_n").select("_at", "_h")
+    members = left = level.count()
+    while True:
+        held = F.array_sort(F.collect_list(F.struct("_at", "_h")))
+        runs = level.groupBy(F.floor(F.col("_at") / DIGEST_FAN).alias("_run"))
+        level = runs.agg(F.sha2(F.array_join(F.transform(held, lambda x: x["_h"]), ""), 256).alias("_h")).withColumnRenamed("_run", "_at")
+        left = -(-left // DIGEST_FAN)
+        if left <= 1:
+            break
+    return level.agg(F.max("_h").alias("digest"), F.lit(members).cast("long").alias("members"))
 
 
 def dataset_version(audit: DataFrame, market: str, interval: str) -> DataFrame:

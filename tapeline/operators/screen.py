@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeline.functions import ranks
 from tapeline.functions.series import KEYS, change, clip, latest, ratio
 
 
@@ -164,15 +165,13 @@ def carry_last_success(events: DataFrame) -> DataFrame:
 def latency_summary(calls: DataFrame) -> DataFrame:
     """Count, mean, p95 and maximum per path; p95 is the value at place floor(0.95 n).
 
-    Equal durations are counted first, so what meets per path is one row per distinct duration.
+    Equal durations are counted first and placed by range partitions, so a path may hold any number of calls.
     """
     c = F.col
-    tally = calls.groupBy("path", "duration_ms").agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy("path").orderBy("duration_ms")
-    tally = tally.withColumns({"_upto": F.sum("_k").over(w), "_n": F.sum("_k").over(Window.partitionBy("path"))})
-    place = F.least(c("_n") - 1, F.floor(c("_n") * 0.95))
-    return tally.groupBy("path").agg(F.max("_n").alias("calls"), (F.sum(c("duration_ms") * c("_k")) / F.max("_n")).alias("average_ms"),
-                                     F.min(F.when(c("_upto") > place, c("duration_ms"))).alias("p95_ms"), F.max("duration_ms").alias("max_ms")).orderBy(F.desc("max_ms"), "path")
+    tally = ranks.ranked_values(calls, ["path"], "duration_ms")
+    place = F.least(c("total") - 1, F.floor(c("total") * 0.95))
+    return tally.groupBy("path").agg(F.max("total").alias("calls"), (F.sum(c("duration_ms") * c("n")) / F.max("total")).alias("average_ms"),
+                                     F.min(F.when(c("before") + c("n") > place, c("duration_ms"))).alias("p95_ms"), F.max("duration_ms").alias("max_ms")).orderBy(F.desc("max_ms"), "path")
 
 
 def news_dimension(news: DataFrame, keep: int = 50, show: int = 5) -> DataFrame:

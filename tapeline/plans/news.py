@@ -198,7 +198,7 @@ QUERIES = {
     "news_headline_signal": (news_headline_signal, q(*NEWS, f"u AS (SELECT sym, epoch(TIMESTAMP '{NOW}') - floor(epoch(published_at)) AS a, " + " + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in ("that", "und", "is")) + "".join(f" - CAST(contains(lower(title), '{w}') AS INT)" for w in ("was", "de", "for")) + " AS p FROM nd)",
                                                      final=f"SELECT sym AS symbol, {R('sign(sum(p))')} AS signal, count(*) FILTER (a BETWEEN 0 AND 86400) AS day, count(*) FILTER (a BETWEEN 0 AND 604800) AS week FROM u GROUP BY 1")),
     "news_text": (news_text, f"SELECT doc_id, sha256({LET.format('text')}) AS fingerprint, length({LET.format('text')}) AS kept, trim(split_part(text, chr(10), 1), ' ') <> '' AND length(split_part(text, chr(10), 1)) - length(replace(split_part(text, chr(10), 1), chr(65533), '')) <= greatest(1, length(split_part(text, chr(10), 1)) // 30) AS readable, left(sha256(split_part(text, chr(10), 1) || '|' || source), 24) AS identity FROM documents"),
-    "news_pages_plain": (news_pages_plain, """WITH p AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM pages)
+    "news_pages_plain": (news_pages_plain, """WITH p AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM pages)
   SELECT page_id, sha256(t) AS digest, length(t) AS chars FROM p"""),
     "news_freshness": (news_freshness, q(*NEWS, "u AS (SELECT greatest(0, (epoch(TIMESTAMP '2024-01-20') - floor(epoch(published_at))) / 60) AS m FROM nd)", final="SELECT CASE WHEN m <= 30 THEN 'Breaking' WHEN m <= 360 THEN 'Recent' WHEN m <= 1440 THEN 'Aging' ELSE 'Old' END AS freshness, count(*) AS items FROM u GROUP BY 1")),
     "news_published": (news_published, q(*NEWS, final="SELECT id, CASE WHEN id % 4 <> 3 THEN date_trunc('second', published_at) END AS published_at FROM nd")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeline.functions import ranks
 from tapeline.operators import calendar as cal, features as feat, identity as idn, indicators as ind, quality as ql
 from tapeline.plans.bars import TR, WIN, q
 from tapeline.plans.base import DAILY_SQL, HOURLY_SQL, R, W, daily, hourly, r, roll, rows, show, table
@@ -84,7 +85,7 @@ def prediction_completeness(spark, d):
 
 def reconcile_quotes(spark, d):
     e = table(spark, d, "events")
-    quotes = e.groupBy(F.col("event_type").alias("symbol"), (F.col("user_id") % 3).alias("source")).agg(F.percentile("value", F.lit(0.5)).alias("price"))
+    quotes = ranks.quantiles(e.select(F.col("event_type").alias("symbol"), (F.col("user_id") % 3).alias("source"), "value"), ["symbol", "source"], "value", {"price": 0.5})
     return show(ql.reconcile_quotes(quotes), "symbol", "sources", "status", "spread_percent", "conflict")
 
 
@@ -277,15 +278,21 @@ ALIAS_SQL = f"""WITH {REG_CTE}, qs AS (SELECT 'p1' || s_suppkey AS query FROM su
 
 GATE_LIST = ", ".join(f"CASE WHEN s_suppkey % {i + 9} = 0 OR s_suppkey % {i + 5} = 1 THEN '{g}' END" for i, g in enumerate(ql.GATES))
 
+def tree(order, line, source):
+    """Digest tree of up to 64 * 64 rows."""
+    return f"""(SELECT CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY run)) END AS digest, CAST(sum(k) AS BIGINT) AS members
+    FROM (SELECT (at_ - 1) // 64 AS run, sha256(string_agg(h, '' ORDER BY at_)) AS h, count(*) AS k FROM (SELECT row_number() OVER (ORDER BY {order}) AS at_, sha256({line}) AS h FROM {source}) GROUP BY 1))"""
+
+
 QUERIES = {
     "validate_codes": (validate_codes, q(*VAL, final="SELECT symbol, coalesce(code, 'OK') AS code, count(*) AS rows FROM v4 GROUP BY 1, 2")),
     "validate_rejects": (validate_rejects, q(*VAL, final="SELECT symbol, seq, code FROM v4 WHERE code IS NOT NULL")),
     "audit_dataset": (audit_dataset, q(*AUD, final="SELECT * FROM au")),
     "audit_totals": (audit_totals, q(*AUD, final="SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("rows", "missing_values", "duplicate_timestamps", "ohlc_invalid", "negative_volume", "future_rows", "gap_rows")) + ", FALSE AS passed FROM au")),
-    "audit_version": (audit_version, q(*AUD, final=f"SELECT 'CRYPTO-1h-' || left(sha256(string_agg({FLAT}, ';' ORDER BY symbol)), 16) AS version, count(*) AS members FROM au")),
+    "audit_version": (audit_version, q(*AUD, final=f"SELECT 'CRYPTO-1h-' || left(digest, 16) AS version, members FROM {tree('symbol', FLAT, 'au')}")),
     "coverage_hash": (coverage_hash, f"""WITH t1 AS (WITH {HOURLY_SQL} SELECT 'CRYPTO' AS market, symbol, '1h' AS i, count(*) AS n, CAST(epoch(min(ts)) AS BIGINT) AS a, CAST(epoch(max(ts)) AS BIGINT) AS b FROM c GROUP BY 2),
   t2 AS (WITH {DAILY_SQL} SELECT 'US' AS market, symbol, '1d' AS i, count(*) AS n, CAST(epoch(min(ts)) AS BIGINT) AS a, CAST(epoch(max(ts)) AS BIGINT) AS b FROM c GROUP BY 2), u AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2)
-  SELECT sha256(string_agg(market || ',' || symbol || ',' || i || ',' || n || ',' || a || ',' || b, ';' ORDER BY market, symbol, i)) AS digest, count(*) AS members FROM u"""),
+  SELECT digest, members FROM """ + tree("market, symbol, i", "market || ',' || symbol || ',' || i || ',' || n || ',' || a || ',' || b", "u")),
     "coverage_matrix": (coverage_matrix, q(HOURLY_SQL, "l AS (SELECT 'CRYPTO' AS market, symbol, count(*) AS candles FROM c GROUP BY 2)",
                                            "p AS (SELECT 'CRYPTO' AS market, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN '1H' ELSE '4H' END AS h, count(*) AS k FROM events GROUP BY 2, 3 UNION ALL SELECT 'US', s_name, '1D', count(*) FROM supplier GROUP BY 2)",
                                            "g AS (SELECT market, symbol, CAST(sum(k) AS BIGINT) AS predictions, string_agg(h || ':' || k, '|' ORDER BY h || ':' || k) AS by_horizon FROM p GROUP BY 1, 2)",
@@ -305,8 +312,8 @@ QUERIES = {
                                                            final=f"SELECT symbol, {R('0.65 * avg((CAST(n >= 1 AS INT) + CAST(n >= 20 AS INT) + CAST(n >= 119 AS INT)) / 3.0) + 0.35 * avg(CASE WHEN g <= 3960 THEN 1.0 WHEN g IS NOT NULL THEN 0 END)')} AS completeness FROM p GROUP BY 1")),
     "reconcile_quotes": (reconcile_quotes, q("p AS (SELECT event_type AS symbol, user_id % 3 AS s, median(value) AS price FROM events GROUP BY 1, 2)", "k AS (SELECT symbol, count(*) AS n, (max(price) - min(price)) / avg(price) AS sp FROM p GROUP BY 1)",
                                              final=f"SELECT symbol, n AS sources, 'AVAILABLE' AS status, {R('sp * 100')} AS spread_percent, sp > 0.005 AS conflict FROM k")),
-    "universe_version": (universe_version, """SELECT 'US-2024-01-31-' || left(sha256(string_agg(s_name || ',' || CASE WHEN s_nationkey % 4 <> 0 THEN 'true' ELSE 'false' END || ',1995-01-01,' || CASE WHEN s_nationkey % 4 = 0 THEN '2001-01-01' ELSE '-' END, ';' ORDER BY s_name)), 16) AS version,
-  count(*) AS members, '2024-01-31' AS as_of, 'US' AS market FROM supplier"""),
+    "universe_version": (universe_version, "SELECT 'US-2024-01-31-' || left(digest, 16) AS version, members, '2024-01-31' AS as_of, 'US' AS market FROM "
+                         + tree("s_name", "s_name || ',' || CASE WHEN s_nationkey % 4 <> 0 THEN 'true' ELSE 'false' END || ',1995-01-01,' || CASE WHEN s_nationkey % 4 = 0 THEN '2001-01-01' ELSE '-' END", "supplier")),
     "universe_top": (universe_top, "SELECT 'P' || l_partkey AS symbol, round(sum(l_extendedprice), 2) AS quote_volume, TRUE AS meets_minimum FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY l_partkey ORDER BY 2 DESC, 1 DESC LIMIT 100"),
     "news_eligibility": (news_eligibility, f"""WITH t AS (SELECT min(ts) AS t0 FROM events), k AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'UNKNOWN_PUBLISHED_AT' WHEN doc_id % 13 = 0 THEN 'INVALID_TIMESTAMP' WHEN date_trunc('second', t0) + to_hours(doc_id % 720) > TIMESTAMP '{NOW}' THEN 'FUTURE_NEWS' ELSE 'POINT_IN_TIME' END AS reason FROM documents, t)
   SELECT doc_id, reason, reason = 'POINT_IN_TIME' AS eligible, CASE WHEN reason = 'POINT_IN_TIME' THEN CAST(doc_id % 7 AS DOUBLE) END AS value FROM k"""),

@@ -40,3 +40,19 @@ def test_without_keys_and_empty(spark):
     assert ranks.numbered(df.limit(0), ["v"], [F.col("id")]).collect() == []
     assert ranks.quantiles(df.limit(0), ["v"], "id", {"p": 0.5}).collect() == []
     assert ranks.quantiles(df, [], "id", {"p": 0.5}).collect()[0].p == 49.5
+
+
+def test_digest_does_not_depend_on_partitions(spark):
+    import hashlib
+
+    from tapeline.operators import quality
+    rows = [(f"s{i:05d}", i % 7, None if i % 5 == 0 else i / 4) for i in range(4200)]
+    df = spark.createDataFrame(rows, "symbol string, n long, x double")
+    got = {tuple(quality.digest_rows(d, ["symbol", "n", "x"], ["symbol"]).first()) for d in (df, df.repartition(7), df.orderBy(F.desc("symbol")))}
+    level = [hashlib.sha256(",".join("-" if v is None else str(v) for v in r).encode()).hexdigest() for r in rows]
+    while True:
+        level = [hashlib.sha256("".join(level[i : i + 64]).encode()).hexdigest() for i in range(0, len(level), 64)]
+        if len(level) == 1:
+            break
+    assert got == {(level[0], 4200)}
+    assert tuple(quality.digest_rows(df.limit(0), ["n"], ["symbol"]).first()) == (None, 0)

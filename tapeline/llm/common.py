@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,12 @@ def with_size(table: DataFrame, row_bytes: int | Column, limit: int = 16 << 20)
     """``table`` marked for broadcast if its counted rows come to ``limit`` bytes at most; otherwise as it is."""
     size = table.count() * row_bytes if isinstance(row_bytes, int) else table.agg(F.sum(row_bytes)).first()[0] or 0
     return F.broadcast(table) if size <= limit else table
+
+
+def release_memory() -> None:
+    """Give what a task has freed back to the system: its Python worker lives on beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -50,6 +50,16 @@ def test_run_equals_its_stages(spark, tables):
     assert all(b.capacity in packing.SIZES and b.used == sum(b.lengths) for b in bins)
 
 
+def test_clashing_columns_come_back(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    more = docs.selectExpr("*", "doc_id * 2 AS toxic_score", "'a' AS leaks", "doc_id AS key", "1 AS dropped_lines", "'n' AS component_id", "7 AS n", "'b' AS text_")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, tables)
+        assert got.dtypes == more.dtypes, name
+        assert got.where("NOT (toxic_score <=> doc_id * 2 AND leaks = 'a' AND key <=> doc_id AND dropped_lines = 1 AND component_id = 'n' AND n = 7 AND text_ = 'b')").count() == 0, name
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in stage(spark, docs, tables).collect()), name
+
+
 def test_empty_tables(spark, tables):
     none = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     assert corpus_pipeline.pack(spark, none, tables).count() == 0

@@ -129,7 +129,7 @@ def features(bars: DataFrame) -> DataFrame:
     bars = price_features(bars.drop("return_1", "return_3", "return_5"))
     for step in (technical_features, volume_features, structure_features, regime_features):
         bars = step(bars)
-    return bars
+    return bars.withColumns({name: finite(F.col(name)) for name in FEATURES if name in bars.columns})
 
 
 def catalogue(frame: DataFrame, groups: dict[str, list[str]]) -> DataFrame:

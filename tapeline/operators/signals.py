@@ -296,6 +296,12 @@ def confluence(found: DataFrame, by: tuple[str, ...] = (*KEYS, "ts")) -> DataFra
                             "signal": F.when(raw >= 24, "BUY").when(raw <= -24, "SELL").otherwise("HOLD")})
 
 
+def long_enough(bars: DataFrame, least: int = 60) -> DataFrame:
+    """Bars of the series that have ``least`` bars; shorter ones say nothing about their timeframe."""
+    held = bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_bars")).filter(F.col("_bars") >= least).drop("_bars")
+    return bars.join(held, list(KEYS), "left_semi")
+
+
 def multi_timeframe(per_frame: DataFrame, by: str = "symbol") -> DataFrame:
     """Agreement of confluence directions across a symbol's intervals."""
     up, down = F.count(F.when(F.col("direction") == "UP", 1)), F.count(F.when(F.col("direction") == "DOWN", 1))

@@ -68,12 +68,20 @@ def breaks(bars: DataFrame) -> DataFrame:
                         F.when(volume_ratio >= 1.2, "VOLUME_CONFIRMED").otherwise("CLOSE_CONFIRMED").alias("confirmation"))
 
 
-def structure_fingerprints(events: DataFrame) -> DataFrame:
-    """Digest of each event and whether it differs from the one before it."""
-    w = by_time("symbol", "interval")
-    mark = F.sha2(F.concat_ws("|", "break_type", "direction", F.format_number("break_price", 6), F.col("n").cast("string")), 256)
-    out = events.withColumn("fingerprint", mark)
-    return out.withColumn("changed", ~F.coalesce(F.lag("fingerprint").over(w) == F.col("fingerprint"), F.lit(False)))
+def structure_state(bars: DataFrame) -> DataFrame:
+    """Per bar what is known of the structure so far, its digest, and whether that differs from the bar before.
+
+    Three streams of events (breaks of structure, changes of character, gaps) are carried on by their last-known bars;
+    needs sx_atr. The first bar of a series counts as changed. How far gaps are filled is not part of the state.
+    """
+    c = F.col
+    found = with_breaks(swings(bars.select(*KEYS, "ts", "high", "low", "close", "sx_atr")))
+    gap = (back("high", 2) < c("low")) | (back("low", 2) > c("high"))
+    upto = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda hit: F.max(F.when(hit, c("n"))).over(upto)
+    out = found.select(*KEYS, "ts", "n", last(c("break_type") == "BOS").alias("bos_at"), last(c("break_type") == "CHOCH").alias("choch_at"), last(gap).alias("gap_at"))
+    out = out.withColumn("fingerprint", F.sha2(F.concat_ws("|", *[F.coalesce(c(x).cast("string"), F.lit("-")) for x in ("bos_at", "choch_at", "gap_at")]), 256))
+    return out.withColumn("changed", ~F.coalesce(F.lag("fingerprint").over(by_time()) == c("fingerprint"), F.lit(False)))
 
 
 def price_gaps(bars: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def strategy_leaderboard(spark, d):
 def multi_timeframe(spark, d):
     bars = hourly(spark, d)
     frames = bars.drop("ticks").unionByName(candles.resample(bars, "4h").drop("ticks"))
-    agreed = sg.confluence(sg.signals(sg.last_bar(cut(sg.context(frames))), ["trend", "breakout", "fibonacci", "bos", "fvg", "fib_fvg_bos"]))
+    agreed = sg.confluence(sg.signals(sg.last_bar(cut(sg.context(sg.long_enough(frames)))), ["trend", "breakout", "fibonacci", "bos", "fvg", "fib_fvg_bos"]))
     return show(sg.multi_timeframe(agreed), "symbol", "up", "down", "frames", "alignment", "conflict", "confidence_factor")
 
 

@@ -35,8 +35,8 @@ def structure_breaks(spark, d):
 
 
 def structure_changes(spark, d):
-    out = st.structure_fingerprints(st.breaks(ind.sx_volume(ind.sx_atr(hourly(spark, d)))))
-    return out.groupBy("symbol", "changed").agg(F.count(F.lit(1)).alias("events"))
+    out = st.structure_state(ind.sx_atr(hourly(spark, d)))
+    return out.select("symbol", "ts", "bos_at", "choch_at", "gap_at", "changed")
 
 
 def divergences(spark, d):
@@ -106,6 +106,8 @@ QUERIES = {
  SELECT symbol, ts, n, typ AS break_type, CASE WHEN up THEN 'BULLISH' ELSE 'BEARISH' END AS direction, {R('bp')} AS break_price, bn AS break_pivot,
   {R('coalesce(vr, 1)')} AS volume_ratio, CASE WHEN coalesce(vr, 1) >= 1.2 THEN 'VOLUME_CONFIRMED' ELSE 'CLOSE_CONFIRMED' END AS confirmation FROM st WHERE typ IS NOT NULL"""),
     "structure_changes": (structure_changes, f"""WITH RECURSIVE {HOURLY_SQL}, {BREAKS_CTES}
- SELECT symbol, TRUE AS changed, count(*) AS events FROM st WHERE typ IS NOT NULL GROUP BY 1"""),
+, gp AS (SELECT symbol, ts, coalesce(lag(high, 2) {W} < low OR lag(low, 2) {W} > high, FALSE) AS gap FROM c),
+ sv AS (SELECT symbol, ts, n, max(CASE WHEN typ = 'BOS' THEN n END) {W} AS bos_at, max(CASE WHEN typ = 'CHOCH' THEN n END) {W} AS choch_at, max(CASE WHEN gap THEN n END) {W} AS gap_at FROM st JOIN gp USING (symbol, ts))
+ SELECT symbol, ts, bos_at, choch_at, gap_at, NOT coalesce(bos_at IS NOT DISTINCT FROM lag(bos_at) {W} AND choch_at IS NOT DISTINCT FROM lag(choch_at) {W} AND gap_at IS NOT DISTINCT FROM lag(gap_at) {W} AND lag(n) {W} IS NOT NULL, FALSE) AS changed FROM sv"""),
     "divergences": (divergences, _div_sql()),
 }

@@ -107,3 +107,35 @@ def test_signals_are_causal_and_trades_follow_the_rules(spark):
             i += 8
     assert [(r.strategy, r.n, r.outcome) for r in got.itertuples()] == [w[:3] for w in want]
     assert np.allclose(got.ret, [w[3] for w in want])
+
+
+def test_structure_state_changes_only_with_events(spark):
+    from conftest import walk_frame
+    from tapeline.operators import indicators as ind
+    bars = spark.createDataFrame(walk_frame(240))
+    out = st.structure_state(ind.sx_atr(bars)).toPandas().sort_values("n")
+    state = list(zip(*(out[c].fillna(-1) for c in ("bos_at", "choch_at", "gap_at"))))
+    assert list(out.changed) == [i == 0 or state[i] != state[i - 1] for i in range(len(state))]
+    assert 1 < out.changed.sum() < len(out)
+    broken = {(r.n, r.break_type) for r in st.breaks(ind.sx_volume(ind.sx_atr(bars))).collect()}
+    assert {(int(x), "BOS") for x in out.bos_at.dropna().unique()} | {(int(x), "CHOCH") for x in out.choch_at.dropna().unique()} == broken
+
+
+def test_short_series_say_nothing_about_their_timeframe(spark):
+    import pandas as pd
+    from conftest import walk_frame
+    from tapeline.operators import signals
+    bars = spark.createDataFrame(pd.concat([walk_frame(59, symbol="short"), walk_frame(60, symbol="long")]))
+    assert {r.symbol for r in signals.long_enough(bars).collect()} == {"long"}
+
+
+def test_features_are_finite_or_null(spark):
+    import numpy as np
+    from conftest import walk_frame
+    from tapeline.operators import features
+    from tapeline.schema import FEATURES
+    frame = walk_frame(150)
+    frame.loc[40:90, ["open", "high", "low", "close"]] = 100.0
+    frame.loc[50:60, "volume"] = 0.0
+    got = features.features(spark.createDataFrame(frame)).select(*FEATURES).toPandas().astype(float)
+    assert not np.isinf(got.to_numpy()).any() and len(FEATURES) == 57

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -226,32 +227,38 @@ def walk_forward(ctx: DataFrame, keys: list[str], folds: int = 4, least: int = 1
 def parameter_grid(bars: DataFrame, key: str, swings: tuple[int, ...] = (2, 3, 4), thresholds: tuple[float, ...] = (20.0, 28.0, 36.0), embargo: int = 12) -> DataFrame:
     """Swing width and signal threshold by segment: screened on train, chosen on validation, judged out of sample.
 
-    Returns every combination's metrics per segment, its selection score and which one is locked.
+    Returns every combination's train and validation metrics with its selection score, and the out-of-sample metrics
+    of the locked combination alone: the others are never run on those bars.
     """
     c = F.col
+    group = (*RUN_KEYS, "swing", "threshold", "segment")
+    widths = {width: cut(sg.context(bars, swing=width)).withColumn("swing", F.lit(width)) for width in swings}
 
-    def tag(df: DataFrame) -> DataFrame:
+    def chosen_on(df: DataFrame) -> DataFrame:
         train, valid = F.floor(c("bars") * 0.55), F.floor(c("bars") * 0.75)
-        part = (F.when((c("n") >= 80) & (c("n") < train - 9), "train").when((c("n") >= train + embargo) & (c("n") < valid - 9), "validation")
-                .when(c("n") >= valid + embargo, "out_of_sample"))
+        part = F.when((c("n") >= 80) & (c("n") < train - 9), "train").when((c("n") >= train + embargo) & (c("n") < valid - 9), "validation")
         df = df.filter(c("bars") >= 360).withColumn("segment", part).filter("segment is not null")
         return df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
 
-    group = (*RUN_KEYS, "swing", "threshold", "segment")
-    found = None
-    for width in swings:
-        ctx = cut(sg.context(bars, swing=width)).withColumn("swing", F.lit(width))
-        part = barrier_trades(ctx, [key], first_bar=0, threshold="threshold", group=group, spread=tag)
-        found = part if found is None else found.unionByName(part)
-    m = trade_metrics(found, group)
-    combo = Window.partitionBy(*RUN_KEYS, "swing", "threshold")
-    at = lambda seg, name: F.max(F.when(c("segment") == seg, c(name))).over(combo)
+    def trades(spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [barrier_trades(ctx, [key], first_bar=0, threshold="threshold", group=group, spread=spread) for ctx in widths.values()])
+
+    m = cut(trade_metrics(trades(chosen_on), group))
+    at = lambda seg, name: F.max(F.when(c("segment") == seg, c(name)))
     score = at("validation", "expectancy") + 0.05 * at("validation", "sharpe") - 0.1 * at("validation", "max_drawdown")
     able = (at("train", "number_of_trades") >= 2) & (at("validation", "number_of_trades") >= 2)
-    m = m.withColumn("selection_score", F.when(able, score))
+    combos = m.groupBy(*RUN_KEYS, "swing", "threshold").agg(F.when(able, score).alias("selection_score"))
     best = F.max(F.struct("selection_score", -c("swing"), -c("threshold"))).over(Window.partitionBy(*RUN_KEYS))
     locked = c("selection_score").isNotNull() & (F.struct("selection_score", -c("swing"), -c("threshold")) == best)
-    return m.withColumn("locked", locked)
+    combos = cut(combos.withColumn("locked", locked))
+    winners = combos.filter("locked").select(*KEYS, "swing", "threshold")
+
+    def held_out(df: DataFrame) -> DataFrame:
+        df = df.filter((c("bars") >= 360) & (c("n") >= F.floor(c("bars") * 0.75) + embargo))
+        return df.withColumn("segment", F.lit("out_of_sample")).join(winners, [*KEYS, "swing"])
+
+    judged = trade_metrics(trades(held_out), group)
+    return m.unionByName(judged).join(combos, [*RUN_KEYS, "swing", "threshold"])
 
 
 def incremental(metrics_table: DataFrame, combined: str, baseline: str) -> DataFrame:

@@ -351,15 +351,6 @@ def regression_walk_forward(panel: DataFrame, columns: list[str], models: tuple[
     return out
 
 
-def ablation(panel: DataFrame, groups: dict[str, list[str]], target: str = "alpha_target", count: int = 3, **kw) -> DataFrame:
-    """Rank-IC per fold of a ridge fit on each feature group."""
-    out = None
-    for name, columns in groups.items():
-        scored = regression_walk_forward(panel, columns, ("Ridge",), target, count, **kw).withColumn("group", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    return rank_ic(out, "predicted", "future_return", ["group", "fold"])
-
-
 def research_returns(df: DataFrame, holding: int, cost: float) -> DataFrame:
     """Net return of non-overlapping entries where the call is confident; needs symbol, ts, prob_*, future_return."""
     c = F.col

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeline.operators import features as feat, indicators as ind, ledger as ld, ml
+from tapeline.operators import features as feat, gram, indicators as ind, ledger as ld, ml
 from tapeline.plans.bars import q
 from tapeline.plans.base import DAILY_SQL, HOURLY_SQL, R, W, daily, hourly, r, show
+from tapeline.plans.features import PANEL_CTES, X, zsql
 from tapeline.plans.ledger import RES, _predictions
+from tapeline.schema import FEATURE_GROUPS
+from tapeline.session import table_cut
 
 COLUMNS = ["z_return_1", "z_return_5", "z_return_20", "z_high_position_20", "z_volume_zscore", "z_flow_pressure"]
 FOLDS = 5
@@ -122,14 +125,41 @@ def ml_tournament(spark, d):
     return show(ml.stability(ml.class_metrics(out.unionByName(naive), ["model", "fold"]), "model", "balanced_accuracy"), "model", "mean", "median", "worst", "windows")
 
 
+def _whole_panel(spark, d):
+    """Complete rows of all 57 features with labels over five sessions, fold marks added."""
+    keep = ["symbol", "ts", "session_date", "target_time", "future_return", "alpha_target", *[f"z_{x}" for g in FEATURE_GROUPS.values() for x in g]]
+    return table_cut(gram.mark_folds(table_cut(feat.panel(feat.features(daily(spark, d)), 5).select(*keep)), FOLDS))
+
+
+Z_GROUPS = {name: [f"z_{x}" for x in group] for name, group in FEATURE_GROUPS.items()}
+Z_ALL = [x for group in Z_GROUPS.values() for x in group]
+
+
 def ml_regression(spark, d):
-    out = ml.regression_walk_forward(_panel(spark, d), COLUMNS, ("LinearRegression", "Ridge", "Lasso"), count=FOLDS)
-    return show(ml.rank_ic(out, "predicted", "future_return", ["model", "fold"]), "model", "fold", "rows", "ic", "rank_ic")
+    """The three linear models over all features: one scan for all their fits."""
+    marked = _whole_panel(spark, d)
+    fits = gram.fold_models(marked, {"all_observed": Z_ALL}, gram.LINEAR, "alpha_target", FOLDS)
+    out = table_cut(gram.scored_tests(marked, fits, Z_ALL, ["symbol", "ts", "alpha_target", "future_return"]))
+    both = gram.regression_metrics(out, "alpha_target", ["model", "fold"]).drop("samples").join(ml.rank_ic(out, "predicted", "future_return", ["model", "fold"]), ["model", "fold"])
+    return show(both.withColumn("fold", F.col("fold").cast("long")), "model", "fold", "rows", "mae", "rmse", "ic", "rank_ic")
 
 
 def ml_ablation(spark, d):
-    groups = {"price": COLUMNS[:4], "volume": COLUMNS[4:], "all": COLUMNS}
-    return show(ml.ablation(_panel(spark, d), groups, count=FOLDS), "group", "fold", "rows", "ic", "rank_ic")
+    """Ridge on each of the five feature groups and on all of them, per fold."""
+    marked = _whole_panel(spark, d)
+    fits = gram.fold_models(marked, {**Z_GROUPS, "all_observed": Z_ALL}, {"Ridge": (gram.RIDGE, 0.0)}, "alpha_target", FOLDS)
+    out = gram.scored_tests(marked, fits, Z_ALL, ["future_return"])
+    return show(ml.rank_ic(out, "predicted", "future_return", ["group", "fold"]).withColumn("fold", F.col("fold").cast("long")), "group", "fold", "rows", "ic", "rank_ic")
+
+
+PAIR = ["z_return_5", "z_volume_zscore"]
+
+
+def ml_gram_ridge(spark, d):
+    """Ridge on two features, beside its closed form in SQL."""
+    c = F.col
+    fits = gram.fold_models(gram.mark_folds(table_cut(_panel(spark, d).select("session_date", "ts", "target_time", "alpha_target", *PAIR)), FOLDS), {"pair": PAIR}, {"Ridge": (gram.RIDGE, 0.0)}, "alpha_target", FOLDS)
+    return show(fits.select(c("fold").cast("long").alias("fold"), "samples", "intercept", c("coefficients")[0].alias("first"), c("coefficients")[1].alias("second")), "fold", "samples", "intercept", "first", "second", intercept=9, first=9, second=9)
 
 
 SCO = [*RES, "m0 AS (SELECT *, CASE actual WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 ELSE 0 END AS label, CASE prediction WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 ELSE 0 END AS called FROM rs)"]
@@ -155,9 +185,21 @@ RIC = [DAILY_SQL, f"z AS (SELECT CAST(ts AS DATE) AS d, round(close / lag(close,
        "z1 AS (SELECT d, s, o, rank() OVER (PARTITION BY d ORDER BY s) + (count(*) OVER (PARTITION BY d, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY d ORDER BY o) + (count(*) OVER (PARTITION BY d, o) - 1) / 2.0 AS ro FROM z WHERE s IS NOT NULL AND o IS NOT NULL)",
        "z2 AS (SELECT d, count(*) AS n, corr(s, o) AS ic, round(corr(rs, ro), 9) AS ric FROM z1 GROUP BY 1)", "zz AS (SELECT d, n, CASE WHEN n >= 3 AND NOT isnan(ic) THEN ic END AS ic, CASE WHEN n >= 3 AND NOT isnan(ric) THEN ric END AS ric FROM z2)"]
 
+FOLD_CTES = [*PANEL_CTES, f"pz AS (SELECT symbol, ts, session_date, target_time, {zsql('return_5')} AS x1, {zsql('volume_zscore')} AS x2, future_return - avg(future_return) {X} AS y FROM pb)",
+             "dy AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS place, count(*) OVER () AS s FROM (SELECT DISTINCT session_date FROM pz))",
+             "st AS (SELECT DISTINCT s, greatest(100, CAST(floor(CAST(s AS DOUBLE) * 0.5) AS BIGINT)) AS b0 FROM dy)",
+             f"fd AS (SELECT i + 1 AS fold, b0 + i * greatest(15, (s - b0) // {FOLDS}) AS b, s, greatest(15, (s - b0) // {FOLDS}) AS k FROM st, range({FOLDS}) t(i))",
+             "fo AS (SELECT fold, b - greatest(20, CAST(floor(b * CAST(0.15 AS DOUBLE)) AS BIGINT)) AS te, b AS ve, least(s, b + k) AS xe FROM fd WHERE b < s)",
+             "fr AS (SELECT fo.fold, CASE WHEN place < te THEN 'train' WHEN place < ve THEN 'validation' ELSE 'test' END AS part, pz.* FROM pz JOIN dy USING (session_date) JOIN fo ON place < xe)",
+             "fs AS (SELECT fold, min(ts) FILTER (part = 'validation') AS v, min(ts) FILTER (part = 'test') AS t FROM fr GROUP BY 1)",
+             "fk AS (SELECT fr.* FROM fr JOIN fs USING (fold) WHERE part = 'test' OR (part = 'train' AND target_time < v) OR (part = 'validation' AND target_time < t))"]
+RIDGE_CTES = [*FOLD_CTES, "m AS (SELECT fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2 FROM fk WHERE part = 'train' GROUP BY 1)",
+              f"w AS (SELECT *, ((1 + {gram.RIDGE} / n) * c1 - r * c2) / (pow(1 + {gram.RIDGE} / n, 2) - r * r) / s1 AS w1, ((1 + {gram.RIDGE} / n) * c2 - r * c1) / (pow(1 + {gram.RIDGE} / n, 2) - r * r) / s2 AS w2 FROM m)"]
+
 QUERIES = {
+    "ml_gram_ridge": (ml_gram_ridge, q(*RIDGE_CTES, final=f"SELECT fold, n AS samples, {R('my - w1 * m1 - w2 * m2', 9)} AS intercept, {R('w1', 9)} AS \"first\", {R('w2', 9)} AS second FROM w")),
     "ml_purged_slices": (ml_purged_slices, SLICES),
-    "ml_fold_table": (ml_fold_table, None),
+    "ml_fold_table": (ml_fold_table, q(*FOLD_CTES, final='SELECT CAST(fold AS INT) AS fold, part, count(*) AS rows, min(session_date) AS "first", max(session_date) AS "last" FROM fk GROUP BY 1, 2')),
     "ml_class_metrics": (ml_class_metrics, q(*SCO, *_cm("symbol"), final=f"SELECT symbol, samples, {R('accuracy')} AS accuracy, {R('ba')} AS balanced_accuracy, {R('f1')} AS macro_f1, {R('mcc')} AS mcc, {R('brier')} AS brier, {R('ll')} AS log_loss, {R('ic')} AS ic FROM k1")),
     "ml_auc": (ml_auc, q(*SCO, "lg AS (SELECT symbol, id, label = -1 AS y, round(pd, 9) AS p, -1 AS k FROM m0 UNION ALL SELECT symbol, id, label = 0, round(pf, 9), 0 FROM m0 UNION ALL SELECT symbol, id, label = 1, round(pu, 9), 1 FROM m0)",
                          "a AS (SELECT x.symbol, x.k, avg(CASE WHEN x.p > z.p THEN 1.0 WHEN x.p = z.p THEN 0.5 ELSE 0 END) AS auc FROM lg x JOIN lg z ON x.symbol = z.symbol AND x.k = z.k AND x.y AND NOT z.y GROUP BY 1, 2)",

@@ -23,3 +23,22 @@ def test_equals_all_scores(spark):
         got = topk.top_k(table, every=10, k=5)
         assert sorted(map(tuple, got.collect()), key=str) == slow(rows, 10, 5)
     assert topk.top_k(table.limit(0)).collect() == []
+
+
+def test_components_of_any_size_are_exact(spark):
+    big = float(1 << 40)
+    fits = [(1, [1.0, 1.0]), (2, [5e6, 1.0]), (3, [2.0, 1.0]), (4, [1.0, 0.0]), (10, [0.0, 2.0**30]), (13, [-1e300, 0.0]), (20, [1.0, 3.0])]
+    table = spark.createDataFrame(fits, "vec_id long, embedding array<double>").repartition(2)
+    got = topk.top_k(table, every=10, k=3)
+    assert sorted(map(tuple, got.collect()), key=str) == slow(fits, 10, 3)
+    far = [(10, [0.0, big]), (1, [1.0, big])]
+    try:
+        topk.top_k(spark.createDataFrame(far, table.schema), every=10, k=3).collect()
+    except Exception as error:
+        assert "does not fit a long" in str(error)
+    else:
+        raise AssertionError("a score beyond the longs went through")
+    # Sums that cancel: the partial sums leave the longs, the totals do not.
+    even = [(10, [big, big, 1.0]), (1, [big, -big, 3.0]), (2, [big, -big, 2.0]), (3, [-big, big, 5.0]), (4, [0.0, 0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(even, table.schema), every=10, k=3)
+    assert sorted(map(tuple, got.collect()), key=str) == slow(even, 10, 3)

@@ -94,6 +94,12 @@ def settle_new(predictions: DataFrame, settlements: DataFrame, bars: DataFrame)
     return settle(pending(predictions, settlements), bars).filter("status = 'SETTLED'")
 
 
+def settle_assets(predictions: DataFrame, settlements: DataFrame, bars: DataFrame, assets: DataFrame) -> DataFrame:
+    """``settle_new`` for the series of ``assets`` (symbol, interval) only: other predictions and bars are not looked at."""
+    keys = assets.select(*KEYS).distinct()
+    return settle_new(predictions.join(keys, [*KEYS], "left_semi"), settlements, bars.join(keys, [*KEYS], "left_semi"))
+
+
 def settlement_summary(settled: DataFrame) -> DataFrame:
     """Counts per market, symbol and horizon, with subtotals."""
     return settled.rollup("market", "symbol", "horizon").agg(

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeline.operators import features as feat, indicators as ind, signals as sg
+from tapeline.operators import features as feat, indicators as ind, ledger as ld, signals as sg
 from tapeline.plans.bars import BAR_SELECT, FAN_SQL, q
 from tapeline.plans.base import HOURLY_SQL, R, W, hourly, r, show, table, trades
+from tapeline.plans.ledger import SET, _predictions
 from tapeline.session import scratch
 from tapeline.sources import payloads as pl, sinks
-from tapeline.streaming import live
+from tapeline.streaming import live, settle
 
 INTERVALS = ("1m", "5m", "15m", "30m", "1h", "4h", "1d")
 
@@ -54,6 +55,25 @@ def stream_triggers(spark, d):
     return _run(spark, live.triggers(updates), "append", []).select("symbol", "ts", r("price").alias("price"), "reasons")
 
 
+def settle_stream(spark, d):
+    """Bars land in two drops; each is settled by its own run of the job, which goes on where the last one ended."""
+    folder = scratch(spark)
+    bars = hourly(spark, d)
+    said = _predictions(bars)
+    arrivals = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed/*")
+    for drop, rows in enumerate(("ts < '2024-01-15'", "ts >= '2024-01-15'")):
+        bars.filter(rows).repartition("symbol").write.parquet(f"{folder}/landed/{drop}")
+        settle.settle_available(arrivals, said, folder).awaitTermination()
+    return show(settle.settlements(spark, folder), "id", "actual", "actual_return", "correct")
+
+
+def settle_one_asset(spark, d):
+    bars = hourly(spark, d)
+    said = _predictions(bars)
+    assets = bars.filter("symbol = 'purchase'").select("symbol", "interval").distinct()
+    return show(ld.settle_assets(said, said.filter("prediction_time < '2024-01-08'").select("id"), bars, assets), "id", "actual", "actual_return")
+
+
 def bar_confirmation(spark, d):
     bars = live.confirm(live.live_bars(trades(spark, d).withColumn("trade_id", F.lpad(F.col("id").cast("string"), 20, "0")), ("1h",)))
     return bars.groupBy("symbol", "confirmed").agg(F.count(F.lit(1)).alias("bars"))
@@ -177,6 +197,8 @@ def cut_sql(extra: str = "") -> str:
 
 
 QUERIES = {
+    "settle_stream": (settle_stream, q(*SET, final=f"SELECT id, actual, {R('ar')} AS actual_return, actual = prediction AS correct FROM se WHERE status = 'SETTLED'")),
+    "settle_one_asset": (settle_one_asset, q(*SET, final=f"SELECT id, actual, {R('ar')} AS actual_return FROM se WHERE status = 'SETTLED' AND symbol = 'purchase' AND pt >= TIMESTAMP '2024-01-08'")),
     "stream_candles": (stream_candles, FAN_SQL),
     "stream_order_flow": (stream_order_flow, f"WITH t AS (SELECT event_type AS symbol, event_id % 2 = 0 AS b, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS sz FROM events) SELECT symbol, {R('sum(CASE WHEN b THEN sz ELSE 0 END)')} AS buy_volume, {R('sum(CASE WHEN b THEN 0 ELSE sz END)')} AS sell_volume, {R('sum(CASE WHEN b THEN sz ELSE -sz END)')} AS cumulative_delta, count(*) AS trade_count FROM t GROUP BY 1"),
     "stream_triggers": (stream_triggers, None),

@@ -133,17 +133,6 @@ def open_gaps(high, low, band_price, band_half, band_side):
     return sides, bottoms, tops, meets
 
 
-def spaced(positions, gap: int) -> list[bool]:
-    """Keep a position, then skip those less than ``gap`` after it."""
-    keep, free = [], None
-    for p in positions:
-        taken = free is None or p >= free
-        keep.append(taken)
-        if taken:
-            free = p + gap
-    return keep
-
-
 def fire_triggers(key, frames, state):
     """Fire on a new bar, a 0.3 % move, or a changed signal or structure, at most every 300 s.
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeline.functions import ranks
-from tapeline.functions.kernels import spaced
 from tapeline.functions.series import KEYS, ahead, back, by_time, clip, numbered, ratio, whole
 from tapeline.operators import signals as sg
+from tapeline.operators.barriers import first_passage, spaced_entries
 from tapeline.schema import INTERVAL_MINUTES
 from tapeline.session import cut
 
@@ -106,18 +105,6 @@ def metrics(curve: DataFrame, closed: DataFrame, cash: float, crypto: bool = Tru
         F.round(F.when(c("_loss") > 0, c("_gain") / c("_loss")).when(c("_gain") > 0, 999.0), 3).alias("profit_factor"))
 
 
-def keep_spaced(df: DataFrame, keys: tuple[str, ...], position: str, gap: Column) -> DataFrame:
-    """Rows that a greedy pass keeps: after one is taken, the next ``gap`` positions are skipped."""
-    slim = df.withColumn("_gap", gap)
-    schema = slim.schema
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(position)
-        return frame[spaced(frame[position].tolist(), int(frame["_gap"].iloc[0]))]
-
-    return slim.groupBy(*keys).applyInPandas(run, schema).drop("_gap")
-
-
 def threshold_and_hold(charted: DataFrame, threshold: float = 30.0, hold: int = 5) -> DataFrame:
     """Signals of "enter after RSI below threshold, leave after ``hold`` bars" for ``equity_curve``.
 
@@ -126,7 +113,7 @@ def threshold_and_hold(charted: DataFrame, threshold: float = 30.0, hold: int =
     """
     c = F.col
     df = numbered(charted).select(*KEYS, "n", "ts", "open", "high", "low", "close", "rsi").withColumn("strategy", F.lit("rsi_hold"))
-    entries = keep_spaced(df.filter(c("rsi") < threshold).select(*RUN_KEYS, "n"), RUN_KEYS, "n", F.lit(hold + 1))
+    entries = spaced_entries(df.filter(c("rsi") < threshold), RUN_KEYS, hold + 1)
     marks = (entries.select(*RUN_KEYS, "n", F.lit(True).alias("active"))
              .unionByName(entries.select(*RUN_KEYS, (c("n") + hold).alias("n"), F.lit(False).alias("active"))))
     return df.join(marks, [*RUN_KEYS, "n"], "left").drop("n", "rsi")
@@ -135,51 +122,37 @@ def threshold_and_hold(charted: DataFrame, threshold: float = 30.0, hold: int =
 # --- barrier back-tests of the strategy rules ---------------------------------------
 
 
-PATH_COLUMNS = ("open", "high", "low", "close", "unit", "l1_price", "h1_price", "n", "quality")
-
-
-def with_path(ctx: DataFrame, horizon: int) -> DataFrame:
-    """Attach the next ``horizon`` bars (from the next open on) and the series length."""
-    path = F.collect_list(F.struct("ts", "open", "high", "low", "close")).over(ahead(1, horizon))
-    return ctx.withColumns({"path": path, "bars": F.max("n").over(whole()) + 1})
-
-
 def barrier_trades(ctx: DataFrame, keys: list[str], *, fee: float = 0.001, slippage: float = 0.0005, horizon: int = 8,
                    first_bar: int | Column = 80, threshold: float | str = 24.0, group: tuple[str, ...] = RUN_KEYS,
-                   spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   spread: Callable[[DataFrame], DataFrame] | None = None, only: str | None = None) -> DataFrame:
     """Signal at close, entry at the next open, exit at stop, target or after ``horizon`` bars.
 
     Stop first when one bar touches both.  Trades of a run never overlap: after a
     trade the next ``horizon`` bars are skipped.  ``spread`` may tag or multiply the
-    decision bars (folds, parameters) once their paths are attached; its columns go into ``group``.
+    decision bars (folds, parameters) and may read ``bars``, the length of their series; its columns go into ``group``.  ``only`` names a column with the strategies a tagged bar may run.
     """
     c = F.col
-    ctx = with_path(ctx, horizon)
+    paths = ctx.select(*KEYS, "n", "ts", "high", "low", "close")
+    ctx = ctx.withColumns({"bars": F.max("n").over(whole()) + 1, "next_open": F.lead("open").over(by_time()), "next_ts": F.lead("ts").over(by_time())})
     ctx = ctx.filter((c("n") >= first_bar) & (c("n") < c("bars") - horizon - 1))
     found = sg.signals(spread(ctx) if spread else ctx, keys, threshold)
     found = found.filter("status = 'AVAILABLE' and signal <> 'HOLD'")
+    if only:
+        found = found.filter(F.array_contains(only, c("strategy")))
     side = F.when(c("signal") == "BUY", 1).otherwise(-1)
-    entry = F.element_at("path", 1)["open"] * (1 + side * slippage)
+    entry = c("next_open") * (1 + side * slippage)
     anchor = F.coalesce(F.when(side > 0, c("l1_price")).otherwise(c("h1_price")), entry - side * 1.5 * c("unit"))
-    found = found.select(*group, "n", "ts", "signal", side.alias("side"), entry.alias("entry"), anchor.alias("anchor"), "unit", "path")
+    found = cut(found.select(*group, "n", "ts", c("next_ts").alias("execution_ts"), "signal", side.alias("side"), entry.alias("entry"), anchor.alias("anchor"), "unit"))
     stop = F.when(c("side") > 0, F.least(c("anchor") - 0.2 * c("unit"), c("entry") - 0.75 * c("unit"))).otherwise(
         F.greatest(c("anchor") + 0.2 * c("unit"), c("entry") + 0.75 * c("unit")))
-    kept = keep_spaced(found.select(*group, "n"), group, "n", F.lit(horizon))
-    found = found.join(kept, [*group, "n"], "left_semi").withColumn("stop", stop)
+    found = found.join(spaced_entries(found, group, horizon), [*group, "n"], "left_semi").withColumn("stop", stop)
     found = found.withColumn("target", c("entry") + c("side") * F.abs(c("entry") - c("stop")) * 1.75)
-    stopped = F.filter("path", lambda b: F.when(c("side") > 0, b["low"] <= c("stop")).otherwise(b["high"] >= c("stop")))
-    reached = F.filter("path", lambda b: F.when(c("side") > 0, b["high"] >= c("target")).otherwise(b["low"] <= c("target")))
-    first = lambda hits: F.when(F.size(hits) > 0, F.element_at(hits, 1)["ts"])
-    found = found.withColumns({"_s": first(stopped), "_t": first(reached)})
-    outcome = (F.when(c("_s").isNotNull() & (c("_t").isNull() | (c("_s") <= c("_t"))), "SL").when(c("_t").isNotNull(), "TP").otherwise("TIME"))
-    exit_price = F.when(c("outcome") == "SL", c("stop")).when(c("outcome") == "TP", c("target")).otherwise(F.element_at("path", -1)["close"])
-    top, bottom = F.array_max(F.transform("path", lambda b: b["high"])), F.array_min(F.transform("path", lambda b: b["low"]))
-    found = found.withColumn("outcome", outcome).withColumn("exit", exit_price)
+    found = first_passage(found, paths, horizon)
     return found.select(
-        *group, "n", "ts", F.element_at("path", 1)["ts"].alias("execution_ts"), "signal", "side", "entry", "stop", "target", "exit", "outcome",
+        *group, "n", "ts", "execution_ts", "signal", "side", "entry", "stop", "target", "exit", "outcome",
         (c("side") * (c("exit") / c("entry") - 1) - 2 * fee - slippage).alias("ret"),
-        F.when(c("side") > 0, bottom / c("entry") - 1).otherwise(1 - top / c("entry")).alias("mae"),
-        F.when(c("side") > 0, top / c("entry") - 1).otherwise(1 - bottom / c("entry")).alias("mfe"))
+        F.when(c("side") > 0, c("bottom") / c("entry") - 1).otherwise(1 - c("top") / c("entry")).alias("mae"),
+        F.when(c("side") > 0, c("top") / c("entry") - 1).otherwise(1 - c("bottom") / c("entry")).alias("mfe"))
 
 
 def trade_curve(trade_list: DataFrame, cash: float, group: tuple[str, ...] = RUN_KEYS) -> DataFrame:
@@ -224,7 +197,7 @@ def walk_forward(ctx: DataFrame, keys: list[str], folds: int = 4, least: int = 1
     return trade_metrics(barrier_trades(ctx, keys, first_bar=0, group=group, spread=tag), group)
 
 
-def parameter_grid(bars: DataFrame, key: str, swings: tuple[int, ...] = (2, 3, 4), thresholds: tuple[float, ...] = (20.0, 28.0, 36.0), embargo: int = 12) -> DataFrame:
+def parameter_grid(bars: DataFrame, keys: list[str], swings: tuple[int, ...] = (2, 3, 4), thresholds: tuple[float, ...] = (20.0, 28.0, 36.0), embargo: int = 12) -> DataFrame:
     """Swing width and signal threshold by segment: screened on train, chosen on validation, judged out of sample.
 
     Returns every combination's train and validation metrics with its selection score, and the out-of-sample metrics
@@ -240,8 +213,8 @@ def parameter_grid(bars: DataFrame, key: str, swings: tuple[int, ...] = (2, 3, 4
         df = df.filter(c("bars") >= 360).withColumn("segment", part).filter("segment is not null")
         return df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
 
-    def trades(spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [barrier_trades(ctx, [key], first_bar=0, threshold="threshold", group=group, spread=spread) for ctx in widths.values()])
+    def trades(spread: Callable[[DataFrame], DataFrame], only: str | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [barrier_trades(ctx, keys, first_bar=0, threshold="threshold", group=group, spread=spread, only=only) for ctx in widths.values()])
 
     m = cut(trade_metrics(trades(chosen_on), group))
     at = lambda seg, name: F.max(F.when(c("segment") == seg, c(name)))
@@ -251,26 +224,28 @@ def parameter_grid(bars: DataFrame, key: str, swings: tuple[int, ...] = (2, 3, 4
     best = F.max(F.struct("selection_score", -c("swing"), -c("threshold"))).over(Window.partitionBy(*RUN_KEYS))
     locked = c("selection_score").isNotNull() & (F.struct("selection_score", -c("swing"), -c("threshold")) == best)
     combos = cut(combos.withColumn("locked", locked))
-    winners = combos.filter("locked").select(*KEYS, "swing", "threshold")
+    winners = combos.filter("locked").groupBy(*KEYS, "swing", "threshold").agg(F.collect_set("strategy").alias("allowed"))
 
     def held_out(df: DataFrame) -> DataFrame:
         df = df.filter((c("bars") >= 360) & (c("n") >= F.floor(c("bars") * 0.75) + embargo))
         return df.withColumn("segment", F.lit("out_of_sample")).join(winners, [*KEYS, "swing"])
 
-    judged = trade_metrics(trades(held_out), group)
+    judged = trade_metrics(trades(held_out, "allowed"), group)
     return m.unionByName(judged).join(combos, [*RUN_KEYS, "swing", "threshold"])
 
 
-def incremental(metrics_table: DataFrame, combined: str, baseline: str) -> DataFrame:
-    """What a combined strategy adds to a baseline, per series; judged only with five trades on both sides."""
-    c = F.col
+def incremental(metrics_table: DataFrame, variants: tuple[str, ...], baseline: str) -> DataFrame:
+    """What each variant adds to a baseline, per series; judged only with five trades on both sides. No trades count as zeros."""
+    c, zero = F.col, F.lit(0.0)
     names = ("win_rate", "expectancy", "sharpe", "max_drawdown")
-    a = metrics_table.filter(c("strategy") == combined).select(*KEYS, c("number_of_trades").alias("_na"), *[c(n).alias(f"_a_{n}") for n in names])
-    b = metrics_table.filter(c("strategy") == baseline).select(*KEYS, c("number_of_trades").alias("_nb"), *[c(n).alias(f"_b_{n}") for n in names])
-    j = a.join(b, list(KEYS), "full")
-    zero = F.lit(0.0)
-    return j.select(*KEYS, *[(F.coalesce(f"_a_{n}", zero) - F.coalesce(f"_b_{n}", zero)).alias(n) for n in names],
-                    F.when((F.coalesce("_na", F.lit(0)) >= 5) & (F.coalesce("_nb", F.lit(0)) >= 5), "VALIDATED").otherwise("NOT_VALIDATED").alias("status"))
+    side = lambda mark, *keys: metrics_table.select(*KEYS, *keys, c("number_of_trades").alias(f"{mark}trades"), *[c(n).alias(f"{mark}{n}") for n in names])
+    told = metrics_table.filter(c("strategy").isin(*variants, baseline)).select(*KEYS).distinct()
+    told = told.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    j = (told.join(side("_a_", c("strategy").alias("variant")), [*KEYS, "variant"], "left")
+         .join(side("_b_", "strategy").filter(c("strategy") == baseline).drop("strategy"), list(KEYS), "left"))
+    enough = (F.coalesce("_a_trades", F.lit(0)) >= 5) & (F.coalesce("_b_trades", F.lit(0)) >= 5)
+    return j.select(*KEYS, "variant", *[(F.coalesce(f"_a_{n}", zero) - F.coalesce(f"_b_{n}", zero)).alias(n) for n in names],
+                    F.when(enough, "VALIDATED").otherwise("NOT_VALIDATED").alias("status"))
 
 
 def leaderboard(runs: DataFrame) -> DataFrame:

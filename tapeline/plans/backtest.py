@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeline.functions.series import numbered
-from tapeline.operators import backtest as bt, features as feat, indicators as ind, signals as sg
+from tapeline.functions.series import back, numbered
+from tapeline.operators import backtest as bt, barriers as br, features as feat, indicators as ind, signals as sg
 from tapeline.plans.bars import RSI_CTES, TR, WIN, macd_ctes, q
 from tapeline.plans.base import DAILY_SQL, HOURLY_SQL, R, RUN, W, daily, hourly, roll, rows, show
 
@@ -85,10 +85,48 @@ def strategy_all(spark, d):
 
 def strategy_backtest(spark, d):
     from tapeline.session import cut
-    out = bt.barrier_trades(cut(_ctx(spark, d)), ["trend", "breakout", "macd", "donchian", "fib_fvg_bos"])
+    out = bt.barrier_trades(cut(_ctx(spark, d)), list(sg.FAMILIES))
     return show(out, "symbol", "strategy", "n", "ts", "execution_ts", "signal", "entry", "stop", "target", "exit", "outcome", "ret", "mae", "mfe")
 
 
+def _sided(spark, d):
+    """Every hourly bar with an ATR, bought and sold, between 1.5 ATR of loss and 2.5 ATR of gain."""
+    c = F.col
+    bars = numbered(ind.atr_sma(hourly(spark, d)))
+    said = bars.filter("atr is not null").withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    said = said.select("symbol", "interval", "n", "ts", "side", "close", "atr").withColumn("strategy", F.when(c("side") > 0, "long").otherwise("short"))
+    return bars, said.withColumns({"stop": c("close") - c("side") * 1.5 * c("atr"), "target": c("close") + c("side") * 2.5 * c("atr")})
+
+
+def barrier_outcomes(spark, d):
+    bars, said = _sided(spark, d)
+    return show(br.first_passage(said, bars, 48), "symbol", "n", "side", "stop", "target", "outcome", "exit_n", "exit", "bottom", "top")
+
+
+def spaced_entries(spark, d):
+    bars = numbered(hourly(spark, d))
+    rising = bars.withColumn("up", F.col("close") > back("close")).filter("up")
+    return br.spaced_entries(rising, ("symbol", "interval"), 24).select("symbol", "n")
+
+
+def _sided_runs(spark, d):
+    bars, said = _sided(spark, d)
+    c = F.col
+    kept = said.join(br.spaced_entries(said, bt.RUN_KEYS, 24), [*bt.RUN_KEYS, "n"], "left_semi")
+    done = br.first_passage(kept, bars, 24).filter("outcome is not null")
+    low, high = c("bottom") / c("close") - 1, c("top") / c("close") - 1
+    return done.withColumns({"ret": c("side") * (c("exit") / c("close") - 1) - 0.0025, "mae": F.when(c("side") > 0, low).otherwise(-high), "mfe": F.when(c("side") > 0, high).otherwise(-low)})
+
+
+def barrier_metrics(spark, d):
+    return show(bt.trade_metrics(_sided_runs(spark, d)), "symbol", "strategy", "number_of_trades", "win_rate", "profit_factor", "expectancy", "average_win", "average_loss", "max_drawdown",
+                "sharpe", "sortino", "calmar", "mae", "mfe", "return_percent", calmar=5, return_percent=4)
+
+
+def barrier_curve(spark, d):
+    return show(bt.trade_curve(_sided_runs(spark, d), 100000.0), "symbol", "strategy", "n", "equity", "drawdown", equity=1)
+
+
 def strategy_correlation(spark, d):
     return show(sg.correlation_matrix(ind.strategy(hourly(spark, d), False)), "symbol", "left", "right", "samples", "correlation")
 
@@ -174,7 +212,43 @@ PM_SQL = q(*_ls("0.1"), "n AS (SELECT *, gross - turnover * 0.0008 AS net FROM l
            final=f"""SELECT k AS observations, {R('tot', 5)} AS total_return, {R('ann', 5)} AS annualized_return, {R('s * sqrt(50)')} AS volatility, {R('m / s * sqrt(50)')} AS sharpe, {R('m / dn * sqrt(50)')} AS sortino,
   {R('dd')} AS maximum_drawdown, {R('ann / abs(dd)', 5)} AS calmar, {R('tv')} AS turnover, {R('tc')} AS transaction_cost FROM h""")
 
+SIDED = [HOURLY_SQL, ATR, "b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n FROM a0)",
+         "e AS (SELECT symbol, n, ts, side, close, close - side * 1.5 * atr AS stop, close + side * 2.5 * atr AS target FROM b, (SELECT unnest([1, -1]) AS side) WHERE atr IS NOT NULL)"]
+
+
+def passage_sql(entries: str, horizon: int) -> list[str]:
+    """First touch by joining every entry with its whole path."""
+    touch = "CASE WHEN side > 0 THEN p.low <= stop OR p.high >= target ELSE p.high >= stop OR p.low <= target END"
+    return [f"""h AS (SELECT e.symbol, e.n, side, stop, target, e.close, min(p.n) FILTER ({touch}) AS hit, count(p.n) AS k, min(p.low) AS bottom, max(p.high) AS top, arg_max(p.close, p.n) AS fin
+   FROM {entries} e LEFT JOIN b p ON p.symbol = e.symbol AND p.n BETWEEN e.n + 1 AND e.n + {horizon} GROUP BY 1, 2, 3, 4, 5, 6)""",
+            f"""o AS (SELECT h.*, CASE WHEN hit IS NULL THEN CASE WHEN k = {horizon} THEN 'TIME' END WHEN side > 0 AND p.low <= stop OR side < 0 AND p.high >= stop THEN 'SL' ELSE 'TP' END AS outcome,
+   coalesce(hit, CASE WHEN k = {horizon} THEN h.n + {horizon} END) AS exit_n FROM h LEFT JOIN b p ON p.symbol = h.symbol AND p.n = h.hit)""",
+            "x AS (SELECT *, CASE outcome WHEN 'SL' THEN stop WHEN 'TP' THEN target WHEN 'TIME' THEN fin END AS leave FROM o)"]
+
+
+def spaced_sql(rows: str, gap: int, keys: str = "symbol") -> list[str]:
+    """Greedy pass by recursion over each row's successor."""
+    same = " AND ".join(f"a.{k} = z.{k}" for k in keys.split(", "))
+    own = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return [f"nx AS (SELECT {own}, a.n, min(z.n) AS m FROM {rows} a LEFT JOIN {rows} z ON {same} AND z.n >= a.n + {gap} GROUP BY ALL)",
+            f"g AS (SELECT {keys}, min(n) AS n FROM {rows} GROUP BY ALL UNION ALL SELECT {own.replace('a.', 'nx.')}, nx.m FROM g JOIN nx USING ({keys}, n) WHERE nx.m IS NOT NULL)"]
+
+
+SIDED_RUNS = [*SIDED, *spaced_sql("e", 24, "symbol, side"), "ek AS (SELECT e.* FROM e JOIN g USING (symbol, side, n))", *passage_sql("ek", 24),
+              "t0 AS (SELECT symbol, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS strategy, n, side * (leave / close - 1) - 0.0025 AS ret, "
+              "CASE WHEN side > 0 THEN bottom / close - 1 ELSE 1 - top / close END AS mae, CASE WHEN side > 0 THEN top / close - 1 ELSE 1 - bottom / close END AS mfe FROM x WHERE outcome IS NOT NULL)",
+              "t1 AS (SELECT *, product(1 + ret) OVER w AS growth FROM t0 WINDOW w AS (PARTITION BY symbol, strategy ORDER BY n))",
+              "t2 AS (SELECT *, 1 - growth / greatest(1, max(growth) OVER (PARTITION BY symbol, strategy ORDER BY n)) AS drawdown FROM t1)"]
+BARRIER_METRICS_SQL = q(*SIDED_RUNS, "m AS (SELECT symbol, strategy, count(*) AS k, avg(ret) AS e, stddev_samp(ret) AS s, stddev_samp(ret) FILTER (ret < 0) AS dn, max(drawdown) AS dd, arg_max(growth, n) AS fin, avg(mae) AS mae, avg(mfe) AS mfe, "
+                        "avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS wr, sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret <= 0) AS pf, coalesce(avg(ret) FILTER (ret > 0), 0) AS aw, coalesce(avg(ret) FILTER (ret <= 0), 0) AS al FROM t2 GROUP BY 1, 2)",
+                        final=f"""SELECT symbol, strategy, k AS number_of_trades, {R('wr')} AS win_rate, {R('pf')} AS profit_factor, {R('e')} AS expectancy, {R('aw')} AS average_win, {R('al')} AS average_loss, {R('dd')} AS max_drawdown,
+  {R('coalesce(e / nullif(s, 0) * sqrt(k), 0)')} AS sharpe, {R('coalesce(e / nullif(dn, 0) * sqrt(k), 0)')} AS sortino, {R('e / nullif(dd, 0)', 5)} AS calmar, {R('mae')} AS mae, {R('mfe')} AS mfe, {R('(fin - 1) * 100', 4)} AS return_percent FROM m""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 QUERIES = {
+    "barrier_outcomes": (barrier_outcomes, q(*SIDED, *passage_sql("e", 48), final=f"SELECT symbol, n, side, {R('stop')} AS stop, {R('target')} AS target, outcome, exit_n, {R('leave')} AS exit, {R('bottom')} AS bottom, {R('top')} AS top FROM x")),
+    "spaced_entries": (spaced_entries, q(HOURLY_SQL, f"b AS (SELECT symbol, row_number() {W} - 1 AS n, close > lag(close) {W} AS up FROM c)", "k AS (SELECT * FROM b WHERE up)", *spaced_sql("k", 24), final="SELECT symbol, n FROM g").replace("WITH ", "WITH RECURSIVE ", 1)),
+    "barrier_metrics": (barrier_metrics, BARRIER_METRICS_SQL),
+    "barrier_curve": (barrier_curve, q(*SIDED_RUNS, final=f"SELECT symbol, strategy, n, {R('round(100000 * growth, 2)', 1)} AS equity, {R('drawdown')} AS drawdown FROM t2").replace("WITH ", "WITH RECURSIVE ", 1)),
     "backtest_equity": (backtest_equity, f"{EQ_HEAD} SELECT symbol, strategy, ts, qty > 0 AS held, {R('equity', 3)} AS equity, {R('(peak - equity) / peak')} AS drawdown, {R('100000 * close / c0', 3)} AS benchmark FROM s"),
     "backtest_trades": (backtest_trades, f"{EQ_HEAD}, {TRADES_SQL} SELECT symbol, strategy, CAST(trade AS BIGINT) AS trade, entry_ts, exit_ts, {R('pnl', 3)} AS pnl FROM tr2"),
     "backtest_metrics": (backtest_metrics, METRICS_SQL),

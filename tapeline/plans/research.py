@@ -15,7 +15,7 @@ def _ctx(spark, d):
 
 
 def _runs(spark, d):
-    return cut(bt.barrier_trades(_ctx(spark, d), ["trend", "macd", "fib_fvg_bos"]))
+    return cut(bt.barrier_trades(_ctx(spark, d), list(sg.FAMILIES)))
 
 
 def strategy_risk_plans(spark, d):
@@ -52,15 +52,15 @@ def strategy_trade_curve(spark, d):
 
 
 def strategy_walk_forward(spark, d):
-    return show(bt.walk_forward(_ctx(spark, d), ["trend", "macd"]), "symbol", "strategy", "fold", "number_of_trades", "win_rate", "expectancy", "sharpe", "max_drawdown")
+    return show(bt.walk_forward(_ctx(spark, d), list(sg.FAMILIES)), "symbol", "strategy", "fold", "number_of_trades", "win_rate", "expectancy", "sharpe", "max_drawdown")
 
 
 def strategy_parameter_grid(spark, d):
-    return show(bt.parameter_grid(hourly(spark, d), "macd"), "symbol", "swing", "threshold", "segment", "number_of_trades", "expectancy", "sharpe", "max_drawdown", "selection_score", "locked")
+    return show(bt.parameter_grid(hourly(spark, d), list(sg.FAMILIES)), "symbol", "strategy", "swing", "threshold", "segment", "number_of_trades", "expectancy", "sharpe", "max_drawdown", "selection_score", "locked")
 
 
 def strategy_incremental(spark, d):
-    return show(bt.incremental(bt.trade_metrics(_runs(spark, d)), "fib_fvg_bos", "trend"), "symbol", "win_rate", "expectancy", "sharpe", "max_drawdown", "status")
+    return show(bt.incremental(cut(bt.trade_metrics(_runs(spark, d))), ("fibonacci", "fvg", "bos", "fib_fvg_bos"), "trend"), "symbol", "variant", "win_rate", "expectancy", "sharpe", "max_drawdown", "status")
 
 
 def strategy_leaderboard(spark, d):
@@ -73,7 +73,7 @@ def strategy_leaderboard(spark, d):
 def multi_timeframe(spark, d):
     bars = hourly(spark, d)
     frames = bars.drop("ticks").unionByName(candles.resample(bars, "4h").drop("ticks"))
-    agreed = sg.confluence(sg.signals(sg.last_bar(cut(sg.context(sg.long_enough(frames)))), ["trend", "breakout", "fibonacci", "bos", "fvg", "fib_fvg_bos"]))
+    agreed = sg.confluence(sg.signals(sg.last_bar(cut(sg.context(sg.long_enough(frames))))))
     return show(sg.multi_timeframe(agreed), "symbol", "up", "down", "frames", "alignment", "conflict", "confidence_factor")
 
 

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import walk_frame
-from tapeline.functions.kernels import expanding_regularity, expanding_share, open_gaps, spaced, stop_and_reverse, structure_breaks
+from tapeline.functions.kernels import expanding_regularity, expanding_share, open_gaps, stop_and_reverse, structure_breaks
 from tapeline.operators import backtest as bt, indicators as ind, signals as sg, structure as st
 
 
@@ -14,7 +14,6 @@ def test_kernels_against_plain_loops():
     gaps = np.r_[np.nan, rng.integers(1, 9, 60).astype(float)]
     want = [0.0] + [float(np.mean(gaps[1:i + 1] <= 3 * np.median(gaps[1:i + 1]))) for i in range(1, 61)]
     assert np.allclose(expanding_regularity(gaps), want)
-    assert spaced([1, 3, 5, 6, 9], 4) == [True, False, True, False, True]
     f = walk_frame(60)
     levels = stop_and_reverse(f.high.to_numpy(), f.low.to_numpy(), 0.02, 0.2)
     assert levels[0] == f.low[0] and len(levels) == 60

@@ -49,6 +49,42 @@ def stream_order_flow(spark, d):
     return show(out, "symbol", "buy_volume", "sell_volume", "cumulative_delta", "trade_count")
 
 
+def _feeds(spark, d):
+    """Quotes and books as two feeds that land in two drops.
+
+    Some rows land twice, some come again two weeks late, and each feed ends with a heartbeat far ahead that closes its state.
+    """
+    folder = scratch(spark)
+    e = table(spark, d, "events").withColumnRenamed("event_type", "symbol")
+    price = F.col("value").cast("string")
+    feeds = {"quotes": ("event_id % 2 = 0", ["symbol", "ts", F.col("value").alias("price"), F.col("user_id").cast("double").alias("volume")]),
+             "books": ("event_id % 2 = 1", ["symbol", "ts", F.array(F.array(price, F.lit("1"))).alias("bids"),
+                                            F.when(F.col("user_id") % 5 != 0, F.array(F.array((F.col("value") + 1).cast("string"), F.lit("2")))).alias("asks")])}
+    first, second = "ts < '2024-01-15'", "ts >= '2024-01-15'"
+    for name, (mine, columns) in feeds.items():
+        rows = e.filter(mine)
+        beat = rows.agg(F.max(F.struct(*rows.columns)).alias("_r")).select("_r.*").withColumns({"symbol": F.lit("~heartbeat"), "ts": F.lit("2034-01-01").cast("timestamp")})
+        late = rows.filter("ts < '2024-01-10' and event_id % 50 < 2").withColumn("value", F.col("value") + 1000)
+        drops = (rows.filter(first), rows.filter(second).unionByName(rows.filter(f"{second} and event_id % 7 = 0")).unionByName(late), beat)
+        for i, drop in enumerate(drops):
+            yield name, i, drop.select(*columns), f"{folder}/{name}"
+
+
+def stream_quotes(spark, d):
+    out = scratch(spark)
+    landed = list(_feeds(spark, d))
+    folders, schemas = ({name: x for name, _, x in rows} for rows in (((n, 0, f) for n, _, _, f in landed), ((n, 0, df.schema) for n, _, df, _ in landed)))
+    feed = {name: spark.readStream.schema(schemas[name]).option("pathGlobFilter", "*.parquet").parquet(f"{folders[name]}/*") for name in folders}
+    stream = live.quotes_with_books(feed["quotes"], feed["books"], "1 hour")
+    for drop in range(3):
+        for name, i, df, folder in landed:
+            if i == drop:
+                df.write.parquet(f"{folder}/{i}")
+        (stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
+         .format("parquet").option("path", f"{out}/rows").start().awaitTermination())
+    return show(spark.read.parquet(f"{out}/rows").filter("symbol <> '~heartbeat'"), "symbol", "ts", "price", "volume", "book_ts", "bid", "ask")
+
+
 def stream_triggers(spark, d):
     t = _trade_stream(spark, d)
     updates = t.select("symbol", "ts", (F.floor(F.unix_seconds("ts") / 86400)).alias("bar"), F.col("px").alias("price"), F.col("side").alias("signal"), F.lit("s").alias("structure"))
@@ -201,6 +237,10 @@ QUERIES = {
     "settle_one_asset": (settle_one_asset, q(*SET, final=f"SELECT id, actual, {R('ar')} AS actual_return FROM se WHERE status = 'SETTLED' AND symbol = 'purchase' AND pt >= TIMESTAMP '2024-01-08'")),
     "stream_candles": (stream_candles, FAN_SQL),
     "stream_order_flow": (stream_order_flow, f"WITH t AS (SELECT event_type AS symbol, event_id % 2 = 0 AS b, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS sz FROM events) SELECT symbol, {R('sum(CASE WHEN b THEN sz ELSE 0 END)')} AS buy_volume, {R('sum(CASE WHEN b THEN 0 ELSE sz END)')} AS sell_volume, {R('sum(CASE WHEN b THEN sz ELSE -sz END)')} AS cumulative_delta, count(*) AS trade_count FROM t GROUP BY 1"),
+    "stream_quotes": (stream_quotes, f"""WITH t AS (SELECT DISTINCT event_type AS symbol, ts, value AS price, CAST(user_id AS DOUBLE) AS volume FROM events WHERE event_id % 2 = 0),
+  b AS (SELECT event_type AS symbol, ts AS book_ts, value AS bid, CASE WHEN user_id % 5 <> 0 THEN value + 1 END AS ask FROM events WHERE event_id % 2 = 1)
+  SELECT t.symbol, ts, {R('price')} AS price, volume, book_ts, {R('bid')} AS bid, {R('ask')} AS ask FROM t LEFT JOIN b ON b.symbol = t.symbol AND book_ts <= ts AND book_ts > ts - INTERVAL 1 HOUR
+  QUALIFY row_number() OVER (PARTITION BY t.symbol, ts, price, volume ORDER BY book_ts DESC NULLS LAST, bid DESC NULLS LAST, ask DESC NULLS LAST) = 1"""),
     "stream_triggers": (stream_triggers, None),
     "bar_confirmation": (bar_confirmation, q(HOURLY_SQL, f"k AS (SELECT symbol, lead(ts) {W} IS NOT NULL AS confirmed FROM c)", final="SELECT symbol, confirmed, count(*) AS bars FROM k GROUP BY 1, 2")),
     "feed_health": (feed_health, "WITH k AS (SELECT event_type AS symbol, epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)) AS a FROM events GROUP BY 1) SELECT symbol, CASE WHEN symbol = 'error' THEN 'MARKET_CLOSED' WHEN a > 4800 THEN 'DISCONNECTED' WHEN a > 2400 THEN 'STALE' WHEN a > 1200 THEN 'WARNING' ELSE 'CONNECTED' END AS status FROM k"),

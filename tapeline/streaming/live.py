@@ -93,6 +93,23 @@ def ticker_rows(raw: DataFrame, books: DataFrame | None = None) -> DataFrame:
     return quotes.join(best, "symbol", "left")
 
 
+def quotes_with_books(quotes: DataFrame, books: DataFrame, within: str = "5 seconds", delay: str = "10 minutes") -> DataFrame:
+    """Each distinct quote with the best bid and ask of the newest book at most ``within`` older than it; NULL where none came.
+
+    Needs symbol, ts, price, volume (more columns stay) and symbol, ts, bids, asks (lists of [price, size] as text).  On
+    streams both sides keep state for ``delay`` and ``within`` only, and a quote leaves once both watermarks have passed it;
+    later rows are dropped.  Of books with one stamp the higher bid, then the higher ask, counts; a side without a number is NULL.
+    """
+    c = F.col
+    kept = [x for x in quotes.columns if x != "ts"]
+    best = lambda side: F.get(F.get(side, F.lit(0)), F.lit(0)).try_cast("double")
+    seen = books.select(c("symbol").alias("_symbol"), c("ts").alias("book_ts"), best("bids").alias("_bid"), best("asks").alias("_ask")).withWatermark("book_ts", delay)
+    near = F.expr(f"symbol = _symbol AND book_ts <= ts AND book_ts > ts - INTERVAL {within}")
+    paired = unique_tickers(quotes, delay).join(seen, near, "left_outer")
+    newest = F.max(F.when(c("book_ts").isNotNull(), F.struct("book_ts", "_bid", "_ask")))
+    return paired.groupBy(*kept, "ts").agg(newest.alias("_best")).select(*kept, "ts", c("_best.book_ts").alias("book_ts"), c("_best._bid").alias("bid"), c("_best._ask").alias("ask"))
+
+
 def latency(rows: DataFrame, now: F.Column | None = None) -> DataFrame:
     """Milliseconds from event to processing; on a stream ``now`` defaults to the batch's clock."""
     return rows.withColumn("latency_ms", F.unix_millis(now if now is not None else F.current_timestamp()) - F.unix_millis("ts"))

@@ -133,34 +133,6 @@ def open_gaps(high, low, band_price, band_half, band_side):
     return sides, bottoms, tops, meets
 
 
-def fire_triggers(key, frames, state):
-    """Fire on a new bar, a 0.3 % move, or a changed signal or structure, at most every 300 s.
-
-    State per symbol: bar, price of the last firing (none before it), signal, structure, time of the last firing.
-    """
-    import pandas as pd
-
-    bar, last, signal, structure, fired = state.get if state.exists else (None, None, None, None, None)
-    out = []
-    for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-        when = row.ts.timestamp()
-        reasons = []
-        if bar is not None and int(row.bar) != bar:
-            reasons.append("NEW_BAR")
-        if last and abs(row.price / last - 1) >= 0.003:
-            reasons.append("PRICE_MOVE")
-        if signal is not None and row.signal != signal:
-            reasons.append("STRATEGY_STATE")
-        if structure is not None and row.structure != structure:
-            reasons.append("STRUCTURE")
-        bar, signal, structure = int(row.bar), row.signal, row.structure
-        if reasons and (fired is None or when - fired >= 300):
-            out.append((key[0], row.ts, float(row.price), "|".join(reasons)))
-            fired, last = when, float(row.price)
-    state.update((bar, last, signal, structure, fired))
-    yield pd.DataFrame(out, columns=["symbol", "ts", "price", "reasons"])
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 

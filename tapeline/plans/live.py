@@ -6,13 +6,13 @@ the source operators, so their work grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from tapeline.operators import features as feat, indicators as ind, ledger as ld, signals as sg
+from tapeline.operators import features as feat, indicators as ind, ledger as ld, signals as sg, structure as st
 from tapeline.plans.bars import BAR_SELECT, FAN_SQL, q
 from tapeline.plans.base import HOURLY_SQL, R, W, hourly, r, show, table, trades
 from tapeline.plans.ledger import SET, _predictions
-from tapeline.session import scratch
+from tapeline.session import cut, scratch
 from tapeline.sources import payloads as pl, sinks
 from tapeline.streaming import live, settle
 
@@ -85,10 +85,45 @@ def stream_quotes(spark, d):
     return show(spark.read.parquet(f"{out}/rows").filter("symbol <> '~heartbeat'"), "symbol", "ts", "price", "volume", "book_ts", "bid", "ask")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _watch(spark, d, watch):
+    """Run a watcher over the trades, which land in two drops; a heartbeat far ahead closes the state."""
+    out, landed = scratch(spark), scratch(spark)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"))
+    beat = rows.agg(F.lit("~heartbeat").alias("symbol"), F.lit("2034-01-01").cast("timestamp").alias("ts"), F.max("price").alias("price"))
+    stream = watch(spark.readStream.schema(rows.schema).parquet(f"{landed}/*"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        for i, drop in enumerate((rows.filter("ts < '2024-01-15'"), rows.filter("ts >= '2024-01-15'"), beat)):
+            drop.write.parquet(f"{landed}/{i}")
+            (stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
+             .format("parquet").option("path", f"{out}/rows").start().awaitTermination())
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{out}/rows").filter("symbol <> '~heartbeat'")
+
+
+def known_states(spark, d):
+    """Of each hourly bar what its last complete predecessor said: trend side and structure digest."""
+    bars = st.structure_state(ind.sx_atr(hourly(spark, d)))
+    sides = ind.compose(hourly(spark, d), ind._ma((5, 20))).select("symbol", "ts", F.when(F.col("ma5") > F.col("ma20"), "UP").when(F.col("ma5") < F.col("ma20"), "DOWN").alias("_side"))
+    before = Window.partitionBy("symbol").orderBy("ts")
+    return bars.join(sides, ["symbol", "ts"]).select("symbol", F.col("n").alias("bar"), F.col("ts").alias("bar_ts"), F.lag("_side").over(before).alias("signal"), F.lag("fingerprint").over(before).alias("structure"))
+
+
 def stream_triggers(spark, d):
-    t = _trade_stream(spark, d)
-    updates = t.select("symbol", "ts", (F.floor(F.unix_seconds("ts") / 86400)).alias("bar"), F.col("px").alias("price"), F.col("side").alias("signal"), F.lit("s").alias("structure"))
-    return _run(spark, live.triggers(updates), "append", []).select("symbol", "ts", r("price").alias("price"), "reasons")
+    known = cut(known_states(spark, d))
+    hour = F.date_trunc("hour", "ts").alias("bar_ts")
+    out = _watch(spark, d, lambda s: live.triggers(s.select("*", hour).join(known, ["symbol", "bar_ts"], "left")))
+    return out.select("symbol", "ts", r("price").alias("price"), "reasons")
+
+
+def stream_silence(spark, d):
+    return _watch(spark, d, lambda s: live.silence(s, 600.0))
 
 
 def settle_stream(spark, d):
@@ -242,6 +277,10 @@ QUERIES = {
   SELECT t.symbol, ts, {R('price')} AS price, volume, book_ts, {R('bid')} AS bid, {R('ask')} AS ask FROM t LEFT JOIN b ON b.symbol = t.symbol AND book_ts <= ts AND book_ts > ts - INTERVAL 1 HOUR
   QUALIFY row_number() OVER (PARTITION BY t.symbol, ts, price, volume ORDER BY book_ts DESC NULLS LAST, bid DESC NULLS LAST, ask DESC NULLS LAST) = 1"""),
     "stream_triggers": (stream_triggers, None),
+    "stream_silence": (stream_silence, """WITH k AS (SELECT DISTINCT event_type AS symbol, date_trunc('second', ts) AS s FROM events), l AS (SELECT *, lead(s) OVER w AS nxt, lag(s) OVER w AS old FROM k WINDOW w AS (PARTITION BY symbol ORDER BY s)),
+  m AS (SELECT unnest([2, 4, 8]) AS f, unnest(['WARNING', 'STALE', 'DISCONNECTED']) AS status)
+  SELECT symbol, s + to_seconds(600 * f) AS ts, status FROM l, m WHERE nxt IS NULL OR nxt > s + to_seconds(600 * f)
+  UNION ALL SELECT symbol, s, 'CONNECTED' FROM l WHERE old IS NULL OR s > old + to_seconds(1200)"""),
     "bar_confirmation": (bar_confirmation, q(HOURLY_SQL, f"k AS (SELECT symbol, lead(ts) {W} IS NOT NULL AS confirmed FROM c)", final="SELECT symbol, confirmed, count(*) AS bars FROM k GROUP BY 1, 2")),
     "feed_health": (feed_health, "WITH k AS (SELECT event_type AS symbol, epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)) AS a FROM events GROUP BY 1) SELECT symbol, CASE WHEN symbol = 'error' THEN 'MARKET_CLOSED' WHEN a > 4800 THEN 'DISCONNECTED' WHEN a > 2400 THEN 'STALE' WHEN a > 1200 THEN 'WARNING' ELSE 'CONNECTED' END AS status FROM k"),
     "event_latency": (event_latency, "SELECT event_type AS symbol, min(epoch_ms(TIMESTAMP '2024-02-01') - epoch_us(ts) // 1000) AS best, max(epoch_ms(TIMESTAMP '2024-02-01') - epoch_us(ts) // 1000) AS worst FROM events GROUP BY 1"),

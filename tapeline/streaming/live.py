@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tapeline.functions.kernels import fire_triggers
+from tapeline.functions.watchers import SILENCE, TRIGGERS, Silence, Triggers
 from tapeline.schema import INTERVAL_MINUTES
 
 INTERVALS = tuple(INTERVAL_MINUTES)
@@ -124,13 +123,26 @@ def health(last_seen: DataFrame, now, period: float = 2.0) -> DataFrame:
     return last_seen.withColumn("status", state)
 
 
-TRIGGERS = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("price", T.DoubleType()), T.StructField("reasons", T.StringType())])
-TRIGGER_STATE = T.StructType([T.StructField("bar", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("signal", T.StringType()), T.StructField("structure", T.StringType()), T.StructField("fired", T.DoubleType())])
+def per_second(updates: DataFrame, *columns: str, delay: str = "10 minutes") -> DataFrame:
+    """The newest values of each symbol's seconds, the pace at which anything downstream looks; later rows are dropped.
+
+    On a stream in append mode a second leaves once the watermark has passed it, so state functions see a symbol's seconds
+    in order from batch to batch and at most one row each, whatever the number of trades.  Equal stamps: greatest values.
+    """
+    c = F.col
+    spread = updates.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "1 second").alias("_second")).agg(F.max(F.struct("ts", *columns)).alias("_last"))
+    return spread.select("symbol", F.window_time("_second").alias("event_ts"), c("_second.start").alias("second"), *[c(f"_last.{x}").alias(x) for x in columns])
+
+
+def triggers(updates: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Recomputation triggers per symbol; needs symbol, ts, bar (number of its bar), price, signal, structure."""
+    steps = per_second(updates, "price", "bar", "signal", "structure", delay=delay)
+    return steps.groupBy("symbol").transformWithState(Triggers(), TRIGGERS, "Append", "None")
 
 
-def triggers(updates: DataFrame) -> DataFrame:
-    """Recomputation triggers per symbol; needs symbol, ts, bar (epoch of its bar), price, signal, structure."""
-    return updates.groupBy("symbol").applyInPandasWithState(fire_triggers, TRIGGERS, TRIGGER_STATE, "append", GroupStateTimeout.NoTimeout)
+def silence(updates: DataFrame, period: float = 2.0, delay: str = "10 minutes") -> DataFrame:
+    """Changes of a feed's state: CONNECTED at its first row and after silence, WARNING, STALE and DISCONNECTED by timer."""
+    return per_second(updates, delay=delay).groupBy("symbol").transformWithState(Silence(int(period * 1000)), SILENCE, "Append", "EventTime")
 
 
 def upsert_bars(stored: DataFrame, fresh: DataFrame, keep: int = 1200) -> DataFrame:
@@ -147,6 +159,6 @@ def upsert_bars(stored: DataFrame, fresh: DataFrame, keep: int = 1200) -> DataFr
 def recompute(changed: DataFrame, stored: DataFrame, transform: Callable[[DataFrame], DataFrame], least: int = 60) -> DataFrame:
     """Run a batch transform over the stored bars of the series a micro-batch touched (for foreachBatch)."""
     keys = changed.select("symbol", "interval").distinct()
-    rows = stored.join(F.broadcast(keys), ["symbol", "interval"], "left_semi").withColumnRenamed("bar_ts", "ts")
+    rows = stored.join(keys, ["symbol", "interval"], "left_semi").withColumnRenamed("bar_ts", "ts")
     sized = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol", "interval"))).filter(F.col("_n") >= least).drop("_n")
     return transform(sized)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeline.functions import ranks
 from tapeline.functions.series import KEYS, back, by_time, change, clip, corr, latest, max_n, numbered, ratio, std_n, trail, whole
 from tapeline.operators import candles
+from tapeline.operators.comoments import pair_correlation
 from tapeline.session import cut
 
 REVERSED = ("symbol", "interval")
@@ -223,6 +224,33 @@ def cross_correlation(bars: DataFrame, target: str, window: int = 120, least: in
             .filter(F.col("samples") >= least).withColumn("target", F.lit(target)))
 
 
+def momentum_environment(bars: DataFrame, target: str, least: int = 30, newest: int = 24) -> DataFrame:
+    """Momentum of a target and of its peers (those with ``least`` shared stamps) over the newest stamps, and what both say.
+
+    The target's counts its own newest returns, the peers' is the mean of each of the newest stamps of all, summed.  One
+    row; none without ``least`` returns of the target.
+    """
+    c = F.col
+    rets = returns_of(bars).filter("ret is not null")
+    mine = rets.filter(c("symbol") == target)
+    usable = (rets.filter(c("symbol") != target).join(mine.select("ts"), "ts").groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).filter(c("_n") >= least).select("symbol"))
+    stamps = rets.select("ts").distinct().orderBy(F.desc("ts")).limit(newest)
+    own = mine.orderBy(F.desc("ts")).limit(newest).agg(F.sum("ret").alias("target_momentum"))
+    peers = rets.join(usable, "symbol").join(stamps, "ts").groupBy("ts").agg(F.avg("ret").alias("_m")).agg(F.coalesce(F.sum("_m"), F.lit(0.0)).alias("peer_momentum"))
+    samples = mine.agg(F.count(F.lit(1)).alias("samples")).filter(c("samples") >= least)
+    both = samples.crossJoin(own).crossJoin(peers)
+    side = (F.when((c("target_momentum") > 0) & (c("peer_momentum") > 0), "FAVORABLE").when((c("target_momentum") < 0) & (c("peer_momentum") < 0), "UNFAVORABLE").otherwise("NEUTRAL"))
+    return both.select(F.lit(target).alias("target"), "samples", "target_momentum", "peer_momentum", side.alias("environment"))
+
+
+def portfolio_correlation(bars: DataFrame, weights: DataFrame, least: int = 60, width: int = 64) -> DataFrame:
+    """Correlation of every pair of holdings over the stamps that all holdings share; none with fewer than ``least``."""
+    held = weights.select("symbol").distinct()
+    rets = returns_of(bars).join(held, "symbol")
+    shared = rets.groupBy("ts").agg(F.count(F.lit(1)).alias("_k")).crossJoin(held.agg(F.count(F.lit(1)).alias("_n"))).filter("_k = _n").select("ts")
+    return pair_correlation(rets.join(shared, "ts", "left_semi"), least=least, width=width)
+
+
 def anomalies(charted: DataFrame) -> DataFrame:
     """Last value of volume, absolute return and volatility against its newest 120 (needs return_1, volatility)."""
     df = latest_window(charted, {"volume_spike": F.col("volume"), "price_spike": F.abs("return_1"), "volatility_spike": F.col("volatility")}, 120)

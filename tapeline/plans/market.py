@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeline.operators import indicators as ind, market as mk
+from tapeline.operators.comoments import pair_correlation as pair_correlation_of
 from tapeline.plans.bars import TR, WIN, q
 from tapeline.plans.base import DAILY_SQL, HOURLY_SQL, R, RUN, W, bars_sql, daily, hourly, r, roll, rows, show
 
@@ -41,6 +42,19 @@ def portfolio_risk(spark, d):
     return show(mk.portfolio_risk(bars, _weights(bars)), "samples", "var_95", "cvar_95", "volatility", "max_drawdown", "concentration")
 
 
+def pair_correlation(spark, d):
+    return show(pair_correlation_of(mk.returns_of(daily(spark, d))), "left", "right", "samples", "correlation")
+
+
+def momentum_environment(spark, d):
+    return show(mk.momentum_environment(daily(spark, d), "Brand#11"), "target", "samples", "target_momentum", "peer_momentum", "environment")
+
+
+def portfolio_correlation(spark, d):
+    bars = hourly(spark, d)
+    return show(mk.portfolio_correlation(bars, _weights(bars)), "left", "right", "samples", "correlation")
+
+
 def position_values(spark, d):
     bars = daily(spark, d)
     held = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("quantity"))
@@ -147,6 +161,14 @@ QUERIES = {
     "capital_rotation": (capital_rotation, q(DAILY_SQL, *ROT, final=f"SELECT symbol, {R('ret')} AS ret, {R('flow_ratio')} AS flow_ratio, {R('rotation_score')} AS rotation_score, rank FROM ro")),
     "cross_correlation": (cross_correlation, q(DAILY_SQL, RET, "p AS (SELECT b.symbol, b.ts, a.ret AS x, b.ret AS y FROM rt a JOIN rt b USING (ts) WHERE a.symbol = 'Brand#1' AND b.symbol <> 'Brand#1' AND a.ret IS NOT NULL AND b.ret IS NOT NULL QUALIFY row_number() OVER (PARTITION BY b.symbol ORDER BY ts DESC) <= 120)",
                                                final=f"SELECT 'Brand#1' AS target, symbol, {R('corr(x, y)')} AS correlation, count(*) AS samples FROM p GROUP BY symbol HAVING count(*) >= 30")),
+    "pair_correlation": (pair_correlation, q(DAILY_SQL, RET, final=f"""SELECT a.symbol AS "left", b.symbol AS "right", count(*) AS samples, {R('corr(a.ret, b.ret)')} AS correlation FROM rt a JOIN rt b USING (ts)
+  WHERE a.symbol < b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30""")),
+    "momentum_environment": (momentum_environment, q(DAILY_SQL, RET, "k AS (SELECT * FROM rt WHERE ret IS NOT NULL)", "m AS (SELECT * FROM k WHERE symbol = 'Brand#11')", "u AS (SELECT k.symbol FROM k JOIN m USING (ts) WHERE k.symbol <> 'Brand#11' GROUP BY 1 HAVING count(*) >= 30)",
+                                                     "z AS (SELECT DISTINCT ts FROM k ORDER BY ts DESC LIMIT 24)", "t AS (SELECT sum(ret) AS tm FROM (SELECT ret FROM m ORDER BY ts DESC LIMIT 24))",
+                                                     "p AS (SELECT coalesce(sum(a), 0) AS pm FROM (SELECT avg(ret) AS a FROM k JOIN u USING (symbol) JOIN z USING (ts) GROUP BY ts))",
+                                                     final=f"SELECT 'Brand#11' AS target, (SELECT count(*) FROM m) AS samples, {R('tm')} AS target_momentum, {R('pm')} AS peer_momentum, CASE WHEN tm > 0 AND pm > 0 THEN 'FAVORABLE' WHEN tm < 0 AND pm < 0 THEN 'UNFAVORABLE' ELSE 'NEUTRAL' END AS environment FROM t, p")),
+    "portfolio_correlation": (portfolio_correlation, q(HOURLY_SQL, RET, "k AS (SELECT * FROM rt WHERE ret IS NOT NULL)", "f AS (SELECT ts FROM k GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM c))",
+                                                       final=f"""SELECT a.symbol AS "left", b.symbol AS "right", count(*) AS samples, {R('corr(a.ret, b.ret)')} AS correlation FROM k a JOIN k b USING (ts) JOIN f USING (ts) WHERE a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 60""")),
     "anomalies": (anomalies, ANOM),
     "portfolio_risk": (portfolio_risk, RISK_SQL),
     "position_values": (position_values, q(DAILY_SQL, final=f"SELECT symbol, count(*) AS quantity, {R('arg_max(close, ts)')} AS last_close, {R('count(*) * arg_max(close, ts)', 3)} AS notional FROM c GROUP BY 1")),

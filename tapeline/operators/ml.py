@@ -165,6 +165,7 @@ def calibrate(calibration: DataFrame):
         total = F.greatest(F.col("_prob_down") + F.col("_prob_flat") + F.col("_prob_up"), F.lit(1e-12))
         return df.withColumns({n: F.col(f"_{n}") / total for n in raw}).drop(*[f"_{n}" for n in raw])
 
+    apply.fitted = fitted
     return apply
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from tapeline.operators import features as feat, gram, indicators as ind, ledger as ld, ml
+from tapeline.functions.series import ratio
+from tapeline.operators import features as feat, gram, indicators as ind, ledger as ld, ml, scoring
 from tapeline.plans.bars import q
-from tapeline.plans.base import DAILY_SQL, HOURLY_SQL, R, W, daily, hourly, r, show
+from tapeline.plans.base import DAILY_SQL, HOURLY_SQL, R, W, daily, hourly, r, show, table
 from tapeline.plans.features import PANEL_CTES, X, zsql
 from tapeline.plans.ledger import RES, _predictions
 from tapeline.schema import FEATURE_GROUPS
-from tapeline.session import table_cut
+from tapeline.session import cut, scratch, table_cut
 
 COLUMNS = ["z_return_1", "z_return_5", "z_return_20", "z_high_position_20", "z_volume_zscore", "z_flow_pressure"]
 FOLDS = 5
@@ -116,6 +117,33 @@ def ml_walk_forward(spark, d):
     return show(ml.class_metrics(out, ["model", "fold"]), "model", "fold", "samples", "accuracy", "balanced_accuracy", "macro_f1", "mcc", "brier", "log_loss")
 
 
+def ml_risk(spark, d):
+    return show(scoring.risk_metrics(scoring.risk_walk_forward(_panel(spark, d), COLUMNS, FOLDS), ["fold"]), "fold", "samples", "balanced_accuracy", "macro_f1", "mcc", "brier", "log_loss")
+
+
+RAW = ["return_1", "return_5", "return_20", "high_position_20", "volume_zscore", "flow_pressure", "atr_normalized", "volatility", "ma20_gap"]
+
+
+def _frame(spark, d):
+    bars = ind.volume_set(ind.atr_sma(daily(spark, d)))
+    frame = ind.volatility(feat.volume_features(feat.price_features(bars)))
+    ma = F.avg("close").over(Window.partitionBy("symbol", "interval").orderBy("ts").rowsBetween(-19, 0))
+    return cut(frame.withColumns({"atr_normalized": ratio(F.col("atr"), F.col("close")), "ma20_gap": ratio(F.col("close"), ma) - 1}))
+
+
+def predict_latest(spark, d):
+    """A version of three horizons is trained and saved, then every brand's newest complete bar is scored from the files."""
+    frame, root = _frame(spark, d), scratch(spark)
+    scoring.train_version({f"{n}D": feat.future_path(frame, n) for n in (1, 5, 20)}, RAW, root, "v1")
+    out = scoring.predict_latest(spark, root, "v1", scoring.latest_complete(frame, RAW))
+    return show(out, "symbol", "ts", "horizon", "regime", "prob_down", "prob_flat", "prob_up", "called", "consensus", "risk_probability")
+
+
+def ml_registry_newest(spark, d):
+    runs = table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("market"), F.col("ts").alias("created_at"))
+    return scoring.newest_runs(runs, 50)
+
+
 def ml_tournament(spark, d):
     """Two learners and the naive forecasters, medians over folds."""
     panel = _panel(spark, d)
@@ -224,6 +252,9 @@ QUERIES = {
     "ml_registry": (ml_registry, q(*SCO[:len(RES)], "a AS (SELECT market, horizon, prediction AS model, date_trunc('week', pt) AS cr, min(id) AS run_id FROM sd GROUP BY 1, 2, 3, 4)",
                                    final="SELECT market, horizon, model, run_id, row_number() OVER (PARTITION BY market, horizon, model ORDER BY cr, run_id) AS version, row(cr, run_id) = max(row(cr, run_id)) OVER (PARTITION BY market) AS latest FROM a")),
     "ml_walk_forward": (ml_walk_forward, None),
+    "ml_risk": (ml_risk, None),
+    "predict_latest": (predict_latest, None),
+    "ml_registry_newest": (ml_registry_newest, "SELECT event_id AS run_id, event_type AS market, ts AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 50"),
     "ml_tournament": (ml_tournament, None),
     "ml_regression": (ml_regression, None),
     "ml_ablation": (ml_ablation, None),

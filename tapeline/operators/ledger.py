@@ -256,7 +256,7 @@ def intelligence_snapshot(predictions: DataFrame, factors: DataFrame, news: Data
     """
     c = F.col
     parts = factors.groupBy("symbol").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-c("importance")).alias("o"), "feature", F.when(c("positive"), c("importance")).otherwise(-c("importance")).alias("s")))),
-                                                                     lambda x: F.concat_ws(":", x["feature"], F.format_number(x["s"] * 100, 4))), "|").alias("contributions"))
+                                                                     lambda x: F.concat_ws(":", x["feature"], F.format_string("%.4f", x["s"] * 100))), "|").alias("contributions"))
     score = news.groupBy("symbol").agg(F.avg(c("sentiment") * c("impact") / 100).alias("news_score"), F.count(F.lit(1)).alias("news_count"))
     return (predictions.join(parts, "symbol", "left").join(score, "symbol", "left")
             .withColumns({"evidence": evidence_level(c("confidence"), c("samples")), "news_score": F.coalesce("news_score", F.lit(0.0)), "news_count": F.coalesce("news_count", F.lit(0))}))

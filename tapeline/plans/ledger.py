@@ -135,13 +135,13 @@ SET = [*SAID, "f1 AS (SELECT sd.*, min(bn) AS first_n, any_value(mx) AS mx FROM
        "f5 AS (SELECT f4.*, m, CASE WHEN market = 'CRYPTO' THEN cn ELSE first_n + steps - 1 END AS e FROM f4 JOIN mxs USING (symbol))",
        "f6 AS (SELECT *, CASE WHEN coalesce(mins, steps) IS NULL THEN 'UNSUPPORTED_HORIZON' WHEN e IS NULL OR e > m THEN 'TARGET_NOT_OBSERVED' WHEN market = 'CRYPTO' AND cts - (pt + to_minutes(mins)) > INTERVAL 66 MINUTE THEN 'CANDLE_GAP_AT_TARGET' END AS reason FROM f5)",
        "pth AS (SELECT id, min(low) AS lo, max(high) AS hi, arg_max(close, bn) AS ec, max(bts) AS end_ts FROM f6 JOIN bb ON f6.symbol = bb.symbol AND bn BETWEEN first_n AND e WHERE reason IS NULL GROUP BY 1)",
-       "st AS (SELECT f6.*, lo, hi, ec, end_ts, ec / entry - 1 AS ar FROM f6 LEFT JOIN pth USING (id))",
+       "st AS (SELECT f6.*, lo, hi, ec, end_ts, ec / nullif(entry, 0) - 1 AS ar FROM f6 LEFT JOIN pth USING (id))",
        """se AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN ar > 0.2 THEN 'UP' WHEN ar < -0.2 THEN 'DOWN' ELSE 'FLAT' END END AS actual, CASE WHEN reason IS NULL THEN 'SETTLED' WHEN reason = 'TARGET_NOT_OBSERVED' THEN 'PENDING' ELSE 'UNAVAILABLE' END AS status FROM st)"""]
 RES = [*SAID, "r1 AS (SELECT sd.*, bn AS e FROM sd ASOF JOIN bb ON sd.symbol = bb.symbol AND sd.tt <= bb.bts)", "r2 AS (SELECT r1.*, bn AS s FROM r1 ASOF JOIN bb ON r1.symbol = bb.symbol AND r1.pt <= bb.bts)",
        "pth AS (SELECT id, min(low) AS lo, max(high) AS hi, arg_max(close, bn) AS ec FROM r2 JOIN bb ON r2.symbol = bb.symbol AND bn BETWEEN least(s + 1, e) AND e GROUP BY 1)",
-       "r3 AS (SELECT r2.*, 1 - pu - pd AS pf, lo, hi, ec, ec / entry - 1 AS ar FROM r2 JOIN pth USING (id))",
+       "r3 AS (SELECT r2.*, 1 - pu - pd AS pf, lo, hi, ec, ec / nullif(entry, 0) - 1 AS ar FROM r2 JOIN pth USING (id))",
        """rs AS (SELECT *, CASE WHEN ar > 0.2 THEN 'UP' WHEN ar < -0.2 THEN 'DOWN' ELSE 'FLAT' END AS actual, CASE prediction WHEN 'UP' THEN lo <= stop WHEN 'DOWN' THEN hi >= stop ELSE FALSE END AS sh, CASE prediction WHEN 'UP' THEN hi >= tp WHEN 'DOWN' THEN lo <= tp ELSE FALSE END AS th,
-  CASE prediction WHEN 'UP' THEN (ec - entry) / abs(entry - stop) WHEN 'DOWN' THEN (entry - ec) / abs(entry - stop) ELSE 0 END AS rr FROM r3)"""]
+  CASE prediction WHEN 'UP' THEN (ec - entry) / greatest(abs(entry - stop), 1e-12) WHEN 'DOWN' THEN (entry - ec) / greatest(abs(entry - stop), 1e-12) ELSE 0 END AS rr FROM r3)"""]
 
 
 def _metrics(src: str) -> str:
@@ -169,11 +169,11 @@ TRACK = q(*RES, "g AS (" + " UNION ALL ".join(f"SELECT '{lv}' AS level, {k} AS k
 QUERIES = {
     "settle_predictions": (settle_predictions, q(*SET, final=f"""SELECT id, market, horizon, status, reason, end_ts, {R('ar')} AS actual_return, actual,
   coalesce(CASE prediction WHEN 'UP' THEN lo <= stop WHEN 'DOWN' THEN hi >= stop ELSE FALSE END, FALSE) AS stop_hit, coalesce(CASE prediction WHEN 'UP' THEN hi >= tp WHEN 'DOWN' THEN lo <= tp ELSE FALSE END, FALSE) AS target_hit,
-  CASE WHEN reason IS NULL THEN {R("CASE prediction WHEN 'UP' THEN ar WHEN 'DOWN' THEN -ar ELSE 0 END * entry / abs(entry - stop)")} END AS realized_r, coalesce(actual = prediction, FALSE) AS correct FROM se""")),
+  CASE WHEN reason IS NULL THEN {R("coalesce(CASE prediction WHEN 'UP' THEN ar WHEN 'DOWN' THEN -ar ELSE 0 END * entry / nullif(abs(entry - stop), 0), 0)")} END AS realized_r, coalesce(actual = prediction, FALSE) AS correct FROM se""")),
     "settle_incremental": (settle_incremental, q(*SET, final=f"SELECT id, actual, {R('ar')} AS actual_return FROM se WHERE status = 'SETTLED' AND pt >= TIMESTAMP '2024-01-15'")),
     "settlement_status": (settlement_status, q(*SET, final="SELECT market, symbol, horizon, count(*) AS total, count(*) FILTER (status = 'SETTLED') AS settled, count(*) FILTER (status = 'PENDING') AS pending FROM se GROUP BY ROLLUP (market, symbol, horizon)")),
-    "resolve_predictions": (resolve_predictions, q(*RES, final=f"""SELECT id, {R('ar')} AS actual_return, actual, sh AS stop_hit, th AS target_hit, {R('rr')} AS realized_r, {R("CASE WHEN prediction = 'DOWN' THEN entry / hi - 1 ELSE lo / entry - 1 END")} AS mae,
-  {R("CASE WHEN prediction = 'DOWN' THEN entry / lo - 1 ELSE hi / entry - 1 END")} AS mfe, actual = prediction AS correct, CASE WHEN actual <> prediction THEN CASE WHEN dq < 0.6 THEN 'DATA_QUALITY' WHEN greatest(pu, pd, pf) >= 0.65 THEN 'OVERCONFIDENCE' WHEN prediction = 'FLAT' THEN 'MAGNITUDE_ERROR'
+    "resolve_predictions": (resolve_predictions, q(*RES, final=f"""SELECT id, {R('ar')} AS actual_return, actual, sh AS stop_hit, th AS target_hit, {R('rr')} AS realized_r, {R("CASE WHEN prediction = 'DOWN' THEN entry / nullif(hi, 0) - 1 ELSE lo / nullif(entry, 0) - 1 END")} AS mae,
+  {R("CASE WHEN prediction = 'DOWN' THEN entry / nullif(lo, 0) - 1 ELSE hi / nullif(entry, 0) - 1 END")} AS mfe, actual = prediction AS correct, CASE WHEN actual <> prediction THEN CASE WHEN dq < 0.6 THEN 'DATA_QUALITY' WHEN greatest(pu, pd, pf) >= 0.65 THEN 'OVERCONFIDENCE' WHEN prediction = 'FLAT' THEN 'MAGNITUDE_ERROR'
   WHEN abs(ar) > 0.4 THEN 'VOLATILITY_SPIKE' ELSE 'WRONG_DIRECTION' END END AS failure FROM rs""")),
     "prediction_stats": (prediction_stats, STATS),
     "prediction_reliability": (prediction_reliability, q(*RES, "k AS (SELECT CAST(least(9, floor(round(greatest(pu, pd, pf) * 10, 9))) AS BIGINT) AS bin, greatest(pu, pd, pf) AS cf, CAST(prediction = actual AS INT) AS ok FROM rs)",

@@ -30,3 +30,9 @@ def test_large_factor_shares_are_plain_numbers(spark):
     factors = spark.createDataFrame([("A", "f0", 30.258, True), ("A", "f1", 0.5, False)], "symbol string, feature string, importance double, positive boolean")
     news = spark.createDataFrame([("A", 1.0, 50.0)], "symbol string, sentiment double, impact double")
     assert ledger.intelligence_snapshot(said, factors, news).first().contributions == "f0:3025.8000|f1:-50.0000"
+
+
+def test_excursions_from_a_zero_price_are_null_on_both_sides(spark, tmp_path):
+    got, note = beside_sql(spark, tmp_path, "resolve_predictions", events=events([0 if i in (1, 7, 8, 9) else 10 + i for i in range(30)]))
+    assert note is None, note
+    assert got.mae.isna().any() and got.mfe.isna().any()

@@ -279,9 +279,12 @@ ALIAS_SQL = f"""WITH {REG_CTE}, qs AS (SELECT 'p1' || s_suppkey AS query FROM su
 GATE_LIST = ", ".join(f"CASE WHEN s_suppkey % {i + 9} = 0 OR s_suppkey % {i + 5} = 1 THEN '{g}' END" for i, g in enumerate(ql.GATES))
 
 def tree(order, line, source):
-    """Digest tree of up to 64 * 64 rows."""
-    return f"""(SELECT CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY run)) END AS digest, CAST(sum(k) AS BIGINT) AS members
-    FROM (SELECT (at_ - 1) // 64 AS run, sha256(string_agg(h, '' ORDER BY at_)) AS h, count(*) AS k FROM (SELECT row_number() OVER (ORDER BY {order}) AS at_, sha256({line}) AS h FROM {source}) GROUP BY 1))"""
+    """Digest tree of any number of rows: runs of 64 digests, and runs of runs until one is left; equal places by the row's digest."""
+    places = ", ".join(f"{x} NULLS FIRST" for x in order.split(", "))
+    return f"""(WITH RECURSIVE leaf AS (SELECT *, sha256({line}) AS h_ FROM {source}),
+    lv AS (SELECT 0 AS depth, row_number() OVER (ORDER BY {places}, h_) - 1 AS at_, h_ AS h, count(*) OVER () AS n_, count(*) OVER () AS k FROM leaf
+      UNION ALL SELECT depth + 1, at_ // 64, sha256(string_agg(h, '' ORDER BY at_)), (n_ + 63) // 64, k FROM lv WHERE depth = 0 OR n_ > 1 GROUP BY depth, at_ // 64, n_, k)
+    SELECT max(h) AS digest, CAST(coalesce(max(k), 0) AS BIGINT) AS members FROM lv WHERE depth > 0 AND n_ = 1)"""
 
 
 QUERIES = {

@@ -36,3 +36,10 @@ def test_excursions_from_a_zero_price_are_null_on_both_sides(spark, tmp_path):
     got, note = beside_sql(spark, tmp_path, "resolve_predictions", events=events([0 if i in (1, 7, 8, 9) else 10 + i for i in range(30)]))
     assert note is None, note
     assert got.mae.isna().any() and got.mfe.isna().any()
+
+
+def test_member_list_beyond_two_levels_of_digests(spark, tmp_path):
+    rows = pd.DataFrame({"s_suppkey": range(5000), "s_name": [f"S{i % 900:04d}" for i in range(5000)], "s_nationkey": [i % 25 for i in range(5000)]})
+    got, note = beside_sql(spark, tmp_path, "universe_version", supplier=rows)
+    assert note is None, note
+    assert got.members[0] == 5000

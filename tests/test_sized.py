@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tapeline.operators import ledger
+from tapeline.streaming import live
 from tools.check import compare, rows_of
 
 
@@ -50,3 +51,13 @@ def test_scores_on_a_threshold_are_sums_of_doubles_on_both_sides(spark, tmp_path
     got, note = beside_sql(spark, tmp_path, "news_decisions", documents=docs, events=events([1, 2]))
     assert note is None, note
     assert len(got) == 12
+
+
+def test_no_quote_meets_more_than_one_book(spark):
+    """Every second a book, every second a quote: no pairs, also over the border of two spans."""
+    stamp = (F.lit(1704067200) + F.col("id")).cast("timestamp")
+    quotes = spark.range(9000).select(F.lit("A").alias("symbol"), stamp.alias("ts"), F.col("id").cast("double").alias("price"), F.lit(1.0).alias("volume"))
+    books = spark.range(3599, 5000).select(F.lit("A").alias("symbol"), stamp.alias("ts"), F.array(F.array(F.col("id").cast("string"), F.lit("1"))).alias("bids"), F.lit(None).cast("array<array<string>>").alias("asks"))
+    paired = live.quotes_with_books(quotes, books, "1 hour")
+    assert "Join" not in paired._jdf.queryExecution().executedPlan().toString()
+    assert {int(r.price): r.bid for r in paired.collect()} == {i: None if i < 3599 or i > 8598 else float(min(i, 4999)) for i in range(9000)}

@@ -62,32 +62,39 @@ def backfill_market(symbol: Column, asset_type: Column) -> Column:
     return F.when(asset_type == "crypto", "CRYPTO").when(symbol.rlike(r"^[0-9]{6}"), "CN").otherwise("US")
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of one to three characters."""
+def _grams(text: Column, longest: int) -> Column:
+    """Distinct substrings of up to ``longest`` characters, the empty one too: it is contained in everything."""
     def of(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in range(1, longest + 1)]))
+
+
+#: Fields that are searched: what of a query they must contain, and the longest substrings in their index.  Codes are
+#: short and unlike, and many queries begin alike, so these are indexed by longer ones.
+FIELDS = {"_s": ("_c", 8), "_n": ("_q", 3), "_a": ("_q", 3), "_b": ("_c", 8)}
 
 
 def search(queries: DataFrame, registry: DataFrame, top: int = 20) -> DataFrame:
     """Substring search of many queries at once over symbol, name, aliases and base asset.
 
-    A substring index instead of a cross join: each registry row is keyed by its
-    short substrings, each query by its first (up to three) characters, and only
-    rows that share that key are compared in full.
+    A substring index instead of a cross join, field by field over its distinct values: each is keyed by its short
+    substrings, each query by as many of its first characters, and only what shares that key is compared in full.
+    Rows meet the values found, so a name or alias that many rows carry is searched once.
     """
     c = F.col
     compact = F.regexp_replace(F.regexp_replace(F.upper(F.trim("query")), r"[/-]USDT", ""), "USDT$", "")
-    asked = queries.withColumns({"_q": F.lower(F.trim("query")), "_c": F.lower(compact)})
-    asked = asked.withColumn("_key", F.explode(F.array_distinct(F.array(F.substring("_q", 1, 3), F.substring("_c", 1, 3)))))
+    asked = queries.select("query").distinct().withColumns({"_q": F.lower(F.trim("query")), "_c": F.lower(compact)})
     fields = {"_s": F.lower("symbol"), "_n": F.lower("name"), "_a": F.lower(F.coalesce("aliases", F.lit(""))), "_b": F.lower(F.coalesce("base_asset", F.lit("")))}
-    index = registry.withColumns(fields).withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(c(x)) for x in fields])))))
-    hit = index.join(asked, "_key").filter(
-        c("_s").contains(c("_c")) | c("_n").contains(c("_q")) | c("_a").contains(c("_q")) | c("_b").contains(c("_c")))
+    rows = registry.select("symbol", "name", "asset_type", *[value.alias(f) for f, value in fields.items()])
     order = (F.when(c("_s") == c("_c"), 0).when(c("_b") == c("_c"), 1).when(c("_n") == c("_q"), 2).when(c("_s").startswith(c("_c")), 3).otherwise(4))
-    hit = hit.select("query", "symbol", "name", "asset_type", order.alias("match")).distinct()
+    hit = None
+    for field, (own, longest) in FIELDS.items():
+        index = rows.filter(c(field).isNotNull()).select(field).distinct().select(field, F.explode(_grams(c(field), longest)).alias("_key"))
+        found = index.join(asked.withColumn("_key", F.substring(own, 1, longest)), "_key").filter(c(field).contains(c(own))).drop("_key")
+        part = rows.join(found, field).select("query", "symbol", "name", "asset_type", order.alias("match"))
+        hit = part if hit is None else hit.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("match", F.length("symbol"), "symbol"))
-    return hit.withColumn("rank", rank).filter(c("rank") <= top)
+    return hit.distinct().withColumn("rank", rank).filter(c("rank") <= top)
 
 
 def alias_search(queries: DataFrame, registry: DataFrame, top: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tapeline.operators import ledger, news as nw
+from tapeline.operators import identity, ledger, news as nw
 from tapeline.streaming import live
 from tools.check import compare, rows_of
 
@@ -75,3 +75,15 @@ def test_events_of_one_stamp_are_looked_up_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     before = [x for x in plan.split("\n") if "_ev" in x and "Project" in x and " AS _ev" in x]
     assert before and not any("label" in x or "id#" in x for x in before)
+
+
+def test_registry_search_tells_queries_that_begin_alike_and_takes_empty_ones(spark):
+    """Codes that share their first characters are keyed by longer ones; what is left empty is contained in every symbol."""
+    codes = [f"P10000{i}" for i in range(30)] + ["P1000001234567"]
+    registry = spark.createDataFrame([(x, f"name {x[-1]}", "brand|type", "steel", "stock") for x in codes], "symbol string, name string, aliases string, base_asset string, asset_type string")
+    asked = ["p100001", "p1000001234567", "p10000012345", "p1000019", "steel", "USDT", "nothing"]
+    got = {(r.query, r.symbol) for r in identity.search(spark.createDataFrame([(x,) for x in asked], "query string"), registry, 100).collect()}
+    want = {(x, s) for x in asked for s in codes if x.replace("USDT", "") in s.lower() or x == "steel"}
+    assert got == want
+    keys = spark.range(1).select(identity._grams(F.lit("p1000012"), 8).alias("k")).first().k
+    assert "p1000012" in keys and "" in keys

@@ -81,3 +81,37 @@ def test_forward_equals_a_plain_loop():
         want.append(1 / (1 + np.exp(-(np.dot(pooled, net.out) + net.bias[0]))))
     assert np.allclose(toxicity.scores(net, texts), want, atol=1e-5)
     assert np.allclose([toxicity.scores(net, [t])[0] for t in texts], want, atol=1e-5)
+
+
+def test_every_labelled_row_trains_in_shards(spark):
+    rows, told = corpus(1500, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(told, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, shard=300, least=150)
+    got = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    held = [i for i, _ in told if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= .5) == dict(told)[i] for i in held]) > .95
+    # Every word of a row that is trained on and was told toxic has moved, whatever shard it lies in.
+    net = toxicity.Net.of(model.net)
+    kept = [r.key for r in labels.selectExpr("doc_id AS key").where("crc32(cast(key AS string)) % 5 <> 0 AND pmod(xxhash64(key), 5) <> 0").collect()]
+    single = [t for i, t, _ in rows if i in set(kept) and " " not in t]
+    assert single and all(net.tables[0][w[:, 0]].any() for w in toxicity.word_ids(single))
+
+
+def test_averages_rows_over_the_shards_that_moved_them():
+    import pickle
+
+    nets = [toxicity.fresh(), toxicity.fresh()]
+    for net, own in zip(nets, (3, 5)):
+        for row, value in ((own, 1.0 * own), (7, 2.0 * own)):
+            toxicity.step(net, ("table", 0), net.tables[0], np.full((1, toxicity.DIM), value, dtype=np.float32), np.array([row]))
+        toxicity.step(net, "out", net.out, net.out * own)
+    sent = sorted((r for k, net in enumerate(nets) for r in toxicity.pieces(net, k).to_pylist()), key=lambda r: (r["piece"], r["shard"]))
+    batch = toxicity.pa.RecordBatch.from_pylist(sent)
+    state = {r["piece"]: r["data"] for b in toxicity.averaged(iter([batch])) for r in b.to_pylist()}
+    mean = toxicity.started(state)
+    a, b = nets
+    assert np.allclose(mean.tables[0][[3, 5, 7]], [a.tables[0][3], b.tables[0][5], (a.tables[0][7] + b.tables[0][7]) / 2])
+    assert np.allclose(mean.out, (a.out + b.out) / 2) and np.flatnonzero(mean.tables[0].any(axis=1)).tolist() == [3, 5, 7]
+    newer = pickle.dumps((np.array([7], np.int32), np.ones((1, toxicity.DIM), np.float32), np.ones((1, toxicity.DIM), np.float32)))
+    assert toxicity.started({0: toxicity.over(state[0], newer)}).tables[0][[3, 7], 0].tolist() == [float(a.tables[0][3, 0]), 1.0]

@@ -145,8 +145,8 @@ def ml_registry_newest(spark, d):
 
 
 def ml_tournament(spark, d):
-    """Two learners and the naive forecasters, medians over folds."""
-    panel = _panel(spark, d)
+    """Two learners and the naive forecasters, medians over folds. The panel is derived once for all of them."""
+    panel = table_cut(_panel(spark, d))
     out = ml.cut(ml.walk_forward(panel, COLUMNS, ("LogisticRegression", "RandomForest"), FOLDS))
     first = out.filter("model = 'LogisticRegression'").drop("model", "prob_down", "prob_flat", "prob_up", "called")
     naive = ml.baselines(first, ml.train_majority(panel, COLUMNS, FOLDS)).select(out.columns)

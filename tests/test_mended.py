@@ -84,3 +84,18 @@ def test_sinks_take_one_row_of_repeated_keys(spark, tmp_path):
     out = sinks.append_new(rows.withColumn("p", F.lit("x")), str(tmp_path / "t"), ["k"], ["p"]).first()
     assert (out.received, out.inserted, out.duplicates) == (3, 2, 1)
     assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {1: 3, 2: 1}
+
+
+def test_tournament_derives_its_panel_once(spark, sf, monkeypatch):
+    from tapeline.plans import ml as plans
+
+    class Seen(Exception):
+        pass
+
+    def look(panel, *rest):
+        raise Seen(panel._jdf.queryExecution().toString())
+
+    monkeypatch.setattr(ml, "walk_forward", look)
+    with pytest.raises(Seen) as seen:
+        plans.ml_tournament(spark, sf)
+    assert "lineitem" not in str(seen.value)

@@ -5,7 +5,8 @@ words are taken for one another only if they collide in all, and word forms shar
 words that training never pointed at stay silent.
 
 The labelled rows are dealt into shards. In each round every shard starts from the same net and goes once over its rows,
-a mini-batch at a time; then the nets are averaged, a word vector over the shards that moved it. The driver sees nets only.
+a mini-batch at a time; then the nets are averaged, a word vector over the shards that moved it. The driver passes the
+averaged rows on, packed as they come; whole tables stand in the tasks only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import fold, release_memory
+from tapeline.llm.common import fold, release_memory, with_size
 from tapeline.llm.decontam import cleaned
 from tapeline.llm.shingles import mixed, word_hashes
 from tapeline.session import cut
@@ -37,8 +38,8 @@ EVIDENCE, RANGE = 20, (0.3, 0.7)
 BINS = 1 << 12
 #: Rows of a table that are averaged together; texts and characters shuffled together before they are dealt into batches.
 PIECE, MIXED, MIXED_CHARS = 1 << 14, 2048, 1 << 22
-#: Characters handled at once.
-AT_ONCE = 1 << 19
+#: Characters handled at once; windows multiplied at once; bytes that a broadcast label takes, about.
+AT_ONCE, SPAN, LABEL_BYTES = 1 << 19, 1 << 12, 64
 
 
 @dataclass
@@ -51,11 +52,6 @@ class Net:
     squares: dict = field(default_factory=dict)
     moved: dict = field(default_factory=dict)
 
-    def small(self) -> dict:
-        """The rows that training touched, and the rest."""
-        rows = [np.flatnonzero(t.any(axis=1)) for t in self.tables]
-        return {"rows": rows, "values": [t[r] for t, r in zip(self.tables, rows, strict=True)], "kernels": self.kernels, "biases": self.biases, "out": self.out, "bias": self.bias}
-
     @staticmethod
     def of(small: dict) -> Net:
         tables = [np.zeros((BUCKETS, DIM), dtype=np.float32) for _ in range(TABLES)]
@@ -93,45 +89,62 @@ def laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buckets, first, np.repeat(np.arange(len(texts)), sizes)
 
 
-def forward(net: Net, buckets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    x = np.concatenate([t[b] for t, b in zip(net.tables, buckets, strict=True)], axis=1)
-    n = len(x) - max(WIDTHS) + 1
-    silent = buckets[0][:n] == 0
-    windows = []
-    for kernel, bias in zip(net.kernels, net.biases, strict=True):
-        h = x[:n] @ kernel[0] + bias
-        for o in range(1, len(kernel)):
-            h += x[o : o + n] @ kernel[o]
-        h[silent] = 0  # a window begins at a word: one that began after a text would reach into the next
-        windows.append(h)
-    pooled = np.concatenate([np.maximum.reduceat(h, first, axis=0) for h in windows], axis=1)
-    return x, windows, np.maximum(pooled, 0)
+def vectors(net: Net, buckets: np.ndarray) -> np.ndarray:
+    """A row per word: its vectors of all tables."""
+    return np.concatenate([table.take(own, axis=0) for table, own in zip(net.tables, buckets, strict=True)], axis=1)
+
+
+def forward(net: Net, buckets: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per width the windows' values, a row for each filter; per text the pooled filters of all widths."""
+    gap = max(WIDTHS) - 1
+    n = buckets.shape[1] - gap
+    flat = np.concatenate([part for kernel in net.kernels for part in kernel], axis=1).T
+    windows = [np.empty((FILTERS, n), dtype=np.float32) for _ in WIDTHS]
+    for at in range(0, n, SPAN):
+        product = flat @ vectors(net, buckets[:, at : at + SPAN + gap]).T
+        size, row = min(SPAN, n - at), 0
+        for h, width, bias in zip(windows, WIDTHS, net.biases, strict=True):
+            own = h[:, at : at + size]
+            np.add(product[row : row + FILTERS, :size], bias[:, None], out=own)
+            for o in range(1, width):
+                own += product[row + o * FILTERS : row + (o + 1) * FILTERS, o : o + size]
+            row += width * FILTERS
+    silent = np.flatnonzero(buckets[0][:n] == 0)
+    for h in windows:
+        h[:, silent] = 0  # a window begins at a word: one that began after a text would reach into the next
+    pooled = np.concatenate([np.maximum.reduceat(h, first, axis=1) for h in windows]).T
+    return windows, np.maximum(pooled, 0, order="C")
 
 
 def scores(net: Net, texts: list[np.ndarray]) -> np.ndarray:
     if not texts:
         return np.empty(0)
     buckets, first, _ = laid(texts)
-    _, _, pooled = forward(net, buckets, first)
+    _, pooled = forward(net, buckets, first)
     return 1 / (1 + np.exp(-np.clip((pooled @ net.out + net.bias).astype(np.float64), -60, 60)))
 
 
 def step(net: Net, name: object, value: np.ndarray, gradient: np.ndarray, rows: np.ndarray | None = None) -> None:
     """Adagrad, on the given rows only where there are any."""
-    square = net.squares.setdefault(name, np.full(value.shape, 1e-3, dtype=np.float32))
+    if name not in net.squares:
+        net.squares[name] = np.full(value.shape, 1e-3, dtype=np.float32)
+    square = net.squares[name]
     if rows is None:
         square += gradient**2
         value -= RATE * gradient / np.sqrt(square)
     else:
         square[rows] += gradient**2
         value[rows] -= RATE * gradient / np.sqrt(square[rows])
-        net.moved.setdefault(name, np.zeros(len(value), dtype=bool))[rows] = True
+        if name not in net.moved:
+            net.moved[name] = np.zeros(len(value), dtype=bool)
+        net.moved[name][rows] = True
 
 
 def learn(net: Net, texts: list[np.ndarray], y: np.ndarray) -> None:
     """One step of the net on a mini-batch."""
     buckets, first, owner = laid(texts)
-    x, windows, pooled = forward(net, buckets, first)
+    windows, pooled = forward(net, buckets, first)
+    sizes = np.bincount(owner, minlength=len(texts))
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias, -30, 30)))
     g = ((p - y) * np.where(y > 0, WEIGHT, 1.0) / len(y)).astype(np.float32)
     back = g[:, None] * net.out[None, :] * (pooled > 0)
@@ -140,23 +153,30 @@ def learn(net: Net, texts: list[np.ndarray], y: np.ndarray) -> None:
     places, pushes = [], []
     for k, (h, kernel) in enumerate(zip(windows, net.kernels, strict=True)):
         own = back[:, k * FILTERS : (k + 1) * FILTERS]
-        top = pooled[:, k * FILTERS : (k + 1) * FILTERS]
-        change, shift = np.zeros_like(kernel), own.sum(axis=0)
-        for f in range(FILTERS):
-            at_top = np.flatnonzero((h[:, f] == top[owner[: len(h)], f]) & (own[owner[: len(h)], f] != 0))
-            text, one = np.unique(owner[at_top], return_index=True)
-            t, w = at_top[one], own[text, f]
-            for o in range(len(kernel)):
-                change[o, :, f] = w @ x[t + o]
-                places.append(t + o)
-                pushes.append(w[:, None] * kernel[o, :, f][None, :])
+        top = np.where(own != 0, pooled[:, k * FILTERS : (k + 1) * FILTERS], np.float32(np.nan))
+        f, t = np.divmod(np.flatnonzero(h == np.repeat(top.T, sizes, axis=1)), h.shape[1])
+        # Of a filter's equal tops in a text the first counts.
+        pair = f * len(texts) + owner[t]
+        one = np.flatnonzero(np.diff(pair, prepend=-1))
+        f, t = f[one], t[one]
+        w = own[owner[t], f]
+        spread = np.zeros((len(t), FILTERS), dtype=np.float32)
+        spread[np.arange(len(t)), f] = w
+        change = np.empty_like(kernel)
+        for o in range(len(kernel)):
+            change[o] = vectors(net, buckets[:, t + o]).T @ spread
+            places.append(t + o)
+            pushes.append(w[:, None] * kernel[o].T[f])
         step(net, ("kernel", k), kernel, change)
-        step(net, ("shift", k), net.biases[k], shift)
+        step(net, ("shift", k), net.biases[k], own.sum(axis=0))
     place, push = np.concatenate(places), np.concatenate(pushes)
+    if not len(place):
+        return
     for k, table in enumerate(net.tables):
-        rows, back_to = np.unique(buckets[k][place], return_inverse=True)
-        gradient = np.zeros((len(rows), DIM), dtype=np.float32)
-        np.add.at(gradient, back_to, push[:, k * DIM : (k + 1) * DIM])
+        order = np.argsort(buckets[k][place], kind="stable")
+        rows = buckets[k][place[order]]
+        begins = np.flatnonzero(np.diff(rows, prepend=-1))
+        rows, gradient = rows[begins], np.add.reduceat(push[order, k * DIM : (k + 1) * DIM], begins, axis=0)
         live = (rows > 0) & gradient.any(axis=1)
         step(net, ("table", k), table, gradient[live], rows[live])
 
@@ -207,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     context = docs.sparkSession.sparkContext
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key), folds) != 0)).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("y"))
+    told = with_size(told, LABEL_BYTES)  # few labels go to the texts, which then are not shuffled
     tongue = F.col(f"`{lang}`") if lang in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(tongue, F.lit("")).alias("lang"))
     rows = texts.join(told, "key").withColumn("held", F.pmod(F.xxhash64("key"), F.lit(VALIDATION)) == 0)
@@ -226,10 +247,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for turn in range(EPOCHS):
         kept = context.broadcast(state)
         nets = dealt.mapInArrow(lambda b: learned(b, kept.value, turn), "shard int, piece int, data binary")  # noqa: B023
-        for r in nets.repartition("piece").sortWithinPartitions("piece", "shard").mapInArrow(averaged, "piece int, data binary").collect():
-            state[r.piece] = over(state.get(r.piece), bytes(r.data))
+        # As Arrow, since rows would be unpacked, pickled and copied in the driver's JVM.
+        means = nets.repartition("piece").sortWithinPartitions("piece", "shard").mapInArrow(averaged, "piece int, data binary").toArrow()
+        for piece, data in zip(means.column("piece"), means.column("data"), strict=True):
+            state[piece.as_py()] = over(state.get(piece.as_py()), data.as_py())
+        del means
         kept.destroy()
-    model = Model(started(state).small(), positive / total, {}, 0.5)
+    model = Model(compact(state), positive / total, {}, 0.5)
+    del state
     told_scores = score_texts(rows.where("held").select("text", "lang", "y"), model)
     bins: dict[str, dict[int, tuple[int, int]]] = {}
     for r in told_scores.groupBy("lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect():
@@ -256,6 +281,19 @@ def started(state: dict[int, bytes]) -> Net:
     return net
 
 
+def compact(state: dict[int, bytes]) -> dict:
+    """What scores take of averaged pieces: the rows that training moved, and the dense part."""
+    dense = pickle.loads(state[-1])
+    rows: list[list[np.ndarray]] = [[np.empty(0, np.int32)] for _ in range(TABLES)]
+    values: list[list[np.ndarray]] = [[np.empty((0, DIM), np.float32)] for _ in range(TABLES)]
+    for piece in sorted(p for p in state if p >= 0):
+        table, block = divmod(piece, BUCKETS // PIECE)
+        at, value, _ = pickle.loads(state[piece])
+        rows[table].append(at + np.int32(block * PIECE))
+        values[table].append(value)
+    return {"rows": [np.concatenate(r) for r in rows], "values": [np.concatenate(v) for v in values]} | {k: dense[k] for k in ("kernels", "biases", "out", "bias")}
+
+
 def pieces(net: Net, shard: int) -> pa.RecordBatch:
     """What a shard changed: the dense part as piece -1, the rows it moved in pieces of each table."""
     dense = {"kernels": net.kernels, "biases": net.biases, "out": net.out, "bias": net.bias, "squares": {k: v for k, v in net.squares.items() if k[0] != "table"}}

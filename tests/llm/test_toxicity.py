@@ -115,3 +115,80 @@ def test_averages_rows_over_the_shards_that_moved_them():
     assert np.allclose(mean.out, (a.out + b.out) / 2) and np.flatnonzero(mean.tables[0].any(axis=1)).tolist() == [3, 5, 7]
     newer = pickle.dumps((np.array([7], np.int32), np.ones((1, toxicity.DIM), np.float32), np.ones((1, toxicity.DIM), np.float32)))
     assert toxicity.started({0: toxicity.over(state[0], newer)}).tables[0][[3, 7], 0].tolist() == [float(a.tables[0][3, 0]), 1.0]
+
+
+def test_training_passes_through_the_driver_packed(spark, monkeypatch):
+    import tracemalloc
+
+    rows, told = corpus(600, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(told, "doc_id long, toxic int")
+    collected = []
+    plain = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(df.schema.simpleString()) or plain(df))
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Whole tables with their squares would take 67 MB; rows with nets would be unpacked in the driver's JVM.
+    assert most < 24 << 20 and collected and not any("binary" in x for x in collected)
+    assert all(len(np.unique(r)) == len(r) > 0 and v.any(axis=1).all() for r, v in zip(model.net["rows"], model.net["values"]))
+
+
+def test_few_labels_go_to_the_texts(spark, monkeypatch):
+    rows, told = corpus(200, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(told, "doc_id long, toxic int")
+    plans = []
+    cut = toxicity.cut
+    monkeypatch.setattr(toxicity, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "strategy=broadcast" in plans[0]
+
+
+def test_gradients_equal_differences_of_the_loss():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(1, 30, (n, toxicity.TABLES)).astype(np.int32) for n in (5, 1, 0, 12)]
+    y = np.array([1.0, 0, 1, 0])
+
+    def made():
+        net = toxicity.fresh(3)
+        for t in net.tables:
+            t[1:30] = np.random.default_rng(9).normal(0, 1, (29, toxicity.DIM))
+        return net
+
+    def loss(net):
+        p = toxicity.scores(net, texts)
+        return float(-(np.where(y > 0, toxicity.WEIGHT * np.log(p), np.log(1 - p))).mean())
+
+    told = {}
+    net, step = made(), toxicity.step
+    try:
+        toxicity.step = lambda net, name, value, gradient, rows=None: told.update({name: (gradient.copy(), rows)})
+        toxicity.learn(net, texts, y)
+    finally:
+        toxicity.step = step
+    gradient, rows = told["table", 1]
+    for place, value, want in (
+        [((rows[i], d), net.tables[1], gradient[i, d]) for i in range(0, len(rows), 5) for d in (0, 5)]
+        + [((1, d, f), net.kernels[2], told["kernel", 2][0][1, d, f]) for d in (3, 20) for f in range(toxicity.FILTERS)]
+        + [((f,), net.biases[1], told["shift", 1][0][f]) for f in range(toxicity.FILTERS)]
+    ):
+        at, sides = value[place], []
+        for move in (1e-2, -1e-2):
+            value[place] = at + move
+            sides.append(loss(net))
+        value[place] = at
+        assert abs((sides[0] - sides[1]) / 2e-2 - want) < 2e-3 + 0.03 * abs(want)
+
+
+def test_texts_without_words_train_to_one_score(spark):
+    docs = spark.createDataFrame([(i, " " if i % 2 else None) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in range(60)], "doc_id long, toxic int")
+    got = [r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()]
+    assert len(got) == 60 and len(set(got)) == 1 and 0 < got[0] < 1

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapeline.session import table_cut as cut
+
 
 def stock_symbol(raw: Column) -> Column:
     value = F.replace(F.replace(F.trim(F.upper(raw)), F.lit("NASDAQ:")), F.lit("NYSE:"))
@@ -62,11 +66,15 @@ def backfill_market(symbol: Column, asset_type: Column) -> Column:
     return F.when(asset_type == "crypto", "CRYPTO").when(symbol.rlike(r"^[0-9]{6}"), "CN").otherwise("US")
 
 
-def _grams(text: Column, longest: int) -> Column:
-    """Distinct substrings of up to ``longest`` characters, the empty one too: it is contained in everything."""
+def _grams(text: Column, longest: int, sizes: Iterable[int] | None = None) -> Column:
+    """Distinct substrings of up to ``longest`` characters, the empty one too: it is contained in everything.
+
+    ``sizes`` names the lengths that are asked for, all if it is not given.
+    """
     def of(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in range(1, longest + 1)]))
+    chosen = range(longest + 1) if sizes is None else sorted(sizes)
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of(n) if n else F.array(F.lit("")) for n in chosen]))
 
 
 #: Fields that are searched: what of a query they must contain, and the longest substrings in their index.  Codes are
@@ -83,15 +91,16 @@ def search(queries: DataFrame, registry: DataFrame, top: int = 20) -> DataFrame:
     """
     c = F.col
     compact = F.regexp_replace(F.regexp_replace(F.upper(F.trim("query")), r"[/-]USDT", ""), "USDT$", "")
-    asked = queries.select("query").distinct().withColumns({"_q": F.lower(F.trim("query")), "_c": F.lower(compact)})
+    asked = cut(queries.select("query").distinct().withColumns({"_q": F.lower(F.trim("query")), "_c": F.lower(compact)}))
+    sizes = asked.agg(*[F.collect_set(F.least(F.length(own), F.lit(longest))).alias(field) for field, (own, longest) in FIELDS.items()]).first()
     fields = {"_s": F.lower("symbol"), "_n": F.lower("name"), "_a": F.lower(F.coalesce("aliases", F.lit(""))), "_b": F.lower(F.coalesce("base_asset", F.lit("")))}
     rows = registry.select("symbol", "name", "asset_type", *[value.alias(f) for f, value in fields.items()])
     order = (F.when(c("_s") == c("_c"), 0).when(c("_b") == c("_c"), 1).when(c("_n") == c("_q"), 2).when(c("_s").startswith(c("_c")), 3).otherwise(4))
     hit = None
     for field, (own, longest) in FIELDS.items():
-        index = rows.filter(c(field).isNotNull()).select(field).distinct().select(field, F.explode(_grams(c(field), longest)).alias("_key"))
-        found = index.join(asked.withColumn("_key", F.substring(own, 1, longest)), "_key").filter(c(field).contains(c(own))).drop("_key")
-        part = rows.join(found, field).select("query", "symbol", "name", "asset_type", order.alias("match"))
+        index = rows.filter(c(field).isNotNull()).select(field).distinct().select(field, F.explode(_grams(c(field), longest, sizes[field])).alias("_key"))
+        found = index.hint("merge").join(asked.withColumn("_key", F.substring(own, 1, longest)), "_key").filter(c(field).contains(c(own))).drop("_key")
+        part = rows.hint("merge").join(found, field).select("query", "symbol", "name", "asset_type", order.alias("match"))
         hit = part if hit is None else hit.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("match", F.length("symbol"), "symbol"))
     return hit.distinct().withColumn("rank", rank).filter(c("rank") <= top)

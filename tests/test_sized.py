@@ -87,3 +87,12 @@ def test_registry_search_tells_queries_that_begin_alike_and_takes_empty_ones(spa
     assert got == want
     keys = spark.range(1).select(identity._grams(F.lit("p1000012"), 8).alias("k")).first().k
     assert "p1000012" in keys and "" in keys
+
+
+def test_registry_search_sends_no_growing_side_through_the_driver(spark):
+    """Files of few bytes may hold many rows, so their size decides nothing: no broadcast, only the lengths asked for are indexed."""
+    registry = spark.range(20000).select(F.concat(F.lit("P"), "id").alias("symbol"), *[F.concat(F.lit(x), F.col("id") % 6).alias(x) for x in ("name", "aliases", "base_asset")], F.lit("stock").alias("asset_type"))
+    found = identity.search(spark.range(50).select(F.concat(F.lit("p1"), "id").alias("query")), registry, 3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query, r.symbol) for r in found.filter("query = 'p17'").collect()} == {("p17", "P17"), ("p17", "P170"), ("p17", "P171")}
+    assert set(spark.range(1).select(identity._grams(F.lit("p123"), 8, {0, 2}).alias("k")).first().k) == {"", "p1", "12", "23"}
